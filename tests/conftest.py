@@ -12,6 +12,7 @@ def spark(tmp_path_factory):
     session = get_session(
         "tests", "local[8]", **{
             "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("ckpt"))})
     session.sparkContext.setLogLevel("ERROR")
