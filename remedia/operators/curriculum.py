@@ -20,11 +20,12 @@ def difficulty_parts(
 ) -> dict[str, Column]:
     """Six parts between 0 and 1, from the deadline struct and the checks of a case."""
     flag = lambda cond: F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0))
-    items = F.coalesce(deadlines["deadlines"], F.array())
+    items = deadlines["deadlines"]
     long_basis = F.exists(
         items, lambda d: d["basis"].contains("90") | d["basis"].contains("20 business"))
+    count = F.when(items.isNull(), 0).otherwise(F.size(items))
     return {
-        "deadline_count": F.least(F.size(items) / 6.0, F.lit(1.0)),
+        "deadline_count": F.least(count / 6.0, F.lit(1.0)),
         "extension_branch": flag(long_basis),
         "out_of_time": flag(~deadlines["consumer_notice_timely"]),
         "validation_problem": flag(~F.coalesce(valid, F.lit(True))),

@@ -222,6 +222,8 @@ LETTER_LATE = (
     "We have recorded that your notice reached us after the notice period closed. We will still "
     "review what happened, but the statutory error resolution timetable does not apply to a notice "
     "received outside that window [reg:")
+LETTER_CODE = "We have raised this with the card network under reason code "
+LETTER_EVIDENCE = "To support it we need: "
 LETTER_UNMAPPED = (
     "We could not map this dispute to a card network reason code automatically, so a specialist is "
     "reviewing which route applies.")
