@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["rules", "data", "monitoring"]
+MODULES = ["rules", "data", "monitoring", "search"]
 
 
 def registry() -> dict:
