@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remedia import policy
+from remedia.session import spread
 
 ISSUES = policy.KNOWN_ISSUES
 
@@ -36,7 +37,7 @@ def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("_day")
     notice = F.date_add(day, (k % 75).cast("int"))
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"))
         .withColumn("_day", F.col("o_orderdate").cast("date"))
         .select(
             F.concat(F.lit("C"), k.cast("string")).alias("complaint_id"),

@@ -19,6 +19,7 @@ from remedia.operators import contracts as c
 from remedia.operators import layers
 from remedia.operators import validation as v
 from remedia.operators.deadlines import regulation_for_issue
+from remedia.session import spread
 from remedia.sources.readers import with_row_index
 
 CODES = ["10.4", " 13.1 ", "99.9", None, "", "4853", "12.6.1"]
@@ -64,9 +65,9 @@ def _dated_lines(spark, sf_dir):
     k = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders").select(
         k, F.col("o_orderdate").cast("date").alias("ordered"))
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber",
-        F.col("l_shipdate").cast("date").alias("shipped"))
+        F.col("l_shipdate").cast("date").alias("shipped")))
     day = F.date_format
     notice = F.date_add("ordered", F.when(k % 13 == 0, -20).otherwise(
         (k % 75).cast("int")))

@@ -77,7 +77,9 @@ def expand_numbers(text: Column) -> Column:
     replacements runs only on text that does.
     """
     phrases = [(f"(?U){pattern}", spelled) for pattern, spelled in policy.NUMBER_PHRASES]
-    any_phrase = "(?U)" + "|".join(pattern for pattern, _ in policy.NUMBER_PHRASES)
+    bare = [pattern.removeprefix(r"\b").removesuffix(r"\b")
+            for pattern, _ in policy.NUMBER_PHRASES]
+    any_phrase = rf"(?U)\b(?:{'|'.join(bare)})\b"
     spelled_out = reduce(
         lambda acc, p: F.regexp_replace(acc, p[0], p[1]), phrases, text)
     return F.when(text.rlike(any_phrase), spelled_out).otherwise(text)

@@ -16,12 +16,16 @@ from typing import NamedTuple
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg import VectorUDT
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from remedia import policy
 from remedia.functions.text import tokenize
 from remedia.operators import skew
+from remedia.session import scratch_path, spread
 
 MAX_PACKED = 512        # vectors carried inside one scalar array
 MAX_FACTORS = 64_000_000  # numbers in a fitted projection, held once on the driver
@@ -35,13 +39,14 @@ def indexed_text(corpus: DataFrame) -> Column:
 
 def document_terms(corpus: DataFrame) -> DataFrame:
     """``doc_id, tokens``"""
+    corpus = spread(corpus.select("id", "regulation", "title", "text"))
     return corpus.select(F.col("id").alias("doc_id"), tokenize(indexed_text(corpus)).alias(
         "tokens"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, term``: the terms of a query as a set."""
-    return queries.select(
+    return spread(queries.select("query_id", "query")).select(
         "query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
 
 
@@ -150,47 +155,46 @@ def fit_projection(corpus: DataFrame, dim: int = policy.EMBED_DIM) -> Projection
     The matrix stays distributed. What the driver holds is the fitted model, one
     row of ``dim`` numbers per term, refused above ``MAX_FACTORS`` numbers.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    spark = corpus.sparkSession
-    weights = _term_weights(document_terms(corpus), "doc_id")
-    n = corpus.agg(F.count(F.lit(1))).scalar()
-    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_n", n)
-    numbered = skew.running_total(
-        df.withColumn("_one", F.lit(1)), ["term"], "_one", out="column").select(
+    spark, path = corpus.sparkSession, scratch_path(corpus.sparkSession, "projection")
+
+    def stored(df: DataFrame, name: str, schema=None) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(f"{path}/{name}")
+
+    weights = stored(_term_weights(document_terms(corpus), "doc_id"), "weights")
+    docs = corpus.count()
+    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.lit(1).alias("_one"))
+    numbered = stored(skew.running_total(df, ["term"], "_one", out="column").select(
         "term", F.col("column").cast("int").alias("column"),
-        (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1.0).alias("idf"))
-    path = f"{_scratch(spark)}/terms"
-    numbered.write.parquet(path)
-    numbered = spark.read.parquet(path)
-    terms, docs = numbered.count(), corpus.count()
+        (F.ln((1.0 + docs) / (1 + F.col("df"))) + 1.0).alias("idf")), "terms")
+    terms = numbered.count()
     k = max(1, min(dim, min(terms, docs) - 1))
     if terms * k > MAX_FACTORS:
         raise ValueError(f"a projection of {terms} terms to {k} dimensions is too large to fit")
-    cells = weights.join(numbered, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    cells = weights.join(numbered, "term").select(
+        "doc_id", F.struct("column", (F.col("tf") * F.col("idf")).alias("w")).alias("cell"))
     rows = cells.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("column", "w"))).alias("cells"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    matrix = RowMatrix(rows.select("cells", "norm").rdd.map(lambda r: Vectors.sparse(
-        terms, [c["column"] for c in r["cells"]], [c["w"] / r["norm"] for c in r["cells"]])),
-        numCols=terms)
-    v = matrix.computeSVD(k).V.toArray()
+        F.array_sort(F.collect_list("cell")).alias("cells")).select(
+        F.transform("cells", lambda c: c["column"]).alias("at"),
+        unit(F.transform("cells", lambda c: c["w"])).alias("values"))
+    sparse = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(terms).alias("size"),
+        F.col("at").alias("indices"), "values")
+    # a stored vector has exactly this layout, so it is built without leaving the JVM
+    schema = T.StructType([T.StructField("row", VectorUDT())])
+    matrix = stored(rows.select(sparse.alias("row")), "rows", schema).persist()
+    try:
+        v = RowMatrix(matrix, numRows=docs, numCols=terms).computeSVD(k).V.toArray()
+    finally:
+        matrix.unpersist()
     local = spark.createDataFrame(
         [(i, row.tolist()) for i, row in enumerate(v)], "column int, factor array<double>")
-    factors = numbered.join(local, "column").select(
-        "term", "idf", array_to_vector("factor").alias("factor"))
-    factors.write.parquet(f"{path}-factors")
-    factors = spark.read.parquet(f"{path}-factors")
+    factors = stored(numbered.join(local, "column").select(
+        "term", "idf", array_to_vector("factor").alias("factor")), "factors")
     return Projection(factors, _project(weights, factors, "doc_id"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    from remedia.session import scratch_path
-
-    return scratch_path(spark, "projection")
-
-
 def embed_queries(queries: DataFrame, projection: Projection) -> DataFrame:
     """``query_id, vector``. A query without known terms has no vector."""
     tokens = queries.select("query_id", tokenize(F.col("query")).alias("tokens"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "remedia", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,3 +44,20 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one run of a job."""
     return f"{checkpoint_root(spark)}/remedia/{name}-{uuid.uuid4().hex}"
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input too small to be split by the scan.
+
+    One small file is one scan task, however heavy the work per row. Inputs at
+    least as large as one split per core are left as they are, so this adds a
+    shuffle only where it is small.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores)
