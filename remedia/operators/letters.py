@@ -12,9 +12,6 @@ from remedia.functions.dates import iso
 from remedia.functions.text import citations, dates_quoted, first_sentence, sentences, slug
 
 SECTION = "struct<id:string,regulation:string,title:string,text:string>"
-VERIFICATION = (
-    "struct<passed:boolean,citations:int,resolved:int,unresolved:array<string>,"
-    "uncited_claims:array<string>,invented_dates:array<string>>")
 
 
 def _strings(*items) -> Column:
@@ -70,9 +67,10 @@ def render(
     return F.concat_ws("\n", F.concat(opening, quoted, dates, means, route, needed, closing))
 
 
-def revised(letter: Column, critique: Column) -> Column:
-    return F.concat(letter, F.lit("\n\n<!-- revised after review: "),
-                    F.substring(critique, 1, 200), F.lit(" -->"))
+def remark(critique_text: Column) -> Column:
+    """The note a rejected letter is sent back with."""
+    return F.concat(F.lit("<!-- revised after review: "), F.substring(critique_text, 1, 200),
+                    F.lit(" -->"))
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -112,7 +110,16 @@ def verify(text: Column, deadlines: Column, valid_sections: Column) -> Column:
         ((F.size(lost) == 0) & (F.size(invented) == 0) & (F.size(uncited) == 0)).alias("passed"),
         F.size(cited).alias("citations"), (F.size(cited) - F.size(lost)).alias("resolved"),
         lost.alias("unresolved"), uncited.alias("uncited_claims"),
-        invented.alias("invented_dates")).cast(VERIFICATION)
+        invented.alias("invented_dates"))
+
+
+def _joined(check: Column, more: Column) -> Column:
+    """The check of a letter with a remark added below it."""
+    lists = ("unresolved", "uncited_claims", "invented_dates")
+    return F.struct(
+        (check["passed"] & more["passed"]).alias("passed"),
+        *[(check[n] + more[n]).alias(n) for n in ("citations", "resolved")],
+        *[F.concat(check[n], more[n]).alias(n) for n in lists])
 
 
 def critique(check: Column) -> Column:
@@ -135,23 +142,35 @@ def draft_and_verify(
     deadlines: str = "deadlines", validation: str = "validation",
     reason_code: str = "reason_code",
 ) -> DataFrame:
-    """Add ``letter``, ``verification`` and ``attempts``: a bounded revise loop as columns.
+    """Add ``letter``, ``verification``, ``verification_passed`` and ``attempts``.
 
     A rejected letter is redrafted with the reviewer's remark, up to ``attempts``
-    times in all; each round is one pair of columns, so there is no iteration.
+    times in all. A redraft is the same letter with the remark below it, so it
+    fails again and only the remark needs checking: the letter itself is rendered
+    and checked once. ``verification_passed`` depends on that first check alone,
+    which keeps a filter on it cheap wherever the optimiser puts it.
     """
     keep = df.columns
     work = df.withColumn("_valid", valid_sections).withColumn("_base", render(
         F.col(complaint_id), F.col(issue), F.col(sections), F.col(deadlines),
         F.col(f"{validation}.issues"), F.col(reason_code)))
     check = lambda text: verify(F.col(text), F.col(deadlines), F.col("_valid"))
-    work = work.withColumn("_text", F.col("_base")).withColumn("_check", check("_text"))
-    work = work.withColumn("_tries", F.lit(1))
+    work = work.withColumn("_check", check("_base"))
+    last = "_check"
     for attempt in range(2, attempts + 1):
-        again = ~F.col("_check.passed")
-        work = work.withColumn("_text", F.when(
-            again, revised(F.col("_base"), critique(F.col("_check")))).otherwise(F.col("_text")))
-        work = work.withColumn("_tries", F.when(again, attempt).otherwise(F.col("_tries")))
-        work = work.withColumn("_check", F.when(again, check("_text")).otherwise(F.col("_check")))
-    return work.select(*keep, F.col("_text").alias("letter"),
-                       F.col("_check").alias("verification"), F.col("_tries").alias("attempts"))
+        note, joined = f"_note{attempt}", f"_check{attempt}"
+        work = work.withColumn(note, F.when(
+            ~F.col("_check.passed"), remark(critique(F.col(last)))))
+        work = work.withColumn(joined, _joined(F.col("_check"), check(note)))
+        last = joined
+    passed = F.col("_check.passed")
+    if attempts == 1:
+        letter, final = F.col("_base"), F.col("_check")
+    else:
+        letter = F.when(passed, F.col("_base")).otherwise(
+            F.concat("_base", F.lit("\n\n"), F.col(f"_note{attempts}")))
+        final = F.when(passed, F.col("_check")).otherwise(F.col(last))
+    return work.select(
+        *keep, letter.alias("letter"), final.alias("verification"),
+        passed.alias("verification_passed"),
+        F.when(passed, 1).otherwise(attempts).alias("attempts"))

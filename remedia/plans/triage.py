@@ -90,7 +90,7 @@ def without_sections(df: DataFrame) -> DataFrame:
 def route(df: DataFrame) -> DataFrame:
     """Queue, approval flag and the path each case took; unclassifiable cases escape."""
     known = F.col("issue").isNotNull()
-    person = ~F.col("verification.passed") | (F.col("priority") == "high")
+    person = ~F.col("verification_passed") | (F.col("priority") == "high")
     loop = F.flatten(F.transform(
         F.sequence(F.lit(1), F.col("attempts")),
         lambda i: F.array(F.lit("draft"), F.lit("verify"))))
@@ -99,7 +99,7 @@ def route(df: DataFrame) -> DataFrame:
         F.array(F.lit("intake"), F.lit("classify"), F.lit("unclassifiable")))
     kept = {n: F.when(known, F.col(n)) for n in (
         "validation", "reason_code", "deadlines", "liability", "priority", "sections",
-        "letter", "verification", "attempts")}
+        "letter", "verification", "verification_passed", "attempts")}
     routed = df.withColumn("queue", F.when(~known | person, "manual_review").otherwise(
         "auto_send")).withColumn("requires_human_approval", ~known | person).withColumn(
         "reason", F.when(~known, F.lit(NO_ISSUE))).withColumn("path", path)
@@ -147,22 +147,22 @@ def seeded_sample(df: DataFrame, id_column: str, n: int, seed: int) -> DataFrame
 
 def evaluation(cases: DataFrame) -> DataFrame:
     """One row over verified letters: resolution, invented dates, pass and attempt rates."""
-    v = F.col("verification")
-    verified = cases.where(v.isNotNull())
-    return verified.agg(
-        F.count(F.lit(1)).alias("letters"), F.sum(v["citations"]).alias("citations"),
+    v, passed = F.col("verification"), F.col("verification_passed")
+    seen = passed.isNotNull()
+    return cases.agg(
+        F.count(passed).alias("letters"), F.sum(v["citations"]).alias("citations"),
         F.coalesce(F.try_divide(F.sum(v["resolved"]), F.sum(v["citations"])), F.lit(1.0)).alias(
             "citation_resolution"),
         F.sum(F.size(v["invented_dates"])).alias("invented_dates"),
         F.sum(F.size(v["uncited_claims"])).alias("uncited_claims"),
-        F.avg(v["passed"].cast("double")).alias("verification_pass_rate"),
-        F.avg((v["passed"] & (F.col("attempts") == 1)).cast("double")).alias(
+        F.avg(passed.cast("double")).alias("verification_pass_rate"),
+        F.avg((passed & (F.col("attempts") == 1)).cast("double")).alias(
             "passed_on_first_attempt"),
         F.avg("attempts").alias("mean_draft_attempts"),
-        F.count_if(F.col("queue") == "auto_send").alias("auto_send"),
-        F.count_if(F.col("queue") == "manual_review").alias("manual_review"))
+        F.count_if(seen & (F.col("queue") == "auto_send")).alias("auto_send"),
+        F.count_if(seen & (F.col("queue") == "manual_review")).alias("manual_review"))
 
 
 def failures(cases: DataFrame, limit: int = 5) -> DataFrame:
-    return cases.where(~F.col("verification.passed")).orderBy("complaint_id").limit(limit).select(
+    return cases.where(~F.col("verification_passed")).orderBy("complaint_id").limit(limit).select(
         "complaint_id", "verification")
