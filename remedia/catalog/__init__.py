@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["rules", "data", "monitoring", "search", "cases"]
+MODULES = ["rules", "data", "monitoring", "search", "cases", "live"]
 
 
 def registry() -> dict:

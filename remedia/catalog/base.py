@@ -31,13 +31,15 @@ def sql_str(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def disputes(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """One dispute per order, with every date and flag the rules read."""
     k = F.col("o_orderkey")
     day = F.col("_day")
     notice = F.date_add(day, (k % 75).cast("int"))
+    if orders is None:
+        orders = spread(table(spark, sf_dir, "orders"))
     return (
-        spread(table(spark, sf_dir, "orders"))
+        orders
         .withColumn("_day", F.col("o_orderdate").cast("date"))
         .select(
             F.concat(F.lit("C"), k.cast("string")).alias("complaint_id"),

@@ -25,10 +25,10 @@ ORDER = [
     "consumer dispute window closes"]
 
 
-def claims(spark, sf_dir):
+def claims(spark, sf_dir, orders=None):
     """Disputes with some issues missing, a model score and a narrative of varying length."""
     k = F.col("key")
-    return disputes(spark, sf_dir).withColumn(
+    return disputes(spark, sf_dir, orders).withColumn(
         "issue", F.when(k % 31 != 0, F.col("issue"))).withColumn(
         "escalation_probability", (k % 100) / 100.0).withColumn(
         "narrative", F.repeat(F.lit("word "), (k % 120).cast("int")))
