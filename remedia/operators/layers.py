@@ -117,22 +117,38 @@ def bronze_fraud(rows: DataFrame, minimum: int = 1000) -> Layer:
     ]))
 
 
-def silver_complaints(bronze: DataFrame, ordinal: list[str]) -> Layer:
-    raw = [n for n in bronze.columns if n not in ordinal]
-    clean, quarantine = split_silver(
-        parse_complaints(bronze), "duplicate complaint_id", ordinal, raw)
-    return Layer("silver/complaints", clean, quarantine, c.report(clean, [
+def complaint_contract(rows: DataFrame, ordinal: list[str] | None = None) -> DataFrame:
+    """``ordinal`` names the columns of the stored row order, where there is one."""
+    return c.report(rows, [
         c.unique("complaint_id", "a repeated complaint could sit in both train and test"),
         c.not_null("narrative", "the classifier reads nothing else"),
         c.in_set("issue", policy.KNOWN_ISSUES, "an unknown issue has no regulation"),
         c.in_set("company_response", policy.RESPONSE_CATEGORIES,
                  "an unknown response breaks the outcome label"),
         c.in_set("regulation", policy.REGULATIONS, "the regulation drives every deadline"),
-        c.monotonic("date_received", ["date_received", "complaint_id"],
+        c.monotonic("date_received", ordinal or ["date_received", "complaint_id"],
                     "an unordered table makes the temporal split random"),
         c.between("narrative_length", 3, 400, "so short or long a narrative was misparsed"),
         c.class_balance("issue", 0.005, "too rare a class has no meaningful test recall"),
-    ]))
+    ])
+
+
+def fraud_contract(rows: DataFrame, ordinal: list[str] | None = None) -> DataFrame:
+    return c.report(rows, [
+        c.unique("application_id", "a repeated application leaks across the split"),
+        c.in_set("fraud_bool", [0, 1], "the label is binary"),
+        c.between("month", 0, 11, "the month is the split key"),
+        c.monotonic("month", ordinal or ["month", "application_id"],
+                    "an unordered table makes the temporal split random"),
+        c.between("customer_age", 10, 100, "an age out of range was misparsed"),
+    ])
+
+
+def silver_complaints(bronze: DataFrame, ordinal: list[str]) -> Layer:
+    raw = [n for n in bronze.columns if n not in ordinal]
+    clean, quarantine = split_silver(
+        parse_complaints(bronze), "duplicate complaint_id", ordinal, raw)
+    return Layer("silver/complaints", clean, quarantine, complaint_contract(clean))
 
 
 def silver_fraud(bronze: DataFrame, ordinal: list[str] | None = None) -> Layer:
@@ -149,14 +165,7 @@ def silver_fraud(bronze: DataFrame, ordinal: list[str] | None = None) -> Layer:
         *[v.alias(n) for n, v in ints.items()], *[v.alias(n) for n, v in floats.items()])
     parsed = bronze.select("*", typed.alias("_typed"), error.alias("_error"))
     clean, quarantine = split_silver(parsed, None, None, raw)
-    return Layer("silver/fraud", clean, quarantine, c.report(clean, [
-        c.unique("application_id", "a repeated application leaks across the split"),
-        c.in_set("fraud_bool", [0, 1], "the label is binary"),
-        c.between("month", 0, 11, "the month is the split key"),
-        c.monotonic("month", ["month", "application_id"],
-                    "an unordered table makes the temporal split random"),
-        c.between("customer_age", 10, 100, "an age out of range was misparsed"),
-    ]))
+    return Layer("silver/fraud", clean, quarantine, fraud_contract(clean))
 
 
 def temporal_split(value: Column, train_end, validation_end) -> Column:

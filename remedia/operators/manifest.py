@@ -16,7 +16,7 @@ def track_files(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     out = None
     for name, path in files.items():
         raw = spark.read.format("binaryFile").load(path)
-        text = F.decode(F.col("content"), F.lit("ISO-8859-1"))
+        text = F.decode(F.col("content"), "ISO-8859-1")
         lines = F.length(text) - F.length(F.replace(text, F.lit("\n")))
         part = raw.select(
             F.lit(name).alias("name"), F.lit(path).alias("path"),

@@ -140,13 +140,17 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm == 0, x).otherwise(x / norm))
 
 
-def _project(weighted: DataFrame, factors: DataFrame, key: str) -> DataFrame:
-    """Sum of ``w * factor`` over the terms of each row of ``key``, at unit length."""
+def _project(keys: DataFrame, weighted: DataFrame, factors: DataFrame, key: str) -> DataFrame:
+    """Sum of ``w * factor`` over the terms of each row of ``key``, at unit length.
+
+    A row without known terms keeps a NULL vector, which scores 0 against all.
+    """
     joined = weighted.join(factors, "term").select(
         key, (F.col("tf") * F.col("idf")).alias("w"), "factor")
     total = joined.groupBy(key).agg(
         Summarizer.metrics("sum").summary(F.col("factor"), F.col("w")).alias("s"))
-    return total.select(key, unit(vector_to_array("s.sum")).alias("vector"))
+    found = total.select(key, unit(vector_to_array("s.sum")).alias("vector"))
+    return keys.select(key).join(found, key, "left")
 
 
 def fit_projection(corpus: DataFrame, dim: int = policy.EMBED_DIM) -> Projection:
@@ -192,13 +196,15 @@ def fit_projection(corpus: DataFrame, dim: int = policy.EMBED_DIM) -> Projection
         [(i, row.tolist()) for i, row in enumerate(v)], "column int, factor array<double>")
     factors = stored(numbered.join(local, "column").select(
         "term", "idf", array_to_vector("factor").alias("factor")), "factors")
-    return Projection(factors, _project(weights, factors, "doc_id"))
+    keys = corpus.select(F.col("id").alias("doc_id"))
+    return Projection(factors, _project(keys, weights, factors, "doc_id"))
 
 
 def embed_queries(queries: DataFrame, projection: Projection) -> DataFrame:
-    """``query_id, vector``. A query without known terms has no vector."""
+    """``query_id, vector`` for every query."""
     tokens = queries.select("query_id", tokenize(F.col("query")).alias("tokens"))
-    return _project(_term_weights(tokens, "query_id"), projection.factors, "query_id")
+    weights = _term_weights(tokens, "query_id")
+    return _project(queries, weights, projection.factors, "query_id")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -228,7 +234,8 @@ def dense_topk(
             F.pmod(F.xxhash64(key), F.lit(rounds)) == i)
         carried = big.withColumn("_small", _packed(block, key))
         scores = F.transform("_small", lambda s: F.struct(
-            s["key"].alias(key), _dot(F.col("vector"), s["v"]).alias("score")))
+            s["key"].alias(key),
+            F.coalesce(_dot(F.col("vector"), s["v"]), F.lit(0.0)).alias("score")))
         own = "doc_id" if large == "corpus" else "query_id"
         part = carried.select(own, F.explode(scores).alias("s")).select(own, "s.*")
         out = part if out is None else out.unionByName(part)
