@@ -19,7 +19,7 @@ from remedia.operators import contracts as c
 from remedia.operators import layers
 from remedia.operators import validation as v
 from remedia.operators.deadlines import regulation_for_issue
-from remedia.session import spread
+from remedia.session import spread, unnest
 from remedia.sources.readers import with_row_index
 
 CODES = ["10.4", " 13.1 ", "99.9", None, "", "4853", "12.6.1"]
@@ -81,8 +81,8 @@ def _dated_lines(spark, sf_dir):
 
 def date_validation_issues(spark, sf_dir):
     checked = v.validate_dates(_dated_lines(spark, sf_dir), F.to_date(F.lit(AS_OF)))
-    return checked.select(
-        "key", "l_linenumber", "transaction_date", F.explode("date_check.issues").alias("i")
+    return unnest(
+        checked, F.col("date_check.issues"), "i", "key", "l_linenumber", "transaction_date"
     ).select("key", "l_linenumber", "transaction_date", "i.*")
 
 
@@ -183,7 +183,7 @@ def issue_regulations(spark, sf_dir):
 
 def raw_complaints(spark, sf_dir):
     """Raw text rows with real repeats, blank and bad amounts and bad dates."""
-    li = with_row_index(table(spark, sf_dir, "lineitem"))
+    li = spread(with_row_index(table(spark, sf_dir, "lineitem")))
     text = lambda x: x.cast("string")
     k, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
@@ -275,7 +275,7 @@ def raw_applications(spark, sf_dir):
     features = [
         F.when(e % 101 == i, F.lit("bad")).otherwise(((e * (i + 3)) % 89).cast("string")).alias(n)
         for i, n in enumerate(policy.FRAUD_FEATURES)]
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.concat(F.lit("A"), e.cast("string")).alias("application_id"),
         F.when(e % 211 == 0, F.lit("5.0")).otherwise((e % 8).cast("string")).alias("month"),
         F.when(x > 200, F.lit(" 1 ")).otherwise(F.lit("0")).alias("fraud_bool"), *features)
@@ -316,7 +316,7 @@ FROM e GROUP BY 1, 2"""
 
 
 def contract_report(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     funded = table(spark, sf_dir, "customer").where("c_acctbal > 0")
     return c.report(orders, [
         c.row_count(1000), c.not_null("o_orderstatus"), c.unique("o_orderkey"),

@@ -18,8 +18,10 @@ TOKEN = r"[A-Za-z][A-Za-z0-9]*|(?U)\d+(?:\.\d+)*"
 
 def to_float(text: Column) -> Column:
     """Number from text; NULL when the text is not one (``1_000`` is, ``1.5f`` is not)."""
-    return F.when(text.rlike(PYTHON_FLOAT),
-                  F.regexp_replace(F.trim(text), "_", "").try_cast("double"))
+    # only text with one of these letters can be read differently by a plain cast
+    careful = F.when(text.rlike(PYTHON_FLOAT),
+                     F.regexp_replace(F.trim(text), "_", "").try_cast("double"))
+    return F.when(text.rlike("[_dDfFxXpP]"), careful).otherwise(text.try_cast("double"))
 
 
 def to_int(text: Column) -> Column:

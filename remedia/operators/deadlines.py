@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from remedia import policy
 from remedia.functions.dates import iso, parse_day
 from remedia.operators.calendar import business_calendar, look_ahead, nth_ahead
+from remedia.session import unnest
 
 DEADLINE = "struct<name:string,due:date,basis:string,citation:string,note:string>"
 RESULT = (
@@ -337,6 +338,6 @@ def compute_deadlines(
 
 def explode_deadlines(df: DataFrame, keys: list[str], result: str = "deadlines") -> DataFrame:
     """The long deadline table: one row per deadline of each dispute."""
-    return df.select(
-        *keys, F.col(f"{result}.regulation").alias("regulation"),
-        F.explode(f"{result}.deadlines").alias("_d")).select(*keys, "regulation", "_d.*")
+    named = df.select(*keys, result, F.col(f"{result}.regulation").alias("regulation"))
+    return unnest(named, F.col(f"{result}.deadlines"), "_d", *keys, "regulation").select(
+        *keys, "regulation", "_d.*")

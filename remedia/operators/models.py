@@ -20,7 +20,7 @@ from remedia import policy
 from remedia.functions.text import model_text
 from remedia.operators import metrics
 from remedia.operators.retrieval import unit
-from remedia.session import scratch_path
+from remedia.session import scratch_path, unnest
 
 # search space of the text models: name, low, high, kind
 TEXT_SPACE = [
@@ -115,7 +115,7 @@ class TextModel:
 def vocabulary(rows: DataFrame, params: TextParams) -> DataFrame:
     """The most frequent terms of at least ``min_df`` documents, with smoothed idf."""
     n = rows.agg(F.count(F.lit(1))).scalar()
-    seen = rows.select("_row", F.explode("terms").alias("term")).groupBy("_row", "term").agg(
+    seen = unnest(rows, F.col("terms"), "term", "_row").groupBy("_row", "term").agg(
         F.count(F.lit(1)).alias("tf")).groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = seen.where(F.col("df") >= params.min_df).orderBy(F.desc("cf"), "term").limit(
@@ -139,8 +139,8 @@ def text_features(df: DataFrame, text: str, terms: DataFrame, size: int, ngram_h
     # the key is made once and stored, so that both uses below agree on it
     df.withColumn("_row", F.expr("uuid()")).write.parquet(f"{path}/rows")
     stored = spark.read.parquet(f"{path}/rows")
-    tf = with_terms(stored, text, ngram_high).select(
-        "_row", F.explode("terms").alias("term")).groupBy("_row", "term").agg(
+    tf = unnest(with_terms(stored, text, ngram_high), F.col("terms"), "term", "_row").groupBy(
+        "_row", "term").agg(
         (1.0 + F.ln(F.count(F.lit(1)))).alias("tf"))
     cells = tf.join(F.broadcast(terms), "term").groupBy("_row").agg(F.array_sort(
         F.collect_list(F.struct("column", (F.col("tf") * F.col("idf")).alias("w")))).alias("c"))

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from remedia import policy
 from remedia.functions.text import tokenize
 from remedia.operators import skew
-from remedia.session import scratch_path, spread
+from remedia.session import scratch_path, spread, unnest
 
 MAX_PACKED = 512        # vectors carried inside one scalar array
 MAX_FACTORS = 64_000_000  # numbers in a fitted projection, held once on the driver
@@ -46,8 +46,9 @@ def document_terms(corpus: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, term``: the terms of a query as a set."""
-    return spread(queries.select("query_id", "query")).select(
-        "query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
+    return unnest(
+        spread(queries.select("query_id", "query")),
+        F.array_distinct(tokenize(F.col("query"))), "term", "query_id")
 
 
 class Index(NamedTuple):
@@ -66,7 +67,7 @@ def build_index(corpus: DataFrame, vocabulary: DataFrame | None = None) -> Index
     docs = document_terms(corpus).withColumn("length", F.size("tokens"))
     stats = docs.agg(
         F.count(F.lit(1)).alias("docs"), F.avg("length").alias("avg_length"))
-    terms = docs.select("doc_id", "length", F.explode("tokens").alias("term"))
+    terms = unnest(docs, F.col("tokens"), "term", "doc_id", "length")
     if vocabulary is not None:
         terms = terms.join(vocabulary.select("term").distinct(), "term", "left_semi")
     postings = terms.repartition("doc_id").groupBy("doc_id", "term", "length").agg(
@@ -131,7 +132,7 @@ class Projection(NamedTuple):
 
 
 def _term_weights(tokens: DataFrame, key: str) -> DataFrame:
-    return tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(
+    return unnest(tokens, F.col("tokens"), "term", key).groupBy(key, "term").agg(
         (1.0 + F.ln(F.count(F.lit(1)))).alias("tf"))
 
 
@@ -237,7 +238,7 @@ def dense_topk(
             s["key"].alias(key),
             F.coalesce(_dot(F.col("vector"), s["v"]), F.lit(0.0)).alias("score")))
         own = "doc_id" if large == "corpus" else "query_id"
-        part = carried.select(own, F.explode(scores).alias("s")).select(own, "s.*")
+        part = unnest(carried, scores, "s", own).select(own, "s.*")
         out = part if out is None else out.unionByName(part)
     return _ranked(out, k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001  # a key with this share of the rows is hot; at most 1 / HOT_SHARE exist
 SALTS = 64
-BUCKETS = 64
+BUCKETS = 64  # a square
 SAMPLE = 64 * BUCKETS
 BROADCAST_ROWS = 200_000  # narrow rows; checked by counting before any explicit broadcast
 
@@ -57,10 +57,19 @@ def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
                 F.col("_s"),
                 (F.floor(i * F.size("_s") / F.lit(float(buckets))) + 1).cast("int"))
         ).alias("_cuts")))
+    # two short passes over the cuts: every `side`-th one, then those in between
+    side = int(buckets ** 0.5)
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c <= key))
+    coarse = F.transform(
+        F.sequence(F.lit(1), F.lit(side - 1)),
+        lambda i: F.try_element_at(F.col("_cuts"), (i * side).cast("int")))
     return (
-        df.withColumn("_cuts", picked.scalar())
-        .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= key)))
-        .drop("_cuts"))
+        df.withColumn("_cuts", picked.select(
+            "_cuts", coarse.alias("_coarse")).select(F.struct("_cuts", "_coarse")).scalar())
+        .withColumn("_step", below(F.col("_cuts._coarse")))
+        .withColumn("_bucket", F.col("_step") * side + below(
+            F.slice(F.col("_cuts._cuts"), F.col("_step") * side + 1, F.lit(side - 1))))
+        .drop("_cuts", "_step"))
 
 
 def running_total(

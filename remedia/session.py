@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "remedia", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,3 +62,13 @@ def spread(df: DataFrame) -> DataFrame:
     if int(str(size)) >= cores * SPLIT_BYTES:
         return df
     return df.repartition(cores)
+
+
+def unnest(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element that is not NULL.
+
+    A plain ``explode`` makes the optimiser add a filter on the size of the array
+    at the scan, which computes an expensive array a second time. The outer form
+    does not; its row for an empty array is dropped afterwards.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
