@@ -167,7 +167,7 @@ def _check_sql(source: str, name: str) -> str:
           AND NOT starts_with(s, '#') AND NOT starts_with(s, '<!--') AND NOT starts_with(s, '|')
           AND NOT ({boiler}) AND ({facts}) AND NOT regexp_matches(s, '{cite}')) AS uncited
       FROM {name}_a),
-    {name} AS (
+    {name} AS MATERIALIZED (
       SELECT *, len(lost) = 0 AND len(invented) = 0 AND len(uncited) = 0 AS passed,
         concat_ws('; ',
           CASE WHEN len(lost) > 0 THEN 'citations that resolve to nothing: '
