@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from remedia import policy
-from remedia.catalog.base import CALENDAR_SQL, disputes, sql_list, sql_str, table
+from remedia.catalog.base import disputes, sql_list, sql_str, table
 from remedia.catalog.rules import ALL_ROWS_SQL, FINDINGS_SQL
 from remedia.operators import curriculum, manifest
 from remedia.plans import triage as plan
