@@ -28,12 +28,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from remedia.llm.common import row_hash, text_of
-from remedia.llm.tokens import PieceCache, id_bytes, tokenizer
+from remedia.llm.tokens import BYTE_PATTERN, LATIN, ByteTable, tokenizer
 
 LEAF = 4096
 BLOCK = 65_536
@@ -42,75 +43,43 @@ WINDOW = 16
 MARGIN = 32
 
 
-class ByteTable:
-    """The bytes of each id. Byte-level vocabularies write bytes as printable characters."""
-
-    def __init__(self, tok):
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        alphabet = {chr(b): b for b in shown}
-        alphabet.update((chr(256 + n), b) for n, b in
-                        enumerate(b for b in range(256) if b not in set(shown)))
-        special = tok.get_added_tokens_decoder()
-        vocab = tok.get_vocab(with_added_tokens=True)
-        self.of = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.of[i] = (token.encode("utf-8") if i in special
-                          else bytes(alphabet[c] for c in token))
-        self.length = np.array([len(b) for b in self.of], "i8")
-        self.special = set(special)
-
-
 class Coded:
-    """Ids of a stretch of text; ``first`` marks those that begin a pre-token."""
+    """Ids of a stretch of text; ``first``, once needed, marks those that begin a pre-token."""
 
     __slots__ = ("first", "ids")
 
-    def __init__(self, ids: np.ndarray, first: np.ndarray):
+    def __init__(self, ids: np.ndarray, first: np.ndarray | None = None):
         self.ids, self.first = ids, first
 
 
-def _coded(encoding) -> tuple[bytes, bytes]:
-    owner = encoding.word_ids
-    first = bytes(i == 0 or w is None or w != owner[i - 1] for i, w in enumerate(owner))
-    return id_bytes(encoding.ids), first
-
-
-class ChunkCache(PieceCache):
-    def value(self, encoding):
-        return _coded(encoding)
-
-
-def chunks(text: str) -> list[str]:
-    """Cut before each blank that is followed by a character other than white space.
-
-    The pattern takes such a blank together with what follows, whatever came before, so
-    the encodings of the chunks stand in a row.
-    """
-    parts = text.split(" ")
-    out = [parts[0]]
-    for part in parts[1:]:
-        if part and not part[0].isspace() and part[0] >= "!":
-            out.append(" " + part)
-        else:
-            out[-1] += " " + part
-    return out if out[0] else out[1:]
+#: A blank between characters other than white space always begins a pre-token.
+BREAK = regex.compile(rb"(?<=[!-~]) (?=[!-~])")
+LAST_BREAK = regex.compile(rb"(?r)(?<=[!-~]) (?=[!-~])")
 
 
 class TreeEncoder:
     """Exact ids of whole texts from ids of their parts."""
 
     def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
-        self.tok, self.cache = tokenizer(path), ChunkCache(path)
-        self.table, self.leaf, self.window = ByteTable(self.tok), leaf, window
-
-    def _direct(self, text: str) -> Coded:
-        ids, first = _coded(self.tok.encode(text, add_special_tokens=False))
-        return Coded(np.frombuffer(ids, "<u4"), np.frombuffer(first, "u1"))
-
-    def _leaf(self, text: str) -> Coded:
-        known = [self.cache.known[c] for c in chunks(text)]
-        return Coded(np.frombuffer(b"".join([k[0] for k in known]), "<u4"),
-                     np.frombuffer(b"".join([k[1] for k in known]), "u1"))
+        import tiktoken
+
+        self.tok, self.leaf, self.window = tokenizer(path), leaf, window
+        self.table = ByteTable(self.tok)
+        self.fast = tiktoken.Encoding(
+            "bytes", pat_str=BYTE_PATTERN, mergeable_ranks=self.table.ranks, special_tokens={})
+
+    def encode(self, text: str) -> Coded:
+        """A short text at once."""
+        if LATIN.fullmatch(text) and not any(s in text for s in self.table.names):
+            return Coded(np.array(self.fast.encode_ordinary(text), "<u4"))
+        return Coded(np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4"))
+
+    def _split(self, text: str) -> Coded:
+        """By the library, with the pre-tokens marked."""
+        found = self.tok.encode(text, add_special_tokens=False)
+        owner = found.word_ids
+        first = [i == 0 or w is None or w != owner[i - 1] for i, w in enumerate(owner)]
+        return Coded(np.array(found.ids, "<u4"), np.array(first, "u1"))
 
     def halves(self, text: str) -> list[str]:
         """Parts of ``leaf`` characters at most, by halving."""
@@ -120,12 +89,11 @@ class TreeEncoder:
         return self.halves(text[:half]) + self.halves(text[half:])
 
     def encode_many(self, texts: list[str]) -> list[Coded]:
-        parts = [self.halves(t) for t in texts]
         out = []
-        for text, leaves in zip(texts, parts, strict=True):
-            self.cache.learn({c for leaf in leaves for c in chunks(leaf)})
-            out.append(self.concatenate([(x.encode("utf-8"), self._leaf(x)) for x in leaves])
-                       if text else Coded(np.empty(0, "<u4"), np.empty(0, "u1")))
+        for text in texts:
+            leaves = self.halves(text)
+            out.append(self.encode(text) if len(leaves) == 1 else
+                       self.concatenate([(x.encode("utf-8"), self.encode(x)) for x in leaves]))
         return out
 
     def concatenate(self, parts: list[tuple[bytes, Coded]]) -> Coded:
@@ -143,6 +111,34 @@ class TreeEncoder:
     def join(self, a: bytes, left: Coded, b: bytes, right: Coded) -> Coded:
         if not a or not b:
             return right if not a else left
+        return self._between(a, left, b, right) or self._grown(a, left, b, right)
+
+    def _between(self, a: bytes, left: Coded, b: bytes, right: Coded, near: int = 1024) -> Coded | None:
+        """By a window between blanks that part pre-tokens for certain, where there are such near the cut."""
+        from_left = LAST_BREAK.search(a, max(0, len(a) - near), len(a) - MARGIN)
+        to_right = BREAK.search(b, MARGIN, near)
+        if not from_left or not to_right:
+            return None
+        s, e = from_left.start(), to_right.start()
+        window = self.encode((a[s:] + b[:e]).decode("utf-8"))
+        i = self._cut(left.ids[::-1], len(a) - s)
+        j = self._cut(right.ids, e)
+        if i is None or j is None:
+            raise AssertionError("a blank between words doesn't part tokens")
+        return Coded(np.concatenate([left.ids[:len(left.ids) - i], window.ids, right.ids[j:]]))
+
+    def _cut(self, ids: np.ndarray, size: int) -> int | None:
+        """How many of the first ids make up ``size`` bytes."""
+        ends = self.table.length[ids[:size]].cumsum()
+        at = int(np.searchsorted(ends, size))
+        return at + 1 if at < len(ends) and ends[at] == size else None
+
+    def _grown(self, a: bytes, left: Coded, b: bytes, right: Coded) -> Coded:
+        """By a growing window, for text without such blanks."""
+        if left.first is None:
+            left = self._split(a.decode("utf-8"))
+        if right.first is None:
+            right = self._split(b.decode("utf-8"))
         la, rb = self.table.length[left.ids], self.table.length[right.ids]
         # Byte at which a left token begins, counted back from the cut; at which a right one ends.
         back = la[::-1].cumsum()[::-1]
@@ -159,7 +155,7 @@ class TreeEncoder:
             far = far[ends[far - 1] >= MARGIN]
             j = int(far[0]) if len(far) else len(rb)
             seen = int(ends[j - 1])
-            w = self._direct((a[len(a) - int(back[i]):] + b[:seen]).decode("utf-8"))
+            w = self._split((a[len(a) - int(back[i]):] + b[:seen]).decode("utf-8"))
             whole = j == len(rb)
             at = self._meet(w, int(back[i]), right, ends, seen - (0 if whole else MARGIN))
             if at is None and whole:
@@ -194,7 +190,7 @@ class TreeEncoder:
             return None
         if e < len(b) and (b[e] & 0xC0) == 0x80:
             return None
-        w = self._direct(window.decode("utf-8"))
+        w = self._split(window.decode("utf-8"))
         if w.first.sum() != 1 or w.ids[0] != left.ids[-k] or w.ids[-1] != right.ids[k - 1]:
             return None
         if self.table.special.intersection(w.ids[[0, -1]].tolist()):
@@ -216,7 +212,7 @@ def encoder(path: str, leaf: int = LEAF) -> TreeEncoder:
 def _digests(enc: TreeEncoder, coded: list[Coded]) -> dict:
     return {
         "n_tokens": [len(c.ids) for c in coded],
-        "ids_sha256": [hashlib.sha256(c.ids.astype("<u4").tobytes()).hexdigest() for c in coded],
+        "ids_sha256": [hashlib.sha256(c.ids.tobytes()).hexdigest() for c in coded],
         "decoded_sha256": [hashlib.sha256(enc.decode(c.ids).encode("utf-8")).hexdigest() for c in coded],
     }
 
@@ -250,24 +246,21 @@ def encode_digests(docs: DataFrame, path: str, leaf: int = LEAF, block: int = BL
             coded = enc.encode_many(frame["text"].tolist())
             yield frame.drop(columns="text").assign(
                 text=[t.encode("utf-8") for t in frame["text"]],
-                ids=[c.ids.astype("<u4").tobytes() for c in coded],
-                first=[c.first.tobytes() for c in coded])
+                ids=[c.ids.tobytes() for c in coded])
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(path, leaf)
         times = int((frame["n"] == 0).sum())  # a row that repeats brings each block as often
         one = frame.drop_duplicates("n").sort_values("n")
         coded = enc.concatenate([
-            (t, Coded(np.frombuffer(i, "<u4"), np.frombuffer(f, "u1")))
-            for t, i, f in zip(one["text"], one["ids"], one["first"], strict=True)])
+            (t, Coded(np.frombuffer(i, "<u4"))) for t, i in zip(one["text"], one["ids"], strict=True)])
         return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]] * times,
                              **{c: v * times for c, v in _digests(enc, [coded]).items()}})
 
     place = [id_field, T.StructField("k1", T.LongType()), T.StructField("n", T.LongType())]
     pieces = large.mapInPandas(cut, T.StructType([*place, T.StructField("text", T.StringType())]))
     encoded = pieces.repartition("doc_id", "k1", "n").mapInPandas(blocks, T.StructType([
-        *place, T.StructField("text", T.BinaryType()), T.StructField("ids", T.BinaryType()),
-        T.StructField("first", T.BinaryType())]))
+        *place, T.StructField("text", T.BinaryType()), T.StructField("ids", T.BinaryType())]))
     out = T.StructType([id_field, *DIGESTS])
     return small.mapInPandas(at_once, out).unionByName(
         encoded.groupBy("doc_id", "k1").applyInPandas(joined, out))

@@ -28,19 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from remedia.llm.common import stored, text_of
-from remedia.llm.tokens import PieceCache
+from remedia.llm.tokens import word_encoder
 
 SIZE = 2048
 SEPARATOR = 0
-WORDS = None
-
-
-def word_cache(path: str) -> PieceCache:
-    """One per Python worker. The vocabulary drops white space, so words encode on their own."""
-    global WORDS
-    if WORDS is None or WORDS[0] != path:
-        WORDS = path, PieceCache(path)
-    return WORDS[1]
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, separator: int = SEPARATOR) -> DataFrame:
@@ -51,7 +42,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, separator: int = SEPARA
     end = np.array([separator], "<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = word_cache(path)
+        cache = word_encoder(path)
         for frame in frames:
             found = [t.encode("utf-8").split() for t in frame["text"]]
             known = cache.learn(set().union(*found))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedia.llm import bpe, line_dedup, packing
+from remedia.llm import bpe, line_dedup, near_dedup, packing
 from remedia.llm.common import table
 from remedia.llm.tokens import vocabulary
 
@@ -41,8 +41,41 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Rule(width=3, percent=85))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE worded AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+classes AS MATERIALIZED (SELECT w, min(r) AS c FROM worded WHERE len(w) > 0 GROUP BY w),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT c, hash(list_slice(w, i, i + 2)) AS s
+  FROM (SELECT c, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM classes)),
+sizes AS MATERIALIZED (SELECT c, count(*) AS n FROM shingles GROUP BY c),
+shared AS (
+  SELECT x.c AS a, y.c AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.c <> y.c
+  GROUP BY x.c, y.c),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes p ON p.c = a JOIN sizes q ON q.c = b
+  WHERE 100 * k >= 85 * (p.n + q.n - k)),
+walk AS (
+  SELECT c AS start, c AS at FROM classes
+  UNION SELECT start, b FROM walk JOIN links ON at = a),
+members AS MATERIALIZED (
+  SELECT r, doc_id, c FROM worded JOIN classes USING (w)),
+named AS (SELECT start AS c, min(doc_id) AS component_id FROM walk JOIN members ON members.c = at GROUP BY start)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM members JOIN named USING (c) JOIN sizes USING (c)
+UNION ALL SELECT doc_id, 0, doc_id, true FROM worded WHERE len(w) = 0
+"""
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op4_bpe": (op4_bpe, None),
+    "op5_near_dedup": (op5_near_dedup, OP5_SQL),
 }

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from remedia.llm.bpe import TreeEncoder, encode_digests
-from remedia.llm.tokens import tokenizer, vocabulary
+from remedia.llm.tokens import LATIN, tokenizer, vocabulary
 
 PATH = vocabulary("byte_bpe_50k.json")
 
@@ -73,3 +73,23 @@ def test_digests(spark):
                      hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert encode_digests(docs.limit(0), PATH).count() == 0
+
+
+def test_latin_classes():
+    """The fast path and the library agree on every character that it takes, beside every class."""
+    enc = tiny()
+    kinds = ["a", "1", " ", "\n", "-", "é", "'", "  ", "\t ", "s"]
+    taken = [c for c in map(chr, range(0x250)) if LATIN.fullmatch(c)]
+    for kind in kinds:
+        text = kind.join(x for c in taken for x in (c, c + c, c + "s", " " + c))
+        assert np.array_equal(enc.encode(text).ids, direct(text)), kind
+
+
+def test_every_token_encodes_to_itself():
+    enc = tiny()
+    broken = [i for b, i in enc.table.ranks.items() if enc.fast.encode_single_token(b) != i]
+    assert not broken
+    shown = [(i, b.decode()) for b, i in enc.table.ranks.items() if b.decode("utf-8", "ignore").encode() == b]
+    for i, t in shown:
+        if LATIN.fullmatch(t):
+            assert direct(t) == enc.fast.encode_ordinary(t), t
