@@ -25,6 +25,7 @@ from remedia.llm.common import SPACE, ascii_lower, row_hash, stored, text_of
 
 FANOUT = 2
 BATCHES = 4
+SALTS = 16
 HASH = ["h1", "h2"]
 RUN = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
                     T.StructField("docs", T.LongType())])
@@ -125,7 +126,12 @@ def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int, *keep: str) -> Da
         row_hash("doc_id", "text").alias("k1"))
     lines = _keys(rows.select("k0", "k1", "text")).select(
         "k0", "k1", F.posexplode_outer("keys").alias("pos", "key")).where(F.col("key") != "")
-    kept = _hashed(lines, "key").join(runs.frequent(min_docs).hint("merge"), HASH, "left_anti")
+    # A line may make up a third of all lines: its copies go to SALTS tasks, the run's hash to each.
+    salt = F.pmod(F.xxhash64("k1", "pos"), F.lit(SALTS)).cast("int")
+    frequent = runs.frequent(min_docs).withColumn(
+        "salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    kept = _hashed(lines, "key").withColumn("salt", salt).join(
+        frequent.hint("merge"), [*HASH, "salt"], "left_anti")
     places = kept.groupBy("k0", "k1").agg(F.collect_list("pos").alias("kept"))
     blank = F.filter(
         F.transform(F.split("text", "\n", -1),

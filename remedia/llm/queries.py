@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedia.llm import bpe, line_dedup, near_dedup, packing
+from remedia.llm import bpe, fingerprint, line_dedup, near_dedup, packing
 from remedia.llm.common import table
 from remedia.llm.tokens import vocabulary
 
@@ -48,7 +48,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH RECURSIVE worded AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 classes AS MATERIALIZED (SELECT w, min(r) AS c FROM worded WHERE len(w) > 0 GROUP BY w),
 shingles AS MATERIALIZED (
@@ -62,20 +62,25 @@ links AS MATERIALIZED (
   SELECT a, b FROM shared JOIN sizes p ON p.c = a JOIN sizes q ON q.c = b
   WHERE 100 * k >= 85 * (p.n + q.n - k)),
 walk AS (
-  SELECT c AS start, c AS at FROM classes
-  UNION SELECT start, b FROM walk JOIN links ON at = a),
+  SELECT c AS origin, c AS reached FROM classes
+  UNION SELECT origin, b FROM walk JOIN links ON reached = a),
 members AS MATERIALIZED (
   SELECT r, doc_id, c FROM worded JOIN classes USING (w)),
-named AS (SELECT start AS c, min(doc_id) AS component_id FROM walk JOIN members ON members.c = at GROUP BY start)
+named AS (SELECT origin AS c, min(doc_id) AS component_id FROM walk JOIN members ON members.c = reached GROUP BY origin)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM members JOIN named USING (c) JOIN sizes USING (c)
 UNION ALL SELECT doc_id, 0, doc_id, true FROM worded WHERE len(w) = 0
 """
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op4_bpe": (op4_bpe, None),
     "op5_near_dedup": (op5_near_dedup, OP5_SQL),
+    "op10_fingerprint": (op10_fingerprint, None),
 }
