@@ -103,44 +103,43 @@ def add_corpus(docs: DataFrame, runs: LineRuns, batches: int = BATCHES) -> LineR
 def _rebuild(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         texts, n_lines, n_dropped = [], [], []
-        for text, blank, kept in zip(frame["text"], frame["blank"], frame["kept"], strict=True):
+        for text, blank, kept in zip(frame["_text"], frame["_blank"], frame["_kept"], strict=True):
             lines = text.split("\n")
             stay = set(() if blank is None else blank)
             stay.update(() if kept is None else kept)
             texts.append("\n".join(x for i, x in enumerate(lines) if i in stay))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(stay))
-        yield pd.DataFrame({
-            **{c: frame[c] for c in frame.columns if c not in ("text", "blank", "kept")},
-            "kept_text": texts, "n_lines": n_lines, "n_dropped": n_dropped})
+        yield frame.drop(columns=["_text", "_blank", "_kept"]).assign(
+            _kept_text=texts, _n_lines=n_lines, _n_dropped=n_dropped)
 
 
 def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int, *keep: str) -> DataFrame:
     """The documents without the lines that ``runs`` has seen in ``min_docs`` documents.
 
-    Columns: doc_id, ``keep``, kept_text, n_lines, n_dropped. Only hashes and
+    Columns: doc_id, ``keep``, _kept_text, _n_lines, _n_dropped. Only hashes and
     positions are shuffled by line; a text is shuffled once, to its positions.
     """
-    rows = docs.select(
-        "doc_id", text_of().alias("text"), *keep, F.coalesce("doc_id", F.lit(0)).alias("k0"),
-        row_hash("doc_id", "text").alias("k1"))
-    lines = _keys(rows.select("k0", "k1", "text")).select(
-        "k0", "k1", F.posexplode_outer("keys").alias("pos", "key")).where(F.col("key") != "")
+    carried = [F.col(f"`{c}`") for c in ("doc_id", *keep)]
+    rows = docs.select(*carried, text_of().alias("_text"), F.coalesce("doc_id", F.lit(0)).alias("_k0"),
+                       row_hash("doc_id", "text").alias("_k1"))
+    lines = _keys(docs.select("text", F.coalesce("doc_id", F.lit(0)).alias("_k0"),
+                              row_hash("doc_id", "text").alias("_k1"))).select(
+        "_k0", "_k1", F.posexplode_outer("keys").alias("pos", "key")).where(F.col("key") != "")
     # A line may make up a third of all lines: its copies go to SALTS tasks, the run's hash to each.
-    salt = F.pmod(F.xxhash64("k1", "pos"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("_k1", "pos"), F.lit(SALTS)).cast("int")
     frequent = runs.frequent(min_docs).withColumn(
         "salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     kept = _hashed(lines, "key").withColumn("salt", salt).join(
         frequent.hint("merge"), [*HASH, "salt"], "left_anti")
-    places = kept.groupBy("k0", "k1").agg(F.collect_list("pos").alias("kept"))
+    places = kept.groupBy("_k0", "_k1").agg(F.collect_list("pos").alias("_kept"))
     blank = F.filter(
-        F.transform(F.split("text", "\n", -1),
+        F.transform(F.split("_text", "\n", -1),
                     lambda x, i: F.when(F.btrim(x, F.lit(SPACE)) == "", i)), lambda x: x.isNotNull())
-    joined = rows.withColumn("blank", blank).join(places, ["k0", "k1"], "left").drop("k0", "k1")
-    fields = [joined.schema["doc_id"], *[joined.schema[c] for c in keep],
-              T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()),
-              T.StructField("n_dropped", T.LongType())]
-    return joined.mapInPandas(_rebuild, T.StructType(fields))
+    joined = rows.withColumn("_blank", blank).join(places, ["_k0", "_k1"], "left").drop("_k0", "_k1")
+    return joined.mapInPandas(_rebuild, T.StructType([
+        *docs.select(*carried).schema.fields, T.StructField("_kept_text", T.StringType()),
+        T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())]))
 
 
 def ingest(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:

@@ -79,14 +79,16 @@ class Shingler:
         return np.fromiter(map(known.__getitem__, words), "u8", len(words))
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.empty(0, "u8")
+        return np.unique(self.every(words)) if words else np.empty(0, "u8")
+
+    def every(self, words: list[bytes]) -> np.ndarray:
+        """In order, repeats included; a list shorter than a shingle is one."""
         h, width = self._hashes(words), min(self.width, len(words))
         n = len(h) - width + 1
         out = np.full(n, width, "u8")
         for i in range(width):
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n])
-        return np.unique(out)
+        return out
 
 
 def _multipliers() -> np.ndarray:

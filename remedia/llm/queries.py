@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedia.llm import bpe, fingerprint, line_dedup, near_dedup, packing
+import corpus_pipeline
+from remedia.llm import bpe, chat, fingerprint, language, line_dedup, near_dedup, packing, quality, toxicity, warc
 from remedia.llm.common import table
 from remedia.llm.tokens import vocabulary
 
@@ -14,7 +15,8 @@ LINE_MIN_DOCS = 10
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(table(spark, sf_dir, "documents"), LINE_MIN_DOCS)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                      F.sha2("_kept_text", 256).alias("kept_sha256"))
 
 
 OP1_SQL = r"""
@@ -33,6 +35,12 @@ FROM marked JOIN docs USING (r) GROUP BY r
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -77,10 +85,70 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+#: Tools of the calls that are derived from the assistant's turns.
+SCHEMAS = {
+    name: {"type": "object", "required": ["query", "turn"], "additionalProperties": False,
+           "properties": {"query": {"type": "string", "minLength": 1, "maxLength": 1000},
+                          "turn": {"type": "integer", "minimum": 0, "maximum": 6}, "after": {"type": "string"}}}
+    for name in ("search", "look_up")}
+
+
+def op9_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn is a call, the next turn of its conversation the result; turn n uses the call of turn n / 2."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+
+    def call_id(turn) -> Column:
+        return F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")))
+
+    before = F.floor(F.col("turn") / 2)
+    calls = rows.where("role = 'assistant'").select(
+        "conv_id", "turn", call_id(F.col("turn")).alias("call_id"),
+        F.when(F.col("turn") % 3 == 0, "count").when(F.col("turn") % 3 == 1, "search").otherwise("look_up").alias("name"),
+        F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("query"),
+                           F.when(before < F.col("turn"), call_id(before)).alias("after"))).alias("arguments"))
+    results = rows.where("turn > 0").select(
+        call_id(F.col("turn") - 1).alias("call_id"), F.struct("turn", "text").alias("result_order"), F.col("text").alias("content"))
+    needs = rows.where("role = 'assistant' AND turn > 0").select(
+        call_id(F.col("turn")).alias("call_id"), call_id(before).alias("needs"))
+    out = chat.link(calls, results, needs, SCHEMAS)
+    return out.select("conv_id", "turn", "call_id", "name", "n_results", "level", "valid",
+                      F.sha2("result", 256).alias("result_sha256"), F.sha2("message", 256).alias("message_sha256"))
+
+
+TOXIC_FROM = 0.7
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, model, "doc_id").select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
+    "op2_language_id": (op2_language_id, None),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op4_bpe": (op4_bpe, None),
     "op5_near_dedup": (op5_near_dedup, OP5_SQL),
+    "op6_warc": (op6_warc, None),
+    "op7_toxicity": (op7_toxicity, None),
+    "op8_quality_rules": (op8_quality_rules, None),
+    "op9_chat_tools": (op9_chat_tools, None),
     "op10_fingerprint": (op10_fingerprint, None),
+    "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
