@@ -41,23 +41,22 @@ LANES = [f"x{i}" for i in range(EXACT)] + [f"s{i}" for i in range(SKETCH)] + ["w
 LAST = -(2**63)
 
 
-def _windows(paragraph: Column) -> Column:
-    """Hashes of the three-word windows; a shorter paragraph is one window, a blank one none."""
-    words = F.filter(F.split(paragraph, "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
-
+def _windows() -> Column:
+    """Hashes of the three-word windows of ``ws``; a shorter paragraph is one window, a blank one none."""
     def hashed(w: Column, i: Column) -> Column:
-        return F.xxhash64(w, *[F.get(words, i + k) for k in range(1, WORDS)])
+        return F.xxhash64(w, *[F.get("ws", i + k) for k in range(1, WORDS)])
 
-    starts = F.greatest(F.size(words) - F.lit(WORDS - 1), F.lit(1))
-    return F.slice(F.transform(words, hashed), F.lit(1), starts)
+    return F.slice(F.transform("ws", hashed), F.lit(1), F.greatest(F.size("ws") - F.lit(WORDS - 1), F.lit(1)))
 
 
 def paragraph_rows(texts: DataFrame, text: Column, *by: str) -> DataFrame:
     """Rows of paragraphs: lanes that are summed. One row per window, the exact lanes on the first alone."""
+    exact = [f"h{i}" for i in range(EXACT // 2)]
     lines = texts.select(*by, F.explode(F.split(text, "\n", -1)).alias("line"))
-    hashed = lines.select(*by, *[F.xxhash64(F.lit(i), "line").alias(f"h{i}") for i in range(EXACT // 2)],
-                          _windows(F.col("line")).alias("parts"))
-    return hashed.select(*by, *[f"h{i}" for i in range(EXACT // 2)], F.posexplode_outer("parts").alias("pos", "part"))
+    # The words are a column of their own: inside the windows' function they would be cut anew at each word.
+    cut = lines.select(*by, *[F.xxhash64(F.lit(i), "line").alias(h) for i, h in enumerate(exact)], F.filter(
+        F.split("line", "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "").alias("ws"))
+    return cut.select(*by, *exact, F.posexplode_outer(_windows()).alias("pos", "part"))
 
 
 def summed(rows: DataFrame, *by: str) -> DataFrame:
