@@ -1,8 +1,9 @@
-"""Business-day arithmetic as equi-joins against one small calendar table.
+"""Business-day arithmetic as equi-joins against a calendar table.
 
-The table has one row per day of a bounded range of years, so its size is known
-before any data is read (at most ``MAX_YEARS * 366`` rows) and it can be
-broadcast whatever the size of the fact table.
+The table has one row per day of the years that the dates at hand need: their range is
+read from the data unless a calendar is given. The joins carry no hint; a calendar of
+some centuries is small enough for Spark to broadcast by its own size check, and one that
+an outlier date stretches further is joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -13,10 +14,21 @@ from pyspark.sql import functions as F
 from remedia.functions.dates import is_business_day, is_federal_holiday
 
 FIRST_YEAR, LAST_YEAR = 1990, 2060
-MAX_YEARS = 200
 HORIZON = 20  # longest business-day period any rule counts
 
 
+def calendar_for(df: DataFrame, *dates: Column, steps: Column | None = None) -> DataFrame:
+    """A calendar of all years of ``dates``, and of ``steps`` business days on either side."""
+    bounds = [f(d) for d in dates for f in (F.min, F.max)]
+    reach = F.max(F.abs(steps)) if steps is not None else F.lit(0)
+    *days, most = df.agg(*[b.alias(f"_{i}") for i, b in enumerate(bounds)], reach.alias("_most")).first()
+    years = [d.year for d in days if d is not None]
+    if not years:
+        return business_calendar(df.sparkSession)
+    more = 1 + (most or 0) // 240  # every year has more business days than that
+    return business_calendar(df.sparkSession, max(1, min(years) - more), max(years) + more)
+
+
 def business_calendar(
     spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR,
 ) -> DataFrame:
@@ -26,8 +38,8 @@ def business_calendar(
     (k+1)-th business day after it, for the first ``HORIZON`` of them.
     """
     years = last_year - first_year + 1
-    if not 1 <= years <= MAX_YEARS:
-        raise ValueError(f"the calendar is broadcast, so it is limited to {MAX_YEARS} years")
+    if years < 1:
+        raise ValueError("the last year comes before the first")
     start = F.make_date(F.lit(first_year), F.lit(1), F.lit(1))
     days = spark.range(0, years * 366 + 1, 1, 1).select(
         F.date_add(start, F.col("id").cast("int")).alias("day"))
@@ -53,14 +65,15 @@ def add_business_days(
 
     A positive step lands on the business day with index ``idx(start) + n``; a
     negative one on index ``idx(start) - is_business_day(start) + n + 1``. Two
-    broadcast joins on a unique key, whatever the size of ``n``.
+    joins on a unique key, whatever the size of ``n``.
     """
-    calendar = calendar if calendar is not None else business_calendar(df.sparkSession)
-    from_day = F.broadcast(calendar.select(
+    if calendar is None:
+        calendar = calendar_for(df, F.col(start).cast("date"), steps=F.col(n))
+    from_day = calendar.select(
         F.col("day").alias(start),
-        F.col("idx").alias("_from_idx"), F.col("is_business_day").alias("_from_bd")))
-    to_idx = F.broadcast(calendar.where("is_business_day").select(
-        F.col("idx").alias("_to_idx"), F.col("day").alias("_to_day")))
+        F.col("idx").alias("_from_idx"), F.col("is_business_day").alias("_from_bd"))
+    to_idx = calendar.where("is_business_day").select(
+        F.col("idx").alias("_to_idx"), F.col("day").alias("_to_day"))
     target = (
         F.when(F.col(n) > 0, F.col("_from_idx") + F.col(n))
         .when(F.col(n) < 0,
@@ -78,11 +91,11 @@ def business_days_between(
     df: DataFrame, start: str, end: str, out: str, calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Business days after ``start`` up to and including ``end``; antisymmetric."""
-    calendar = calendar if calendar is not None else business_calendar(df.sparkSession)
+    if calendar is None:
+        calendar = calendar_for(df, F.col(start).cast("date"), F.col(end).cast("date"))
     for side in (start, end):
         df = df.join(
-            F.broadcast(calendar.select(
-                F.col("day").alias(side), F.col("idx").alias(f"_idx_{side}"))),
+            calendar.select(F.col("day").alias(side), F.col("idx").alias(f"_idx_{side}")),
             side, "left")
     return (
         df.withColumn(out, F.col(f"_idx_{end}") - F.col(f"_idx_{start}"))
@@ -90,11 +103,11 @@ def business_days_between(
 
 
 def look_ahead(df: DataFrame, anchor: Column, prefix: str, calendar: DataFrame) -> DataFrame:
-    """Add ``{prefix}_idx`` and ``{prefix}_ahead`` for an anchor date: one broadcast join."""
-    side = F.broadcast(calendar.select(
+    """Add ``{prefix}_idx`` and ``{prefix}_ahead`` for an anchor date: one join on the day."""
+    side = calendar.select(
         F.col("day").alias(f"_{prefix}_day"),
         F.col("idx").alias(f"{prefix}_idx"),
-        F.col("ahead").alias(f"{prefix}_ahead")))
+        F.col("ahead").alias(f"{prefix}_ahead"))
     return df.join(side, anchor == F.col(f"_{prefix}_day"), "left").drop(f"_{prefix}_day")
 
 
@@ -105,7 +118,8 @@ def nth_ahead(prefix: str, n: int | Column) -> Column:
 def next_business_day(
     df: DataFrame, start: str, out: str, calendar: DataFrame | None = None,
 ) -> DataFrame:
-    calendar = calendar if calendar is not None else business_calendar(df.sparkSession)
+    if calendar is None:
+        calendar = calendar_for(df, F.col(start).cast("date"))
     return (
         look_ahead(df, F.col(start), "_nbd", calendar)
         .withColumn(out, nth_ahead("_nbd", 1))

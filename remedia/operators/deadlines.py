@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from remedia import policy
 from remedia.functions.dates import iso, parse_day
-from remedia.operators.calendar import business_calendar, look_ahead, nth_ahead
+from remedia.operators.calendar import calendar_for, look_ahead, nth_ahead
 from remedia.session import unnest
 
 DEADLINE = "struct<name:string,due:date,basis:string,citation:string,note:string>"
@@ -278,10 +278,9 @@ def compute_deadlines(
     """Add the deadline struct (and the liability struct of REG_E rows) to every dispute.
 
     A missing date a regulation needs gives an empty result with ``error``; an
-    unknown regulation takes the FDCPA branch. No shuffle: every join is a
-    broadcast of the calendar.
+    unknown regulation takes the FDCPA branch. The calendar's years are those of the
+    dates themselves, so no date is outside it.
     """
-    calendar = calendar if calendar is not None else business_calendar(df.sparkSession)
     flags = {n: _field(df, n) for n in DISPUTE_DEFAULTS if not n.endswith(("_date", "opened"))}
     keep = df.columns
     work = df.select(
@@ -298,6 +297,8 @@ def compute_deadlines(
     credit = F.col("_provisional_credit_given")
     new = reg_e_new_account(notice, opened)
 
+    if calendar is None:
+        calendar = calendar_for(work, notice, F.col("_discovery"))
     work = look_ahead(work, notice, "notice", calendar)
     conclusion = (
         F.when(credit, F.date_add(notice, reg_e_extended_days(new, pos, foreign)))
@@ -329,7 +330,8 @@ def compute_deadlines(
         work = look_ahead(work.withColumn("_found", F.coalesce(F.col("_discovery"), notice)),
                           F.col("_found"), "found", calendar)
         added.append(F.when(
-            (reg == "REG_E") & notice.isNotNull() & statement.isNotNull(),
+            (reg == "REG_E") & notice.isNotNull() & statement.isNotNull()
+            & F.col("notice_idx").isNotNull() & F.col("found_idx").isNotNull(),
             regulation_e_liability(
                 F.col("notice_idx") - F.col("found_idx"), _days(notice, statement),
                 F.col("_access_device"))).alias(liability))

@@ -130,3 +130,14 @@ def test_deadlines_do_not_shuffle(spark):
     plan = compute_deadlines(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("year", [1905, 1985, 2024, 2065, 2190])
+def test_any_year(spark, year):
+    """The calendar follows the dates: the same clock gives the same tier in every century."""
+    rows = [("REG_E", f"{year}-06-04", f"{year}-06-03", f"{year}-05-20", True)]
+    df = spark.createDataFrame(
+        rows, "regulation string, notice_date string, discovery_date string, statement_date string, access_device boolean")
+    got = compute_deadlines(df).first()
+    assert got.deadlines.error is None and got.liability.tier == "tier 1"
+    assert got.liability.liability_cap_usd == 50.0
