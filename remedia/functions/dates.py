@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from remedia.functions.text import strip
+
 # fixed values: (month, day, first year observed) of the fixed-date federal holidays
 FIXED_HOLIDAYS = [(1, 1, 0), (6, 19, 2021), (7, 4, 0), (11, 11, 0), (12, 25, 0)]
 # fixed values: (month, weekday with Monday = 0, first and last day of month it can fall on)
@@ -23,7 +25,7 @@ FRIDAY, SATURDAY, MONDAY = 4, 5, 0
 
 def parse_day(text: Column) -> Column:
     """ISO day from the first ten characters of the trimmed text; NULL when it is not one."""
-    head = F.substring(F.trim(text.cast("string")), 1, 10)
+    head = F.substring(strip(text.cast("string")), 1, 10)
     return F.coalesce(
         F.try_to_date(head, "yyyy-MM-dd"), F.try_to_date(head, "yyyyMMdd"))
 

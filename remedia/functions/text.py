@@ -16,17 +16,22 @@ PYTHON_INT = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
 TOKEN = r"[A-Za-z][A-Za-z0-9]*|(?U)\d+(?:\.\d+)*"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def to_float(text: Column) -> Column:
     """Number from text; NULL when the text is not one (``1_000`` is, ``1.5f`` is not)."""
     # only text with one of these letters can be read differently by a plain cast
     careful = F.when(text.rlike(PYTHON_FLOAT),
-                     F.regexp_replace(F.trim(text), "_", "").try_cast("double"))
+                     F.regexp_replace(strip(text), "_", "").try_cast("double"))
     return F.when(text.rlike("[_dDfFxXpP]"), careful).otherwise(text.try_cast("double"))
 
 
 def to_int(text: Column) -> Column:
     return F.when(text.rlike(PYTHON_INT),
-                  F.regexp_replace(F.trim(text), "_", "").try_cast("int"))
+                  F.regexp_replace(strip(text), "_", "").try_cast("int"))
 
 
 def money(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from remedia import policy
 from remedia.functions.dates import parse_day
-from remedia.functions.text import to_float, to_int, word_count
+from remedia.functions.text import strip, to_float, to_int, word_count
 from remedia.operators import contracts as c
 from remedia.operators.deadlines import regulation_for_issue
 from remedia.operators.skew import join_unique
@@ -60,9 +60,9 @@ def parse_complaints(bronze: DataFrame) -> DataFrame:
     amount_text = F.coalesce(F.col("disputed_amount"), F.lit(""))
     amount = F.when(amount_text != "", to_float(amount_text))
     received = parse_day(F.col("date_received"))
-    trimmed = {n: F.trim(F.coalesce(F.col(n), F.lit(""))) for n in TEXT_FIELDS}
-    stated = F.trim(F.coalesce(F.col("regulation"), F.lit("")))
-    yes = {n: F.coalesce(F.trim(F.col(n)) == "Yes", F.lit(False))
+    trimmed = {n: strip(F.coalesce(F.col(n), F.lit(""))) for n in TEXT_FIELDS}
+    stated = strip(F.coalesce(F.col("regulation"), F.lit("")))
+    yes = {n: F.coalesce(strip(F.col(n)) == "Yes", F.lit(False))
            for n in ("timely_response", "consumer_disputed")}
     error = F.coalesce(
         F.when(F.col("complaint_id").isNull(), F.lit("KeyError: 'complaint_id'")),
@@ -72,7 +72,7 @@ def parse_complaints(bronze: DataFrame) -> DataFrame:
         F.when((amount_text != "") & amount.isNull(), F.concat(
             F.lit("ValueError: could not convert string to float: '"), amount_text, F.lit("'"))))
     typed = F.struct(
-        F.trim("complaint_id").alias("complaint_id"),
+        strip(F.col("complaint_id")).alias("complaint_id"),
         received.alias("date_received"),
         trimmed["product"].alias("product"),
         trimmed["issue"].alias("issue"),
@@ -85,7 +85,7 @@ def parse_complaints(bronze: DataFrame) -> DataFrame:
         trimmed["company_response"].alias("company_response"),
         *[yes[n].alias(n) for n in yes])
     return bronze.select(
-        "*", F.trim("complaint_id").alias("_key"), typed.alias("_typed"), error.alias("_error"))
+        "*", strip(F.col("complaint_id")).alias("_key"), typed.alias("_typed"), error.alias("_error"))
 
 
 def split_silver(parsed: DataFrame, duplicate_reason: str | None, ordinal: list[str] | None,
@@ -161,7 +161,7 @@ def silver_fraud(bronze: DataFrame, ordinal: list[str] | None = None) -> Layer:
         *[_bad_number(n, v, "int") for n, v in ints.items()],
         *[_bad_number(n, v) for n, v in floats.items()])
     typed = F.struct(
-        F.trim("application_id").alias("application_id"),
+        strip(F.col("application_id")).alias("application_id"),
         *[v.alias(n) for n, v in ints.items()], *[v.alias(n) for n, v in floats.items()])
     parsed = bronze.select("*", typed.alias("_typed"), error.alias("_error"))
     clean, quarantine = split_silver(parsed, None, None, raw)

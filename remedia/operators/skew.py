@@ -9,12 +9,6 @@ HOT_SHARE = 0.001  # a key with this share of the rows is hot; at most 1 / HOT_S
 SALTS = 64
 BUCKETS = 64  # a square
 SAMPLE = 64 * BUCKETS
-BROADCAST_ROWS = 200_000  # narrow rows; checked by counting before any explicit broadcast
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; stops counting just above the limit."""
-    return df.limit(rows + 1).count() <= rows
 
 
 def join_unique(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from remedia import policy
 from remedia.functions.dates import iso, parse_day
-from remedia.functions.text import parse_money
+from remedia.functions.text import money, parse_money, strip
 
 ISSUE = "struct<field:string,severity:string,message:string>"
 ISSUES = f"array<{ISSUE}>"
@@ -41,13 +41,23 @@ def _two(amount: Column) -> Column:
     return F.format_string("%.2f", amount)
 
 
+def _plain(amount: Column) -> Column:
+    """The number with all its digits and no exponent, at least one behind the point."""
+    digits = F.regexp_replace(amount.cast("decimal(38,10)").cast("string"), "0+$", "")
+    return F.coalesce(F.regexp_replace(digits, r"\.$", ".0"), amount.cast("string"))
+
+
+def _number(amount: Column, kind: str) -> Column:
+    return money(amount) if kind == "string" else amount.cast("double")
+
+
 def amount_issues(amount: Column) -> Column:
     """Issues of the amount alone: missing or unparseable, not positive."""
     return F.when(amount.isNull(), F.array(issue(
         "disputed_amount", "error", "the disputed amount is missing or unparseable"))
     ).when(amount <= 0, F.array(issue(
         "disputed_amount", "error",
-        F.concat(F.lit("the disputed amount must be positive, got "), amount.cast("string"))))
+        F.concat(F.lit("the disputed amount must be positive, got "), _plain(amount))))
     ).otherwise(no_issues())
 
 
@@ -70,10 +80,11 @@ def validate_amounts(df: DataFrame, out: str = "amount_check") -> DataFrame:
     total = F.lit(None).cast("double")
     listed = no_issues()
     if "transactions" in df.columns:
+        kind = df.schema["transactions"].dataType.elementType["amount"].dataType.simpleString()
         items = F.transform(
             "transactions",
             lambda t: F.struct(t["id"].cast("string").alias("id"),
-                               t["amount"].cast("double").alias("amount")))
+                               _number(t["amount"], kind).alias("amount")))
         any_listed = F.coalesce(F.size("transactions") > 0, F.lit(False))
         total = F.when(any_listed, F.round(F.aggregate(
             items, F.lit(0.0), lambda acc, t: acc + F.coalesce(t["amount"], F.lit(0.0))), 2))
@@ -105,7 +116,7 @@ def reconcile_transactions(
     that owns a large share of them is no hot task), then joined one to one.
     Adds ``transaction_total, transactions, unparseable, reconciles``.
     """
-    value = F.col(txn_amount).cast("double")
+    value = parse_money(transactions, txn_amount)
     totals = transactions.groupBy(key).agg(
         F.round(F.sum(F.coalesce(value, F.lit(0.0))), 2).alias("transaction_total"),
         F.count(F.lit(1)).alias("transactions"),
@@ -190,7 +201,7 @@ def map_reason_code(code: Column, complaint_issue: Column) -> Column:
         *[F.lit(x) for kv in policy.REASON_CODE_OF_ISSUE.items() for x in kv])
     stated = F.coalesce(code != "", F.lit(False))
     derived = F.try_element_at(by_issue, F.coalesce(complaint_issue, F.lit("")))
-    entry = F.try_element_at(entries, F.when(stated, F.trim(code)).otherwise(derived))
+    entry = F.try_element_at(entries, F.when(stated, strip(code)).otherwise(derived))
     mapped = entry.isNotNull()
     return F.struct(
         mapped.alias("mapped"),
