@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Each direction reads a byte at a time through a gated recurrent unit; at every position a
-softmax over both states labels the byte, and a document's probabilities are the mean over
-the bytes of its letters. The network is trained in numpy by backpropagation through time
+Each direction reads a byte at a time through a gated recurrent unit, whose gates are
+piecewise linear; at every position a softmax over both states labels the byte, and a
+document's probabilities are the mean over the bytes of its letters. The network is trained in numpy by backpropagation through time
 on windows of a bounded sample of documents (``SAMPLE_DOCS``, taken by hash, with
 ``WINDOWS`` windows spread over each whole text). Whole texts are labelled: they are cut
 into windows that overlap by ``CONTEXT`` bytes on either side, so that both states are warm
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from remedia.llm.common import text_of
 
-HIDDEN = 12
+HIDDEN = 10
+#: Gates are piecewise linear: clip(SLOPE * z + 1/2, 0, 1).
+SLOPE = np.float32(0.25)
 SAMPLE_DOCS = 2000
 WINDOWS, WINDOW = 8, 64
-STEPS, BATCH, RATE = 260, 128, 0.02
-SPAN, CONTEXT = 192, 24
-ROWS = 1536
+STEPS, BATCH, RATE = 360, 128, 0.02
+SPAN, CONTEXT = 256, 16
+ROWS = 768
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 BLANK = 32
@@ -62,10 +64,7 @@ def run(p: dict[str, np.ndarray], codes: np.ndarray, tape: list | None = None) -
         for i in range(t):
             given = x[seen[i]]
             gates = given[:, :2 * h] + state @ u[:, :2 * h]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
-            gates += 1
-            gates *= 0.5
+            gates = np.clip(SLOPE * gates + 0.5, 0, 1)
             keep, reset = gates[:, :h], gates[:, h:]
             held = state @ u[:, 2 * h:]
             new = np.tanh(given[:, 2 * h:] + reset * held)
@@ -107,9 +106,9 @@ def gradients(p: dict[str, np.ndarray], codes: np.ndarray, labels: np.ndarray) -
         u = p["u"][d]
         dh = back[d][i] + flow[d]
         d_new = dh * (1 - keep) * (1 - new * new)
-        d_keep = dh * (state - new) * keep * (1 - keep)
+        d_keep = dh * (state - new) * SLOPE * ((keep > 0) & (keep < 1))
         d_held = d_new * reset
-        d_reset = d_new * held * reset * (1 - reset)
+        d_reset = d_new * held * SLOPE * ((reset > 0) & (reset < 1))
         d_gates = np.concatenate([d_keep, d_reset], 1)
         flow[d] = dh * keep + d_gates @ u[:, :2 * h].T + d_held @ u[:, 2 * h:].T
         g["u"][d][:, :2 * h] += state.T @ d_gates
@@ -141,52 +140,115 @@ def train(windows: list[bytes], labels: np.ndarray, classes: int, steps: int = S
     return p
 
 
+class Network:
+    """The trained network for labelling alone: unit-major arrays, the gates' slope and offset in the weights."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        slope = np.repeat(np.array([SLOPE, SLOPE, 1], "f4"), HIDDEN)
+        offset = np.repeat(np.array([0.5, 0.5, 0], "f4"), HIDDEN)
+        self.x = [np.ascontiguousarray((p["x"][d] * slope + offset).T) for d in (0, 1)]
+        self.u = [np.ascontiguousarray((p["u"][d] * slope).T) for d in (0, 1)]
+        self.o = [np.ascontiguousarray(p["o"][d].T) for d in (0, 1)]
+        self.c = p["c"][:, None]
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """Probabilities (time, class, row) of ``codes`` (time, row)."""
+        t, n = codes.shape
+        h = HIDDEN
+        logits = np.empty((t, len(self.c), n), "f4")
+        given, own = np.empty((3 * h, n), "f4"), np.empty((3 * h, n), "f4")
+        part = np.empty((len(self.c), n), "f4")
+        for d in (0, 1):
+            x, u, o = self.x[d], self.u[d], self.o[d]
+            state = np.zeros((h, n), "f4")
+            for i in range(t) if d == 0 else range(t - 1, -1, -1):
+                np.take(x, codes[i], axis=1, out=given, mode="clip")
+                np.matmul(u, state, out=own)
+                gates, new, held = given[:2 * h], given[2 * h:], own[2 * h:]
+                gates += own[:2 * h]
+                np.maximum(gates, 0, out=gates)
+                np.minimum(gates, 1, out=gates)
+                held *= gates[h:]
+                new += held
+                np.tanh(new, out=new)
+                state -= new
+                state *= gates[:h]
+                state += new
+                if d == 0:
+                    np.add(np.matmul(o, state, out=part), self.c, out=logits[i])
+                else:
+                    logits[i] += np.matmul(o, state, out=part)
+        logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(1, keepdims=True)
+        return logits
+
+
+def letters(codes: np.ndarray) -> np.ndarray:
+    """Bytes of letters; all bytes above ASCII count as such."""
+    return ((codes | 32) - 97 < 26) | (codes > 127)
+
+
 class Model:
     """Bounded: goes to the tasks with the function."""
 
     def __init__(self, langs: list[str], parameters: dict[str, np.ndarray] | None):
-        self.langs, self.parameters = langs, parameters
+        self.langs = langs
+        self.network = None if parameters is None else Network(parameters)
 
-    def label(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Probabilities (byte, class) of every byte of every text."""
+    def _blocks(self, texts: list[bytes]):
+        """(text, place) of each window, codes and probabilities, ``ROWS`` windows at a time."""
         places = [(i, at) for i, t in enumerate(texts) for at in range(0, len(t), SPAN)]
-        out = [np.empty((len(t), len(self.langs)), "f4") for t in texts]
-        length = SPAN + 2 * CONTEXT
         for b in range(0, len(places), ROWS):
             part = places[b:b + ROWS]
-            codes = np.full((len(part), length), BLANK, "u1")
-            for r, (i, at) in enumerate(part):
+            rows = []
+            for i, at in part:
                 low = max(0, at - CONTEXT)
-                cut = np.frombuffer(texts[i][low:at + SPAN + CONTEXT], "u1")
-                skip = CONTEXT - (at - low)
-                codes[r, skip:skip + len(cut)] = cut
-            prob = positions(self.parameters, run(self.parameters, np.ascontiguousarray(codes.T)))
+                window = b" " * (CONTEXT - (at - low)) + texts[i][low:at + SPAN + CONTEXT]
+                rows.append(window.ljust(SPAN + 2 * CONTEXT))
+            codes = np.frombuffer(b"".join(rows), "u1").reshape(len(part), -1)
+            codes = np.ascontiguousarray(codes.T)
+            yield part, codes, self.network(codes.astype("i8"))
+
+    def label(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Probabilities (byte, class) of every byte of every text."""
+        out = [np.empty((len(t), len(self.langs)), "f4") for t in texts]
+        for part, _, prob in self._blocks(texts):
             for r, (i, at) in enumerate(part):
                 n = min(SPAN, len(texts[i]) - at)
-                out[i][at:at + n] = prob[CONTEXT:CONTEXT + n, r]
+                out[i][at:at + n] = prob[CONTEXT:CONTEXT + n, :, r]
         return out
 
-    def pool(self, text: bytes, prob: np.ndarray) -> np.ndarray:
-        """Mean over the bytes of letters; all bytes above ASCII count as such."""
-        codes = np.frombuffer(text, "u1")
-        letter = ((codes | 32) - 97 < 26) | (codes > 127)
-        return prob[letter].mean(0, dtype="f8") if letter.any() else prob.mean(0, dtype="f8")
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """Mean probabilities (text, class) over the bytes of letters, over all bytes where there are none."""
+        sums = np.zeros((2, len(texts), len(self.langs)))
+        sizes = np.zeros((2, len(texts)))
+        time = np.arange(SPAN)[:, None]
+        for part, codes, prob in self._blocks(texts):
+            owner = np.array([i for i, _ in part])
+            there = time < np.array([len(texts[i]) - at for i, at in part])
+            inner = prob[CONTEXT:CONTEXT + SPAN]
+            for k, mask in enumerate((there & letters(codes[CONTEXT:CONTEXT + SPAN]), there)):
+                np.add.at(sums[k], owner, np.einsum("tcn,tn->nc", inner, mask.astype("f4")))
+                np.add.at(sizes[k], owner, mask.sum(0))
+        of = np.where(sizes[0] > 0, 0, 1)
+        rows = np.arange(len(texts))
+        return sums[of, rows] / np.maximum(sizes[of, rows], 1)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [bool(t) and LETTER.search(t) is not None and self.parameters is not None for t in texts]
-        raw = [t.encode("utf-8") if k else b"" for t, k in zip(texts, known, strict=True)]
+        known = [bool(t) and LETTER.search(t) is not None and self.network is not None for t in texts]
         langs, scores = [], []
-        for start in range(0, len(raw), 64):
-            block = raw[start:start + 64]
-            for text, prob, k in zip(block, self.label(block) if any(block) else block, known[start:], strict=False):
-                if not k:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                pooled = self.pool(text, prob)
-                best = int(pooled.argmax())
-                langs.append(self.langs[best])
-                scores.append(float(min(1.0, pooled[best])))
+        for start in range(0, len(texts), 64):
+            flags = known[start:start + 64]
+            block = [t.encode("utf-8") if k else b"" for t, k in zip(texts[start:start + 64], flags, strict=True)]
+            if not any(flags):
+                langs += [UNKNOWN] * len(flags)
+                scores += [0.0] * len(flags)
+                continue
+            pooled = self.pooled(block)
+            for k, best, p in zip(flags, pooled.argmax(1), pooled, strict=True):
+                langs.append(self.langs[best] if k else UNKNOWN)
+                scores.append(float(min(1.0, p[best])) if k else 0.0)
         return langs, scores
 
 
@@ -221,6 +283,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def spans(text: str, model: Model) -> list[tuple[int, int, str]]:
     """Stretches of bytes (start, end, language) of equal labels."""
     raw = text.encode("utf-8")
-    best = model.label([raw])[0].argmax(1) if raw and model.parameters is not None else np.empty(0, int)
+    best = model.label([raw])[0].argmax(1) if raw and model.network is not None else np.empty(0, int)
     edges = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), len(best)]
     return [(a, b, model.langs[best[a]]) for a, b in zip(edges, edges[1:], strict=False) if a < b]
