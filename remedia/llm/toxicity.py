@@ -6,8 +6,8 @@ the letters that it may stand for, or nothing where it repeats or parts. Viterbi
 under a trigram language model of characters finds the likeliest reading; a word whose
 lattice has a single path is its own reading. The model's counts come from all documents.
 
-The restored words are scored by a lexicon learned from all labelled rows: words and word
-beginnings that occur in toxic documents far beyond chance (G test), each with its
+The restored words are scored by a lexicon learned from a bounded sample of the labelled rows
+(``SAMPLE_ROWS``, taken by a hash of the id): words and word beginnings that occur in toxic documents far beyond chance (G test), each with its
 precision. A document's score is the chance that one of its words is toxic after all
 (noisy or), on top of the base rate. Counting is done in the tasks first; the lexicon is
 bounded by ``LEXICON`` entries, the language model by its alphabet.
@@ -19,6 +19,7 @@ table or no labels at all give scores of 0. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +42,7 @@ PARTING = set(".-_*'~^,:/")
 #: Log probabilities of the channel.
 AS_SIGN, LITERAL, DROPPED, DOUBLED = -0.5, -9.0, -0.5, -2.0
 LEXICON = 4096
+SAMPLE_ROWS = 12_000
 LEAST_G = 30.0
 LEAST_PRECISION = 0.9
 BEGINNINGS = (4, 5, 6)
@@ -49,6 +51,9 @@ FLUSH = 200_000
 
 SUSPECT = regex.compile(r"\p{L}[0-9@$!|+€._*~^-]+\p{L}|^[0-9@$!|+€]\p{L}|\p{L}[0-9@$|+€]+$|(\p{L})\1\1")
 SPACED = regex.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+#: Signs that EDGES takes away too, cut first: most words are letters alone then, and need no pattern.
+PLAIN_EDGES = ".,;:?\"'()[]{}-_*"
+TRIPLE = re.compile(r"(.)\1\1")
 EDGES = regex.compile(r"^[^\p{L}0-9@$!|+€]+|[^\p{L}0-9@$|+€]+$")
 
 
@@ -121,7 +126,10 @@ class Restorer:
 
     def restore(self, word: str) -> str:
         """``word`` in lower case, without the punctuation around it."""
-        core = EDGES.sub("", word)
+        core = word.strip(PLAIN_EDGES)
+        if core.isalpha() and not TRIPLE.search(core):
+            return core
+        core = EDGES.sub("", core)
         if len(core) > 64 or not SUSPECT.search(core):
             return core
         return self.decode(core)
@@ -161,32 +169,38 @@ class Model:
         self.counts, self.lexicon, self.rate = counts, lexicon, rate
 
     def scorer(self):
-        features, best, rate = Features(Restorer(self.counts)), {}, self.rate
+        features, lexicon, rate = Features(Restorer(self.counts)), self.lexicon, self.rate
+        seen: set[str] = set()
+        marked: dict[str, float] = {}
 
-        def value(parts: tuple[str, ...]) -> float:
-            return max((self.lexicon.get(p, 0.0) for p in parts), default=0.0)
+        def value(word: str) -> float:
+            return max((lexicon.get(p, 0.0) for p in features.of_word(word)), default=0.0)
 
         def score(text: str) -> float:
-            if len(best) > CACHE_WORDS:
-                best.clear()
+            if len(seen) > CACHE_WORDS:
+                seen.clear()
+                marked.clear()
+            found = features.words(text)
+            fresh = found - seen
+            seen.update(fresh)
+            for w in fresh:
+                if p := value(w):
+                    marked[w] = p
             clean = 1.0 - rate
-            for w in features.words(text):
-                p = best.get(w)
-                if p is None:
-                    p = best[w] = value(features.of_word(w))
-                if p:
-                    clean *= 1.0 - p
+            for w in sorted(found & marked.keys()):
+                clean *= 1.0 - marked[w]
             return 1.0 - clean
 
         return score
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """From all documents (characters) and all labelled rows that are not held out (words)."""
+    """From all documents (characters) and ``SAMPLE_ROWS`` labelled rows that are not held out (words)."""
     counts = character_counts(docs)
     marked = labels.select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where(
-        "toxic IS NOT NULL AND l_id IS NOT NULL").groupBy("l_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", text_of().alias("text")).join(
+        "toxic IS NOT NULL AND l_id IS NOT NULL").groupBy("l_id").agg(F.max("toxic").alias("toxic")).where(
+        ~held_out(F.col("l_id"))).orderBy(F.xxhash64("l_id"), "l_id").limit(SAMPLE_ROWS)
+    rows = docs.select("doc_id", text_of().alias("text")).join(
         marked, F.col("doc_id") == F.col("l_id")).select("text", "toxic")
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
