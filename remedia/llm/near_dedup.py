@@ -231,22 +231,30 @@ def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return joined.mapInPandas(check, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node that can be reached, by minima over links and label jumps."""
-    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
-        "node", F.least("node", "least").alias("label")), "labels")
+def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """node, label: the least node that can be reached. ``labels``: components that other links made before.
+
+    In each round a whole component takes the least label beside it, and that one's own
+    new label, so rounds grow with the logarithm of a chain's length.
+    """
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    if labels is None:
+        labels = ends.select("node", F.col("node").alias("label"))
+    else:
+        alone = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+        labels = labels.unionByName(alone)
+    labels = stored(labels, "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(
-            F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = stored(lower.join(jump, "label", "left").select(
-            "node", F.least("label", "further").alias("label"), "old"), "labels")
-        labels = moved.select("node", "label")
-        if moved.where("label <> old").limit(1).count() == 0:
+        sided = links.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b").where(
+            F.col("label_a") != F.col("label_b"))
+        moves = stored(sided.groupBy(F.greatest("label_a", "label_b").alias("label")).agg(
+            F.min(F.least("label_a", "label_b")).alias("to")), "moves")
+        if moves.limit(1).count() == 0:
             return labels
+        twice = moves.join(moves.toDF("to", "further"), "to", "left").select(
+            "label", F.coalesce("further", "to").alias("to"))
+        labels = stored(labels.join(twice, "label", "left").select(
+            "node", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def _other_sides(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -280,7 +288,7 @@ def link(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     rest = confirm(_other_sides(near.where("NOT first"), labels), texts, rule)
     more = stored(rest, "links-2")
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        labels = components(more, labels)
     return signed, labels
 
 

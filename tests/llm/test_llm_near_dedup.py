@@ -91,3 +91,18 @@ def test_one_of_each_stays(spark):
     assert out.columns == frame.columns
     ids = sorted((r.doc_id for r in out.collect()), key=str)
     assert ids == sorted([1, 2, 4, None, 5], key=str)
+
+
+def test_components_of_chains_and_later_links(spark):
+    rng = np.random.default_rng(3)
+    names = [rng.bytes(8) for _ in range(300)]
+    first = [(names[i], names[i + 1]) for i in range(199)] + [(names[i], names[i + 1]) for i in range(210, 250)]
+    later = [(names[150], names[230]), (names[260], names[261])]
+
+    def frame(links):
+        return spark.createDataFrame([(min(x), max(x)) for x in links], "a binary, b binary")
+
+    before = components(frame(first))
+    got = {bytes(r["node"]): bytes(r["label"]) for r in components(frame(later), before).collect()}
+    one, other = names[:200] + names[210:251], names[260:262]
+    assert got == {**{n: min(one) for n in one}, **{n: min(other) for n in other}}
