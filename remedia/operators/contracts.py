@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from remedia.operators import skew
+from remedia.session import stored
 
 REPORT = ("position int, name string, column string, severity string, passed boolean, "
           "violations long, detail string, consequence string")
@@ -188,7 +189,8 @@ def first_break(df: DataFrame, column: str, ordinal: Sequence[str]) -> DataFrame
     the nearest earlier one (a table with one row per bucket).
     """
     keys = list(ordinal)
-    rows = skew._bucketed(df.select(*keys, F.col(column).alias("_v")), keys, skew.BUCKETS)
+    rows = skew._bucketed(
+        stored(df.select(*keys, F.col(column).alias("_v")), "ordered"), keys, skew.range_buckets(df))
     key = F.struct(*keys)
     ends = rows.groupBy("_bucket").agg(F.max_by(F.struct("_v"), key).alias("_last"))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from remedia import policy
 from remedia.operators import skew
+from remedia.session import stored
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -76,15 +77,16 @@ def top_rows(df: DataFrame, score: str, tie: str, k: Column) -> DataFrame:
     it are ranked, in key-range buckets. Nothing is sorted in one task.
     """
     scored = df.where(F.col(score).isNotNull())
-    counts = skew.value_counts(scored, score).withColumn("_down", -F.col(score))
+    counts = stored(skew.value_counts(scored, score).withColumn("_down", -F.col(score)), "counts")
     size = counts.agg(F.sum("n")).scalar()
     placed = skew.running_total(counts, ["_down"], "n").withColumn("_n", size)
     edge = placed.withColumn("_k", k.cast("long")).where(
         (F.col("before") < F.col("_k")) & (F.col("_k") <= F.col("before") + F.col("n")))
-    everything = scored.withColumn(
-        "_cut", edge.select(F.max(score)).scalar())
-    sure = everything.where(F.col("_cut").isNull() | (F.col(score) > F.col("_cut"))).drop("_cut")
-    tied = everything.where(F.col(score) == F.col("_cut")).drop("_cut").withColumn(
+    edge = stored(edge, "edge")
+    reached = stored(scored.withColumn("_cut", edge.select(F.max(score)).scalar()).where(
+        F.col("_cut").isNull() | (F.col(score) >= F.col("_cut"))), "reached")
+    sure = reached.where(F.col("_cut").isNull() | (F.col(score) > F.col("_cut"))).drop("_cut")
+    tied = reached.where(F.col(score) == F.col("_cut")).drop("_cut").withColumn(
         "_one", F.lit(1))
     take = edge.select(F.max(F.col("_k") - F.col("before"))).scalar()
     ranked = skew.running_total(tied, [tie], "_one", out="_before").withColumn("_take", take)

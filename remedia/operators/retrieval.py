@@ -270,7 +270,8 @@ def rerank(
             "_asked"))
     regs = queries.select("query_id", (
         F.col("regulation") if has_regulation else F.lit(None).cast("string")).alias("_wanted"))
-    texts = corpus.select(
+    asked_for = candidates.select(F.col("doc_id").alias("id")).distinct()
+    texts = corpus.join(asked_for, "id", "left_semi").select(
         F.col("id").alias("doc_id"), F.col("regulation").alias("_given"),
         F.array_distinct(tokenize(indexed_text(corpus))).alias("_terms"),
         F.array_distinct(tokenize(F.col("title"))).alias("_title"))
@@ -287,14 +288,14 @@ def rerank(
         "_asked", lambda x: F.array_contains(F.col("_shared"), x["term"]))), F.lit(0.0))
     title = F.size(F.array_intersect("_names", "_title")) / F.greatest(
         F.size("_names"), F.lit(1))
-    same = F.when(F.col("_given") == F.col("_wanted"), 2.6).otherwise(0.0)
+    same = F.when(F.col("_given") == F.col("_wanted"), policy.RERANK_REGULATION).otherwise(0.0)
     circular = F.when(
         F.coalesce(F.col("_wanted") != "", F.lit(False)) & (F.col("_given") == "CIRCULAR"),
-        0.35).otherwise(0.0)
+        policy.RERANK_CIRCULAR).otherwise(0.0)
     score = (
-        3.0 / F.col("rank")
-        + 1.5 * (covered / F.when(F.col("_total") == 0, 1.0).otherwise(F.col("_total")))
-        + 0.9 * title + same + circular)
+        policy.RERANK_POSITION / F.col("rank")
+        + policy.RERANK_COVERED * (covered / F.when(F.col("_total") == 0, 1.0).otherwise(F.col("_total")))
+        + policy.RERANK_TITLE * title + same + circular)
     return _ranked(rows.select("query_id", "doc_id", score.alias("score")), k)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from remedia.session import stored
+
 HOT_SHARE = 0.001  # a key with this share of the rows is hot; at most 1 / HOT_SHARE exist
 SALTS = 64
-BUCKETS = 64  # a square
-SAMPLE = 64 * BUCKETS
+SAMPLE = 64  # keys sampled per bucket
 
 
 def join_unique(
@@ -35,15 +38,21 @@ def join_unique(
     return salted_fact.join(salted_lookup, [on, "_salt"], "left").drop("_salt")
 
 
+def range_buckets(df: DataFrame) -> int:
+    """Key ranges for a global order: the session's shuffle partitions, up to the next square."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, math.isqrt(partitions - 1) + 1) ** 2
+
+
 def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     """Add ``_bucket``: the place of a row's key among sampled cut points.
 
-    The cut points come from a bounded sample (``SAMPLE`` keys, chosen by hash so
-    that every evaluation picks the same ones) through a scalar subquery.
+    The cut points come from a bounded sample (``SAMPLE`` keys a bucket, chosen by
+    hash so that every evaluation picks the same ones) through a scalar subquery.
     """
     key = F.struct(*keys)
     picked = (
-        df.select(key.alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE)
+        df.select(key.alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE * buckets)
         .agg(F.array_sort(F.collect_list("_k")).alias("_s"))
         .select(F.transform(
             F.sequence(F.lit(1), F.lit(buckets - 1)),
@@ -68,18 +77,19 @@ def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
 
 def running_total(
     df: DataFrame, keys: list[str], weight: str, out: str = "before",
-    by: list[str] | None = None, buckets: int = BUCKETS,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over rows whose ``keys`` sort before this row's.
 
     The exact global prefix sum without a window over the whole table: rows are
-    put into key-range buckets, bucket totals (at most ``buckets`` per group of
-    ``by``) are accumulated, and the window runs inside one bucket. Keys must be
+    put into key-range buckets, bucket totals (at most one per bucket and
+    group of ``by``) are accumulated, and the window runs inside one bucket. Keys must be
     unique within ``by``, which a prior ``groupBy`` gives: equal keys, however
-    many, are then one row, so no value can overfill a bucket.
+    many, are then one row, so no value can overfill a bucket. The input is stored,
+    so it is computed once for the sample, the totals and the placing.
     """
     by = by or []
-    placed = _bucketed(df, by + keys, buckets)
+    placed = _bucketed(stored(df, "ranked"), by + keys, range_buckets(df))
     group = [*by, "_bucket"]
     totals = placed.groupBy(*group).agg(F.sum(weight).alias("_t"))
     before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(
@@ -108,7 +118,7 @@ def order_statistics(
     ``running_total``. Returns ``by..., pos_index, value``.
     """
     by = by or []
-    counts = value_counts(df, value, by)
+    counts = stored(value_counts(df, value, by), "counts")
     placed = running_total(counts, [value], "n", by=by)
     if by:
         sizes = counts.groupBy(*by).agg(F.sum("n").alias("_n"))

@@ -50,16 +50,19 @@ def assess_risk(df: DataFrame) -> DataFrame:
 
 def retrieve(
     df: DataFrame, corpus: DataFrame, projection: retrieval.Projection | None = None,
-    narrative_chars: int = 400,
+    narrative_chars: int | None = None,
 ) -> DataFrame:
-    """Add the top sections of each case, for its issue and the head of its narrative.
+    """Add the top sections of each case, for its issue and its narrative.
+
+    ``narrative_chars`` limits the search to the head of the narrative.
 
     Cases that ask the same thing are searched once: the request text is reduced
     to its distinct values first, however many copies one of them has, and the
     answers are joined back with the copies of a hot request spread out.
     """
-    head = F.left(F.coalesce(_optional(df, "narrative", "string"), F.lit("")),
-                  F.lit(narrative_chars))
+    head = F.coalesce(_optional(df, "narrative", "string"), F.lit(""))
+    if narrative_chars is not None:
+        head = F.left(head, F.lit(narrative_chars))
     text = F.concat_ws(" ", F.nullif(F.col("issue"), F.lit("")), F.nullif(head, F.lit("")))
     asked = df.withColumn("_text", text).withColumn(
         "_request", F.md5(F.concat_ws("\u0001", "regulation", "_text")))
@@ -110,7 +113,7 @@ def route(df: DataFrame) -> DataFrame:
 def triage(
     disputes: DataFrame, as_of: Column, corpus: DataFrame | None = None,
     projection: retrieval.Projection | None = None, valid_sections: Column | None = None,
-    calendar: DataFrame | None = None,
+    calendar: DataFrame | None = None, narrative_chars: int | None = None,
 ) -> DataFrame:
     """Every step for every dispute.
 
@@ -128,7 +131,7 @@ def triage(
     if corpus is None:
         cases = without_sections(cases)
     else:
-        cases = retrieve(cases, corpus, projection)
+        cases = retrieve(cases, corpus, projection, narrative_chars)
     return cases.transform(lambda d: draft_and_verify(d, valid_sections)).transform(route)
 
 

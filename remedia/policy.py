@@ -118,6 +118,8 @@ ALERT_BUDGET = 0.02
 MAX_DRAFT_ATTEMPTS = 3
 BM25_K1, BM25_B = 1.2, 0.7
 RRF_K, CANDIDATE_K, TOP_K, EMBED_DIM = 60, 20, 4, 96
+RERANK_POSITION, RERANK_COVERED, RERANK_TITLE = 3.0, 1.5, 0.9
+RERANK_REGULATION, RERANK_CIRCULAR = 2.6, 0.35
 
 GATES = [
     ("deadline_exactness", 1.0),

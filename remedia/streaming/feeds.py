@@ -85,15 +85,20 @@ def start_triage(
 ) -> StreamingQuery:
     """Each micro-batch of disputes through the case chain, split by queue.
 
-    Unparseable rows go to ``failed``. A restarted job replays its unfinished
+    Rows without an id go to ``failed``; one without a notice date gets the outcome
+    that the batch chain gives it. A micro-batch is kept while both parts are written. A restarted job replays its unfinished
     batch over the same folders, so no case is written twice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        broken = F.col("complaint_id").isNull() | F.col("notice_date").isNull()
-        plan(batch.where(~broken)).write.mode("overwrite").partitionBy("queue").parquet(
-            f"{path}/cases/batch_id={batch_id}")
-        batch.where(broken).write.mode("overwrite").parquet(
-            f"{path}/failed/batch_id={batch_id}")
+        broken = F.col("complaint_id").isNull()
+        batch = batch.persist()
+        try:
+            plan(batch.where(~broken)).write.mode("overwrite").partitionBy("queue").parquet(
+                f"{path}/cases/batch_id={batch_id}")
+            batch.where(broken).write.mode("overwrite").parquet(
+                f"{path}/failed/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
