@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from remedia.session import scratch_path
 
@@ -28,6 +32,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def add_columns(rows: DataFrame, inputs: Sequence[str], make: Callable[[], Callable], fields: dict[str, str],
+                drop: Sequence[str] | None = None) -> DataFrame:
+    """``rows`` without ``drop`` (the inputs, unless given), and new ``fields`` (name -> type).
+
+    ``make`` runs once a task; what it returns gets the inputs of a batch as lists, NULLs as
+    None, and returns the fields' values. The other columns stay Arrow columns, so ids keep
+    all their digits beside NULLs.
+    """
+    gone = set(inputs if drop is None else drop)
+    at = [rows.columns.index(c) for c in inputs]
+    kept = [i for i, c in enumerate(rows.columns) if c not in gone]
+    schema = T.StructType([rows.schema.fields[i] for i in kept])
+    for name, kind in fields.items():
+        schema = schema.add(name, kind)
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            found = work(*[batch.column(i).to_pylist() for i in at])
+            new = [pa.array(v, ARROW[kind]) for v, kind in zip(found, fields.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *new], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lowered, nothing else. Pure ASCII text takes the short way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -16,15 +16,13 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remedia.llm.common import text_of
+from remedia.llm.common import add_columns, text_of
 
 HIDDEN = 10
 #: Gates are piecewise linear: clip(SLOPE * z + 1/2, 0, 1).
@@ -271,13 +269,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
-    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            langs, scores = model.predict([None if pd.isna(t) else t for t in frame["text"]])
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": langs, "score": scores})
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(label, f"doc_id {kind}, lang_pred string, score double")
+    return add_columns(rows, ["text"], lambda: model.predict, {"lang_pred": "string", "score": "double"})
 
 
 def spans(text: str, model: Model) -> list[tuple[int, int, str]]:

@@ -14,14 +14,12 @@ read by the operator.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from remedia.llm.common import SPACE, ascii_lower, row_hash, stored, text_of
+from remedia.llm.common import SPACE, add_columns, ascii_lower, row_hash, stored, text_of
 
 FANOUT = 2
 BATCHES = 4
@@ -100,18 +98,15 @@ def add_corpus(docs: DataFrame, runs: LineRuns, batches: int = BATCHES) -> LineR
     return runs
 
 
-def _rebuild(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        texts, n_lines, n_dropped = [], [], []
-        for text, blank, kept in zip(frame["_text"], frame["_blank"], frame["_kept"], strict=True):
-            lines = text.split("\n")
-            stay = set(() if blank is None else blank)
-            stay.update(() if kept is None else kept)
-            texts.append("\n".join(x for i, x in enumerate(lines) if i in stay))
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(stay))
-        yield frame.drop(columns=["_text", "_blank", "_kept"]).assign(
-            _kept_text=texts, _n_lines=n_lines, _n_dropped=n_dropped)
+def _rebuild(docs: list, blanks: list, keeps: list) -> tuple[list, list, list]:
+    texts, n_lines, n_dropped = [], [], []
+    for text, blank, kept in zip(docs, blanks, keeps, strict=True):
+        lines = text.split("\n")
+        stay = {*(blank or ()), *(kept or ())}
+        texts.append("\n".join(x for i, x in enumerate(lines) if i in stay))
+        n_lines.append(len(lines))
+        n_dropped.append(len(lines) - len(stay))
+    return texts, n_lines, n_dropped
 
 
 def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int, *keep: str) -> DataFrame:
@@ -137,9 +132,8 @@ def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int, *keep: str) -> Da
         F.transform(F.split("_text", "\n", -1),
                     lambda x, i: F.when(F.btrim(x, F.lit(SPACE)) == "", i)), lambda x: x.isNotNull())
     joined = rows.withColumn("_blank", blank).join(places, ["_k0", "_k1"], "left").drop("_k0", "_k1")
-    return joined.mapInPandas(_rebuild, T.StructType([
-        *docs.select(*carried).schema.fields, T.StructField("_kept_text", T.StringType()),
-        T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())]))
+    return add_columns(joined, ["_text", "_blank", "_kept"], lambda: _rebuild,
+                       {"_kept_text": "string", "_n_lines": "long", "_n_dropped": "long"})
 
 
 def ingest(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:

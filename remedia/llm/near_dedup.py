@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remedia.llm.common import SPACE, lower_words, row_hash, stored, text_of
+from remedia.llm.common import SPACE, add_columns, lower_words, row_hash, stored, text_of
 
 TREES = 12
 DEPTH = 6
@@ -110,22 +110,22 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text"), row_hash("doc_id", "text").alias("k1"))
     width = rule.width
 
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         shingler, multipliers = Shingler(width), _multipliers()
-        for frame in frames:
+
+        def sign(texts: list[str]) -> tuple[list, list, list]:
             counts, nodes, signs = [], [], []
-            for text in frame["text"]:
+            for text in texts:
                 words = lower_words(text)
                 shingles = shingler(words)
                 counts.append(len(shingles))
                 nodes.append(hashlib.md5(b" ".join(words)).digest() if words else None)
                 signs.append(signature(shingles, multipliers).astype(">u4").tobytes() if words else None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "k1": frame["k1"], "n_shingles": counts,
-                                "node": nodes, "signature": signs})
+            return counts, nodes, signs
+
+        return sign
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(
-        sign, f"doc_id {kind}, k1 long, n_shingles long, node binary, signature binary")
+    return add_columns(rows, ["text"], make, {"n_shingles": "long", "node": "binary", "signature": "binary"})
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:

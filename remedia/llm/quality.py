@@ -17,14 +17,12 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remedia.llm.common import SPACE, row_hash, stored, text_of, words
+from remedia.llm.common import SPACE, add_columns, row_hash, stored, text_of, words
 from remedia.llm.near_dedup import Shingler
 
 SYMBOLS = "#*$%&|<>"
@@ -63,15 +61,11 @@ def measures(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", row_hash("doc_id", "text").alias("k1"), F.col("lang").cast("string").alias("lang"),
                        F.col("source").cast("string").alias("source"), text_of().alias("text"))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         windows = Shingler(3)
-        for frame in frames:
-            found = np.array([measure(t, windows) for t in frame["text"]], "i8").reshape(-1, len(COUNTS))
-            yield frame.drop(columns="text").assign(**{c: found[:, i] for i, c in enumerate(COUNTS)})
+        return lambda texts: np.array([measure(t, windows) for t in texts], "i8").reshape(-1, len(COUNTS)).T
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInPandas(
-        count, f"doc_id {kind}, k1 long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = add_columns(rows, ["text"], make, dict.fromkeys(COUNTS, "long"))
 
     def ratio(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)

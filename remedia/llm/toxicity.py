@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remedia.llm.common import lower_words, stored, text_of
+from remedia.llm.common import add_columns, lower_words, stored, text_of
 from remedia.llm.near_dedup import Shingler
 
 #: Letters of the language model, a place each; all else is a word's border (0).
@@ -259,10 +259,8 @@ def scores(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> Da
     kept = [F.col(f"`{c}`") for c in keep]
     rows = docs.select(*kept, text_of().alias("_scored"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         score = model.scorer()
-        for frame in frames:
-            found = [score(t) for t in frame["_scored"]]
-            yield frame.drop(columns="_scored").assign(**{name: found})
+        return lambda texts: ([score(t) for t in texts],)
 
-    return rows.mapInPandas(run, docs.select(*kept, F.lit(0.0).alias(name)).schema)
+    return add_columns(rows, ["_scored"], make, {name: "double"})
