@@ -15,6 +15,14 @@ four standard deviations below the threshold); the others are confirmed on full
 sets. Only links that can still join two components are confirmed: first the two most
 alike of every class, then those between what the first left apart.
 
+Where more classes share ``MIN_DEPTH`` values of a tree than a walk over ``NEIGHBOURS``
+compares, the members are crowded, and the links between crowded classes that are still
+in different components come from an exact join on prefixes: every class's shingles in
+one order of the corpus, rare ones first; two classes that are alike enough share one
+among the first few of both. Lengths and places of the shared shingle are held against
+the threshold in the join, a shingle's rows are dealt over salts, and rows of its
+commonest component are not held against each other.
+
 Defined results: NULL, empty or blank texts have no shingles and are linked with nothing,
 their component is their own id. Equal texts are one class whatever their ids; a NULL id
 is linked like any other but never names a component unless no other id is there. Rows
@@ -40,6 +48,10 @@ DEPTH = 6
 MIN_DEPTH = 2
 NEIGHBOURS = 4
 FIRST_PARTNERS = 2
+#: Counters of shingles; they set the order alone, so shared ones cost time and no links.
+COUNTERS = 2**20
+#: Rows of one shingle that a salt takes.
+SALT_ROWS = 1000
 CACHE_WORDS = 200_000
 
 
@@ -211,6 +223,83 @@ def candidates(classes: DataFrame, rule: Rule) -> DataFrame:
     return both.where("a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def crowded(classes: DataFrame) -> DataFrame:
+    """node: the classes that share ``MIN_DEPTH`` values of some tree with more than ``NEIGHBOURS`` others."""
+    prefixes = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("signature", 4 * DEPTH * t + 1, 4 * MIN_DEPTH).alias(
+        "start")) for t in range(TREES)])
+    rows = classes.select("node", F.explode(prefixes).alias("p")).select("node", "p.*")
+    full = rows.groupBy("tree", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > NEIGHBOURS + 1)
+    return rows.join(full, ["tree", "start"], "left_semi").select("node").distinct()
+
+
+def shingle_counts(texts: DataFrame, rule: Rule) -> np.ndarray:
+    """How many shingles fall to each of ``COUNTERS`` counters; tasks add up their own first."""
+    width = rule.width
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, total = Shingler(width), np.zeros(COUNTERS, "i8")
+        for frame in frames:
+            for text in frame["text"]:
+                total += np.bincount((shingler(lower_words(text)) % np.uint64(COUNTERS)).astype("i8"), minlength=COUNTERS)
+        there = np.flatnonzero(total)
+        yield pd.DataFrame({"at": there, "n": total[there]})
+
+    found = texts.select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, "i8")
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return np.minimum(out, np.iinfo("i4").max).astype("i4")
+
+
+def prefix_rows(texts: DataFrame, rule: Rule) -> DataFrame:
+    """node, label, s, n, at, short: the rarest shingles of each class, as many as a partner may lack, and one.
+
+    ``short`` marks those that a partner of no fewer shingles must share one of.
+    """
+    width, percent, counts = rule.width, rule.percent, shingle_counts(texts, rule)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(width)
+        for frame in frames:
+            for node, label, text in zip(frame["node"], frame["label"], frame["text"], strict=True):
+                s = shingler(lower_words(text))
+                often, n = counts[(s % np.uint64(COUNTERS)).astype("i8")], len(s)
+                order = np.lexsort((s, often))[:n + percent * n // -100 + 1]
+                at = np.flatnonzero(often[order] > 1)  # a shingle alone on its counter is in no other class
+                if len(at):
+                    yield pd.DataFrame({"node": node, "label": label, "s": s[order[at]].astype("i8"), "n": n, "at": at,
+                                        "short": at <= n + 2 * percent * n // -(100 + percent)})
+
+    return texts.select("node", "label", "text").mapInPandas(
+        cut, "node binary, label binary, s long, n long, at long, short boolean")
+
+
+def crowded_pairs(texts: DataFrame, rule: Rule) -> DataFrame:
+    """a, b: every pair of different labels that can be alike enough. ``texts``: node, label, text."""
+    rows = stored(prefix_rows(texts, rule), "prefixes")
+    held = rows.groupBy("s", "label").agg(F.count(F.lit(1)).alias("k"), F.max("short").alias("short")).groupBy("s").agg(
+        F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("rows"),
+        F.count(F.lit(1)).alias("labels"), F.max("short").alias("any_short")).where("labels > 1 AND any_short")
+    shared = stored(rows.join(held.select("s", "main", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("salts")), "s"), "shared")
+    minor = F.col("label") != F.col("main")
+
+    def pairs(every: DataFrame, dealt: DataFrame, shorter: str, longer: str) -> DataFrame:
+        one = every.select("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                           *[F.col(c).alias("e_" + c) for c in ("node", "label", "n", "at")])
+        other = dealt.select("s", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"),
+                             *[F.col(c).alias("d_" + c) for c in ("node", "label", "n", "at")])
+        x, y = ({c: F.col(f"{side}_{c}") for c in ("node", "label", "n", "at")} for side in (shorter, longer))
+        left = F.least(x["n"] - x["at"], y["n"] - y["at"])
+        alike = ((x["label"] != y["label"])
+                 & ((x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["node"] < y["node"])))
+                 & (100 * x["n"] >= rule.percent * y["n"])
+                 & ((100 + rule.percent) * left >= rule.percent * (x["n"] + y["n"])))
+        return one.join(other, (one["s"] == other["s"]) & (one["salt"] == other["salt"]) & alike).select(
+            F.least("e_node", "d_node").alias("a"), F.greatest("e_node", "d_node").alias("b"))
+
+    return pairs(shared.where(minor & F.col("short")), shared, "e", "d").unionByName(
+        pairs(shared.where(minor), shared.where(~minor & F.col("short")), "d", "e")).distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are alike enough. ``texts``: node, text."""
     joined = pairs.select("a", "b").join(
@@ -272,7 +361,9 @@ def link(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1")).alias("rep"),
         F.min("signature").alias("signature")), "classes")
     pairs = stored(candidates(classes, rule), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    dense = stored(crowded(classes), "crowded")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(
+        dense).distinct()
     wanted = classes.join(ends, "node", "left_semi").select(
         "node", F.coalesce("rep.doc_id", F.lit(0)).alias("k0"), F.col("rep.k1").alias("k1"))
     rows = docs.select(text_of().alias("text"), F.coalesce("doc_id", F.lit(0)).alias("k0"),
@@ -289,6 +380,12 @@ def link(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     more = stored(rest, "links-2")
     if more.limit(1).count():
         labels = components(more, labels)
+    apart = texts.join(dense, "node", "left_semi").join(labels, "node", "left").select(
+        "node", F.coalesce("label", "node").alias("label"), "text")
+    if dense.limit(1).count():
+        last = stored(confirm(stored(crowded_pairs(apart, rule), "crowded-pairs"), texts, rule), "links-3")
+        if last.limit(1).count():
+            labels = components(last, labels)
     return signed, labels
 
 

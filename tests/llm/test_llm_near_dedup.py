@@ -106,3 +106,23 @@ def test_components_of_chains_and_later_links(spark):
     got = {bytes(r["node"]): bytes(r["label"]) for r in components(frame(later), before).collect()}
     one, other = names[:200] + names[210:251], names[260:262]
     assert got == {**{n: min(one) for n in one}, **{n: min(other) for n in other}}
+
+
+def test_dense_family_below_the_threshold(spark):
+    """Neighbours of the forest are other members of the family; the few alike enough stand far apart."""
+    rng = random.Random(11)
+    def member(at, name):
+        return " ".join(f"{name}x{i}" if i in at else f"t{i}" for i in range(300))
+
+    docs = []
+    for i in range(500):
+        at = rng.sample(range(2, 298, 4), 8)
+        docs.append(member(at, f"f{i}"))
+        if i < 40:
+            docs.append(member(at, f"p{i}"))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    want = [(a, n, c, k) for a, n, c, k in brute(docs)]
+    assert sum(not k for *_, k in want) == 40
+    got = [tuple(r) for r in near_duplicates(spark.createDataFrame(docs, SCHEMA), RULE).collect()]
+    assert sorted(got) == sorted(want)
