@@ -7,7 +7,7 @@ The lanes are of two kinds:
 
 * ``EXACT`` lanes of 32 bits, from the paragraph's own hash: equal multisets, and only
   those (but for chance of 2**-128 and less), have equal lanes;
-* ``SKETCH`` lanes of 16 bits, each the count of the paragraph's three-word windows with
+* ``SKETCH`` lanes of 48 bits, more than any text has windows, each the count of the paragraph's three-word windows with
   that bit of their hash set. Centred on half the number of windows (the last lane) they
   are a random-sign projection, so their cosine estimates how alike two documents are.
 
@@ -34,7 +34,7 @@ from remedia.llm.common import text_of
 EXACT = 8
 EXACT_MOD = 2**32
 SKETCH = 64
-SKETCH_MOD = 2**16
+SKETCH_MOD = 2**48
 WORDS = 3
 LANES = [f"x{i}" for i in range(EXACT)] + [f"s{i}" for i in range(SKETCH)] + ["windows"]
 #: Stands for a NULL id: below every other.
@@ -80,7 +80,7 @@ def combine(a: dict[str, Column], b: dict[str, Column], sign: int = 1) -> dict[s
 
 def shown(prefix: str = "") -> Column:
     """The lanes as text: the exact ones, then the others."""
-    parts = [F.lpad(F.lower(F.hex(prefix + c)), 8 if c[0] == "x" else 4, "0") for c in LANES]
+    parts = [F.lpad(F.lower(F.hex(prefix + c)), 8 if c[0] == "x" else 12, "0") for c in LANES]
     return F.concat(*parts)
 
 
@@ -91,11 +91,11 @@ def _total(terms: list[Column]) -> Column:
 def likeness(a: str, b: str) -> Column:
     """0 to 1: 1 for equal fingerprints, else the cosine of the centred sketches, not below 0."""
     def signs(p: str) -> list[Column]:
-        return [2 * F.col(f"{p}s{i}") - F.col(p + "windows") for i in range(SKETCH)]
+        return [(2 * F.col(f"{p}s{i}") - F.col(p + "windows")).cast("double") for i in range(SKETCH)]
 
     x, y = signs(a), signs(b)
-    dot = _total([p * q for p, q in zip(x, y, strict=True)]).cast("double")
-    sizes = F.sqrt(_total([p * p for p in x]).cast("double")) * F.sqrt(_total([p * p for p in y]).cast("double"))
+    dot = _total([p * q for p, q in zip(x, y, strict=True)])
+    sizes = F.sqrt(_total([p * p for p in x])) * F.sqrt(_total([p * p for p in y]))
     same = reduce(lambda p, q: p & q, [F.col(a + c) == F.col(b + c) for c in LANES])
     cosine = F.when(sizes > 0, dot / sizes).otherwise(0.0)
     return F.when(same, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))

@@ -73,3 +73,11 @@ def test_likeness_follows_what_is_shared(spark):
     rows = compare_edited(spark.createDataFrame(docs, SCHEMA)).collect()
     assert sum(r.near_edited for r in rows) / 40 > 0.35
     assert sum(r.near_next for r in rows) / 40 < 0.15
+
+
+@pytest.mark.parametrize("n", [70_000, 131_072])
+def test_likeness_of_very_long_texts(spark, n):
+    rng = random.Random(n)
+    docs = [(i, " ".join(map(str, rng.choices(range(10**6), k=n)))) for i in range(3)]
+    rows = compare_edited(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert all(r.near_next < 0.5 and 0.2 < r.near_edited < 0.9 for r in rows)
