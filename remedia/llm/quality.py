@@ -2,13 +2,16 @@
 
 Fixed rules first: too few words, or mostly repeated three-word windows. Then each ratio
 of a document is held against a fence made from KLL quantile sketches of its own language
-and source. Sketches merge, so tasks add up their own rows, a source that holds a third
-of the rows is no task of its own, and groups too small to judge by borrow the merged
-sketch of their language, and that of the whole corpus where the language is small too.
+and source. Sketches merge, so tasks add up their own
+rows, and a source that holds a third of the rows is no task of its own. A group's fence
+is a mean of its own and its language's, the language's one of its own and the corpus's;
+the weight of the own one is n / (n + ``HALF_GROUP``), so no row count switches a verdict.
 The fences are joined to the documents' ratios, never to their texts.
 
-A fence is the median plus ``REACH`` times the distance from the median to the upper
-quartile, which a tenth of bad documents doesn't move, and never below the ratio's floor, so uniform groups lose nothing.
+A fence is the median plus ``REACH`` times a spread, and never below the ratio's floor, so
+uniform groups lose nothing. The spread is the distance from the median to the lower
+quartile, or to the upper one where that is less: bad documents have high ratios, so it
+stays one of good documents until nearly half of the group is bad.
 
 Defined results: a NULL, empty or blank text has no words and fails the fixed rules; a
 NULL language or source is a group like any other; NULL and repeated ids give a row each;
@@ -29,7 +32,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50
 REACH = 6.0
-MIN_GROUP = 200
+#: Rows of a group whose own fence counts as much as the wider one's.
+HALF_GROUP = 200
 #: ratio -> the least fence.
 FLOORS = {"symbol_ratio": 0.05, "repeat_ratio": 0.45, "dup_line_ratio": 0.40, "word_length": 12.0}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -82,24 +86,28 @@ def fences(measured: DataFrame) -> DataFrame:
     sketches = stored(measured.where("NOT base_failed").groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(c).alias(c) for c in FLOORS]), "sketches")
 
-    def merged(*by: str) -> DataFrame:
-        return sketches.groupBy(*by).agg(
-            F.sum("n").alias("n_up"), *[F.kll_merge_agg_double(c).alias(c + "_up") for c in FLOORS])
+    def own(c: str) -> Column:
+        low, middle, high = (F.kll_sketch_get_quantile_double(c, F.lit(q)) for q in (0.25, 0.5, 0.75))
+        return middle + REACH * F.least(middle - low, high - middle)
 
-    def lifted(groups: DataFrame, wider: DataFrame, on: Column) -> DataFrame:
-        small = F.col("n") < MIN_GROUP
-        return groups.join(wider, on).select("lang", "source", F.when(small, F.col("n_up")).otherwise(F.col("n")).alias("n"), *[
-            F.when(small, F.col(c + "_up")).otherwise(F.col(c)).alias(c) for c in FLOORS])
+    def limits(groups: DataFrame, up: str) -> DataFrame:
+        return groups.select(*[c for c in ("lang", "source") if c in groups.columns], F.col("n").alias("n" + up),
+                             *[own(c).alias(c + up) for c in FLOORS])
 
-    by_lang = merged("lang").withColumnRenamed("lang", "of_lang")
-    # The last join is with one row.
-    chosen = lifted(lifted(sketches, by_lang, F.col("lang").eqNullSafe(F.col("of_lang"))), merged(), F.lit(True))
+    def merged(*by: str) -> DataFrame:
+        return sketches.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c).alias(c) for c in FLOORS])
 
-    def fence(c: str, floor: float) -> Column:
-        at = [F.kll_sketch_get_quantile_double(c, F.lit(q)) for q in (0.5, 0.75)]
-        return F.greatest(F.lit(floor), at[0] + REACH * (at[1] - at[0])).alias("fence_" + c)
+    def blended(n: str, narrow: Column, wide: Column) -> Column:
+        share = F.col(n) / (F.col(n) + HALF_GROUP)
+        return share * narrow + (1 - share) * wide
 
-    return chosen.select("lang", "source", *[fence(c, floor) for c, floor in FLOORS.items()])
+    by_lang = limits(merged("lang"), "_lang").withColumnRenamed("lang", "of_lang")
+    # The last join is with one row.
+    joined = limits(sketches, "").join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang"))).join(
+        limits(merged(), "_all"), F.lit(True))
+    return joined.select("lang", "source", *[F.greatest(F.lit(floor), blended(
+        "n", F.col(c), blended("n_lang", F.col(c + "_lang"), F.col(c + "_all")))).alias("fence_" + c)
+        for c, floor in FLOORS.items()])
 
 
 def judge(docs: DataFrame) -> DataFrame:

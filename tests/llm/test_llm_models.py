@@ -121,3 +121,27 @@ def test_quality(spark):
     out = quality.keep_good(frame)
     assert out.columns == frame.columns and sorted((r.doc_id for r in out.collect()), key=str) == want
     assert quality.keep_good(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [30, 40])
+def test_quality_of_a_source_with_many_bad_documents(spark, share):
+    rng = random.Random(share)
+
+    def text(sign):
+        return " ".join(f"w{rng.randrange(5000)}{sign}" for _ in range(80))
+
+    docs = [(i, text("###" if i % 100 < share else ""), "aa", "hot", 1) for i in range(600)]
+    docs += [(1000 + i, text("###" if i % 100 < share else ""), "bb", "few", 1) for i in range(100)]
+    rows = quality.judge(spark.createDataFrame(docs, DOCS)).collect()
+    assert {r.doc_id for r in rows if r.kept} == {d[0] for d in docs if d[0] % 100 >= share}
+
+
+def test_fences_follow_group_sizes_without_a_switch(spark):
+    def fence(n):
+        rows = [("aa", s, False, 0.2 + 0.0005 * (i % 100) * (1 + 9 * (s == "a")), 0.0, 0.0, 5.0)
+                for s, k in (("a", n), ("b", 2000)) for i in range(k)]
+        frame = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, symbol_ratio double, "
+                                            "repeat_ratio double, dup_line_ratio double, word_length double")
+        return {r.source: r.fence_symbol_ratio for r in quality.fences(frame).collect()}["a"]
+
+    assert abs(fence(200) - fence(199)) < 0.05
