@@ -2,9 +2,11 @@
 
 A word that may be disguised (digits and signs among letters, letters repeated three
 times or more, letters apart by signs or blanks) is a lattice: at each character stand
-the letters that it may stand for, or nothing where it repeats or parts. Viterbi decoding
-under a trigram language model of characters finds the likeliest reading; a word whose
-lattice has a single path is its own reading. The model's counts come from all documents.
+the letters that it may stand for, or nothing where it repeats or parts, or a word's border
+where it parts. Viterbi decoding under a trigram language model of characters finds the
+likeliest reading, of any length; a word whose lattice has a single path is its own
+reading. A run of single characters apart by blanks is one lattice, cut into words by the
+reading; each word of a reading is scored. The model's counts come from all documents.
 
 The restored words are scored by a lexicon learned from a bounded sample of the labelled rows
 (``SAMPLE_ROWS``, taken by a hash of the id): words and word beginnings that occur in toxic documents far beyond chance (G test), each with its
@@ -40,7 +42,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
         "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "¡": "i"}
 PARTING = set(".-_*'~^,:/")
 #: Log probabilities of the channel.
-AS_SIGN, LITERAL, DROPPED, DOUBLED = -0.5, -9.0, -0.5, -2.0
+AS_SIGN, LITERAL, DROPPED, DOUBLED, BREAK = -0.5, -9.0, -0.5, -2.0, -2.0
 LEXICON = 4096
 SAMPLE_ROWS = 12_000
 LEAST_G = 30.0
@@ -49,12 +51,13 @@ BEGINNINGS = (4, 5, 6)
 CACHE_WORDS = 300_000
 FLUSH = 200_000
 
-SUSPECT = regex.compile(r"\p{L}[0-9@$!|+€._*~^-]+\p{L}|^[0-9@$!|+€]\p{L}|\p{L}[0-9@$|+€]+$|(\p{L})\1\1")
+SUSPECT = regex.compile(r"\p{L}[0-9@$!|+€._*~^',:/-]+\p{L}|^[0-9@$!|+€]\p{L}|\p{L}[0-9@$|+€]+$|(\p{L})\1\1")
 SPACED = regex.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 #: Signs that EDGES takes away too, cut first: most words are letters alone then, and need no pattern.
 PLAIN_EDGES = ".,;:?\"'()[]{}-_*"
+LETTER = regex.compile(r"\p{L}")
 TRIPLE = re.compile(r"(.)\1\1")
-EDGES = regex.compile(r"^[^\p{L}0-9@$!|+€]+|[^\p{L}0-9@$|+€]+$")
+EDGES = regex.compile(r"^[^\p{L}0-9@$!|+€]+|(?<![^\p{L}0-9@$|+€])[^\p{L}0-9@$|+€]+$")
 
 
 def _codes(text: str, table: np.ndarray) -> np.ndarray:
@@ -101,15 +104,15 @@ class Restorer:
                 steps.append([(c, DOUBLED if again else 0.0), *([("", DROPPED)] if again else [])])
             elif c in LEET:
                 steps.append([*((x, AS_SIGN) for x in LEET[c]), (c, LITERAL), *([("", DROPPED)] if c == last else [])])
-            elif c in PARTING and 0 < i < len(word) - 1:
-                steps.append([("", DROPPED), (c, LITERAL)])
+            elif (c in PARTING or c == " ") and 0 < i < len(word) - 1:
+                steps.append([("", DROPPED), (" ", BREAK)])
             else:
                 steps.append([(c, 0.0)])
             last = c
         return steps
 
     def decode(self, word: str) -> str:
-        states = {(0, 0): (0.0, "")}
+        states = {(0, 0): (0.0, None)}
         for options in self.lattice(word):
             after: dict = {}
             for (a, b), (score, path) in states.items():
@@ -120,17 +123,22 @@ class Restorer:
                     else:
                         key, value = (a, b), score + cost
                     if key not in after or value > after[key][0]:
-                        after[key] = value, path + c
+                        after[key] = value, (path, c) if c else path
             states = after
-        return max((s + self.log[a, b, 0], path) for (a, b), (s, path) in states.items())[1]
+        path = max(((s + self.log[a, b, 0], path) for (a, b), (s, path) in states.items()), key=lambda x: x[0])[1]
+        found = []
+        while path:
+            path, c = path
+            found.append(c)
+        return " ".join("".join(reversed(found)).split())
 
     def restore(self, word: str) -> str:
-        """``word`` in lower case, without the punctuation around it."""
+        """``word`` in lower case, without the punctuation around it; blanks where it reads as several words."""
         core = word.strip(PLAIN_EDGES)
         if core.isalpha() and not TRIPLE.search(core):
             return core
         core = EDGES.sub("", core)
-        if len(core) > 64 or not SUSPECT.search(core):
+        if not (SUSPECT.search(core) or " " in core and LETTER.search(core)):
             return core
         return self.decode(core)
 
@@ -142,12 +150,13 @@ class Features:
         self.restorer, self.known = restorer, {}
 
     def of_word(self, word: str) -> tuple[str, ...]:
-        w = self.restorer.restore(word)
-        return (w + "$", *[w[:n] for n in BEGINNINGS if len(w) >= n]) if len(w) > 2 else ()
+        return tuple(f for w in self.restorer.restore(word).split() if len(w) > 2
+                     for f in (w + "$", *[w[:n] for n in BEGINNINGS if len(w) >= n]))
 
     def words(self, text: str) -> set[str]:
         lower = text.lower()
-        return {*lower.split(), *["".join(m.group().split()) for m in SPACED.finditer(lower)]}
+        runs = [m.group().split() for m in SPACED.finditer(lower)]
+        return {*lower.split(), *["".join(run) for run in runs], *[" ".join(run) for run in runs]}
 
     def __call__(self, text: str) -> list[tuple[str, ...]]:
         found = self.words(text)

@@ -145,3 +145,24 @@ def test_fences_follow_group_sizes_without_a_switch(spark):
         return {r.source: r.fence_symbol_ratio for r in quality.fences(frame).collect()}["a"]
 
     assert abs(fence(200) - fence(199)) < 0.05
+
+
+def character_model(text):
+    counts, table = np.zeros((toxicity.PLACES,) * 3), np.zeros(65536, "i4")
+    table[[ord(c) for c in toxicity.LETTERS]] = range(1, len(toxicity.LETTERS) + 1)
+    codes = toxicity._codes("\n\n" + text, table)
+    np.add.at(counts, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    return toxicity.Restorer(counts)
+
+
+def test_disguises_of_any_length_and_sign():
+    r = character_model("what a stupid man you are and i said a clown is a stupid loser or a man " * 50)
+    for word in ("s/t/u/p/i/d", "s,t,u,p,i,d", "s:t:u:p:i:d", "s't'u'p'i'd", "st" + "u" * 100 + "pid",
+                 "s" + "." * 80 + "tupid"):
+        assert r.restore(word) == "stupid", word
+    assert r.restore("stupid/loser") == "stupid loser"
+    f = toxicity.Features(r)
+    for text, first in (("what a s t u p i d man", "a"), ("said i s t u p i d", "i")):
+        assert {first + " stupid"} <= {r.restore(w) for w in f.words(text)}
+        assert "stupid$" in {p for parts in f(text) for p in parts}
+    assert {"stupid$", "loser$"} <= {p for parts in f("s t u p i d l o s e r") for p in parts}
