@@ -12,8 +12,11 @@ be small, and otherwise shuffles on the term with skewed partitions split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg import VectorUDT
@@ -26,9 +29,11 @@ from remedia import policy
 from remedia.functions.text import tokenize
 from remedia.operators import skew
 from remedia.session import scratch_path, spread, unnest
+from remedia.session import stored as keep
 
 MAX_PACKED = 512        # vectors carried inside one scalar array
-MAX_FACTORS = 64_000_000  # numbers in a fitted projection, held once on the driver
+MAX_FACTORS = 64_000_000  # numbers of a projection that is fitted on the driver; larger ones are fitted in the tasks
+SETTLED = 1e-9          # change of the singular values, as a share of the largest, that ends a fit in the tasks
 
 
 def indexed_text(corpus: DataFrame) -> Column:
@@ -154,11 +159,72 @@ def _project(keys: DataFrame, weighted: DataFrame, factors: DataFrame, key: str)
     return keys.select(key).join(found, key, "left")
 
 
+def _times(cells: DataFrame, vectors: DataFrame, on: str, by: str) -> DataFrame:
+    """``by, v``: sums of ``w * v`` over the cells of a row or column."""
+    joined = cells.join(vectors.withColumnRenamed(on, "_on"), F.col(on).eqNullSafe(F.col("_on")))
+    return joined.groupBy(by).agg(
+        Summarizer.metrics("sum").summary(array_to_vector("v"), F.col("w")).alias("s")).select(
+        by, vector_to_array("s.sum").alias("v"))
+
+
+def _gram(vectors: DataFrame, width: int) -> np.ndarray:
+    """Products of the columns of ``v`` with each other, ``width * width`` numbers."""
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["v"].to_numpy())
+                total += x.T @ x
+        yield pd.DataFrame({"cell": np.arange(width * width), "x": total.ravel()})
+
+    out = np.zeros(width * width)
+    for cell, x in vectors.select("v").mapInPandas(multiply, "cell int, x double").groupBy("cell").agg(
+            F.sum("x")).collect():
+        out[cell] = x
+    return out.reshape(width, width)
+
+
+def _turned(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """``column, v`` with every ``v`` multiplied by a small matrix."""
+
+    def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"column": frame["column"], "v": list(np.stack(frame["v"].to_numpy()) @ matrix)})
+
+    return vectors.select("column", "v").mapInPandas(turn, "column int, v array<double>")
+
+
+def _fit_in_tasks(cells: DataFrame, docs: int, terms: int, k: int) -> DataFrame:
+    """``column, factor``: the leading right singular vectors of ``row, column, w``.
+
+    Subspace iteration from a random start of twice the columns. Vectors of rows and
+    columns stay in stored tables; the driver holds matrices of at most ``2 k`` squared.
+    """
+    width = min(2 * k, docs, terms)
+    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(
+        F.xxhash64("column", i) % 2 == 0, 1.0).otherwise(-1.0))
+    block, before = keep(cells.select("column").distinct().select("column", start.alias("v")), "block"), None
+    while True:
+        size, axes = np.linalg.eigh(_gram(block, width))
+        held = size > size[-1] * 1e-14
+        axes = axes[:, held] / np.sqrt(size[held])
+        block, width = keep(_turned(block, axes), "block"), int(held.sum())
+        rows = keep(_times(cells, block, "column", "row"), "rows")
+        size, axes = np.linalg.eigh(_gram(rows, width))
+        top = np.sqrt(np.maximum(size[::-1][:k], 0))
+        if before is not None and len(before) == len(top) and np.abs(top - before).max() <= SETTLED * top[0]:
+            return _turned(block, axes[:, ::-1][:, :k]).select("column", F.col("v").alias("factor"))
+        block, before = keep(_times(cells, rows, "row", "column"), "block"), top
+
+
 def fit_projection(corpus: DataFrame, dim: int = policy.EMBED_DIM) -> Projection:
-    """Truncated SVD of the weighted term matrix (``RowMatrix``), never dense.
+    """Truncated SVD of the weighted term matrix, never dense.
 
-    The matrix stays distributed. What the driver holds is the fitted model, one
-    row of ``dim`` numbers per term, refused above ``MAX_FACTORS`` numbers.
+    The matrix stays distributed. A model of one row of ``dim`` numbers per term is
+    fitted with ``RowMatrix`` and held on the driver up to ``MAX_FACTORS`` numbers;
+    above, tasks fit it and it stays a table.
     """
     spark, path = corpus.sparkSession, scratch_path(corpus.sparkSession, "projection")
 
@@ -175,26 +241,30 @@ def fit_projection(corpus: DataFrame, dim: int = policy.EMBED_DIM) -> Projection
         (F.ln((1.0 + docs) / (1 + F.col("df"))) + 1.0).alias("idf")), "terms")
     terms = numbered.count()
     k = max(1, min(dim, min(terms, docs) - 1))
-    if terms * k > MAX_FACTORS:
-        raise ValueError(f"a projection of {terms} terms to {k} dimensions is too large to fit")
     cells = weights.join(numbered, "term").select(
         "doc_id", F.struct("column", (F.col("tf") * F.col("idf")).alias("w")).alias("cell"))
     rows = cells.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list("cell")).alias("cells")).select(
-        F.transform("cells", lambda c: c["column"]).alias("at"),
-        unit(F.transform("cells", lambda c: c["w"])).alias("values"))
-    sparse = F.struct(
-        F.lit(0).cast("byte").alias("type"), F.lit(terms).alias("size"),
-        F.col("at").alias("indices"), "values")
-    # a stored vector has exactly this layout, so it is built without leaving the JVM
-    schema = T.StructType([T.StructField("row", VectorUDT())])
-    matrix = stored(rows.select(sparse.alias("row")), "rows", schema).persist()
-    try:
-        v = RowMatrix(matrix, numRows=docs, numCols=terms).computeSVD(k).V.toArray()
-    finally:
-        matrix.unpersist()
-    local = spark.createDataFrame(
-        [(i, row.tolist()) for i, row in enumerate(v)], "column int, factor array<double>")
+        F.array_sort(F.collect_list("cell")).alias("cells"),
+        F.sqrt(F.sum(F.col("cell.w") * F.col("cell.w"))).alias("norm")).select(
+        "doc_id", F.transform("cells", lambda c: c["column"]).alias("at"),
+        F.transform("cells", lambda c: c["w"] / F.col("norm")).alias("values"))
+    if terms * k > MAX_FACTORS:
+        units = stored(rows.select("doc_id", F.explode(F.arrays_zip("at", "values")).alias("c")).select(
+            F.col("doc_id").alias("row"), F.col("c.at").alias("column"), F.col("c.values").alias("w")), "units")
+        local = _fit_in_tasks(units, docs, terms, k)
+    else:
+        sparse = F.struct(
+            F.lit(0).cast("byte").alias("type"), F.lit(terms).alias("size"),
+            F.col("at").alias("indices"), "values")
+        # a stored vector has exactly this layout, so it is built without leaving the JVM
+        schema = T.StructType([T.StructField("row", VectorUDT())])
+        matrix = stored(rows.select(sparse.alias("row")), "rows", schema).persist()
+        try:
+            v = RowMatrix(matrix, numRows=docs, numCols=terms).computeSVD(k).V.toArray()
+        finally:
+            matrix.unpersist()
+        local = spark.createDataFrame(
+            [(i, row.tolist()) for i, row in enumerate(v)], "column int, factor array<double>")
     factors = stored(numbered.join(local, "column").select(
         "term", "idf", array_to_vector("factor").alias("factor")), "factors")
     keys = corpus.select(F.col("id").alias("doc_id"))
