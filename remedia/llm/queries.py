@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from remedia.llm import bpe, chat, fingerprint, language, line_dedup, near_dedup, packing, quality, toxicity, warc
+from remedia.llm import bpe, chat, fingerprint, language, line_dedup, near_dedup, packing, quality, toxicity, vector_queries, warc
 from remedia.llm.common import table
 from remedia.llm.tokens import vocabulary
 
@@ -150,5 +150,6 @@ QUERIES = {
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_chat_tools": (op9_chat_tools, None),
     "op10_fingerprint": (op10_fingerprint, None),
+    **vector_queries.QUERIES,
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
