@@ -32,7 +32,7 @@ from remedia.operators.skew import HOT_SHARE, join_unique
 
 SHARDS = 8
 SEED = 11
-ROWS = 50_000     # rows of a range, about
+ROWS = 4_096      # rows of a range, about
 RANGES = 1_000    # ranges whose counts are added up in one window
 LAW = "rows"
 

@@ -43,7 +43,7 @@ def mixed(n=400):
     return [(i, f"texte numéro {i} 文" * (i % 5), "web" if i % 3 else ["a", "b", "c", None][i % 4]) for i in range(n)]
 
 
-@pytest.mark.parametrize("rows", [50_000, 16])
+@pytest.mark.parametrize("rows", [4_096, 16])
 def test_matches_plain_python(spark, monkeypatch, rows):
     monkeypatch.setattr(sharding, "ROWS", rows)
     monkeypatch.setattr(sharding, "RANGES", 3 if rows == 16 else 1000)
