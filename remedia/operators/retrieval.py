@@ -12,49 +12,17 @@ be small, and otherwise shuffles on the term with skewed partitions split.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg import VectorUDT
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from remedia import policy
 from remedia.functions.text import tokenize
-from remedia.operators import skew
-from remedia.session import scratch_path, spread, unnest
-from remedia.session import stored as keep
-
-MAX_PACKED = 512        # vectors carried inside one scalar array
-MAX_FACTORS = 64_000_000  # numbers of a projection that is fitted on the driver; larger ones are fitted in the tasks
-SETTLED = 1e-9          # change of the singular values, as a share of the largest, that ends a fit in the tasks
-
-
-def indexed_text(corpus: DataFrame) -> Column:
-    return F.concat(
-        F.col("id").cast("string"), F.lit(" "), F.col("regulation"), F.lit(" "),
-        F.col("title"), F.lit(". "), F.col("text"))
-
-
-def document_terms(corpus: DataFrame) -> DataFrame:
-    """``doc_id, tokens``"""
-    corpus = spread(corpus.select("id", "regulation", "title", "text"))
-    return corpus.select(F.col("id").alias("doc_id"), tokenize(indexed_text(corpus)).alias(
-        "tokens"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``query_id, term``: the terms of a query as a set."""
-    return unnest(
-        spread(queries.select("query_id", "query")),
-        F.array_distinct(tokenize(F.col("query"))), "term", "query_id")
-
+from remedia.operators.nearest import VectorIndex, build_lists, nearest
+from remedia.operators.semantics import Projection, embed_queries, fit_projection, unit  # noqa: F401
+from remedia.operators.terms import document_terms, indexed_text, query_terms
+from remedia.session import unnest
 
 class Index(NamedTuple):
     """Postings of a corpus with its size and average length as one-row ``stats``."""
@@ -131,186 +99,14 @@ def bm25(
 
 # --- latent semantics ---------------------------------------------------------------
 
-class Projection(NamedTuple):
-    factors: DataFrame    # term, idf, factor (vector)
-    vectors: DataFrame    # doc_id, vector (unit length array)
-
-
-def _term_weights(tokens: DataFrame, key: str) -> DataFrame:
-    return unnest(tokens, F.col("tokens"), "term", key).groupBy(key, "term").agg(
-        (1.0 + F.ln(F.count(F.lit(1)))).alias("tf"))
-
-
-def unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(vector, lambda x: F.when(norm == 0, x).otherwise(x / norm))
-
-
-def _project(keys: DataFrame, weighted: DataFrame, factors: DataFrame, key: str) -> DataFrame:
-    """Sum of ``w * factor`` over the terms of each row of ``key``, at unit length.
-
-    A row without known terms keeps a NULL vector, which scores 0 against all.
-    """
-    joined = weighted.join(factors, "term").select(
-        key, (F.col("tf") * F.col("idf")).alias("w"), "factor")
-    total = joined.groupBy(key).agg(
-        Summarizer.metrics("sum").summary(F.col("factor"), F.col("w")).alias("s"))
-    found = total.select(key, unit(vector_to_array("s.sum")).alias("vector"))
-    return keys.select(key).join(found, key, "left")
-
-
-def _times(cells: DataFrame, vectors: DataFrame, on: str, by: str) -> DataFrame:
-    """``by, v``: sums of ``w * v`` over the cells of a row or column."""
-    joined = cells.join(vectors.withColumnRenamed(on, "_on"), F.col(on).eqNullSafe(F.col("_on")))
-    return joined.groupBy(by).agg(
-        Summarizer.metrics("sum").summary(array_to_vector("v"), F.col("w")).alias("s")).select(
-        by, vector_to_array("s.sum").alias("v"))
-
-
-def _gram(vectors: DataFrame, width: int) -> np.ndarray:
-    """Products of the columns of ``v`` with each other, ``width * width`` numbers."""
-
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
-        for frame in frames:
-            if len(frame):
-                x = np.stack(frame["v"].to_numpy())
-                total += x.T @ x
-        yield pd.DataFrame({"cell": np.arange(width * width), "x": total.ravel()})
-
-    out = np.zeros(width * width)
-    for cell, x in vectors.select("v").mapInPandas(multiply, "cell int, x double").groupBy("cell").agg(
-            F.sum("x")).collect():
-        out[cell] = x
-    return out.reshape(width, width)
-
-
-def _turned(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """``column, v`` with every ``v`` multiplied by a small matrix."""
-
-    def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                yield pd.DataFrame({"column": frame["column"], "v": list(np.stack(frame["v"].to_numpy()) @ matrix)})
-
-    return vectors.select("column", "v").mapInPandas(turn, "column int, v array<double>")
-
-
-def _fit_in_tasks(cells: DataFrame, docs: int, terms: int, k: int) -> DataFrame:
-    """``column, factor``: the leading right singular vectors of ``row, column, w``.
-
-    Subspace iteration from a random start of twice the columns. Vectors of rows and
-    columns stay in stored tables; the driver holds matrices of at most ``2 k`` squared.
-    """
-    width = min(2 * k, docs, terms)
-    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(
-        F.xxhash64("column", i) % 2 == 0, 1.0).otherwise(-1.0))
-    block, before = keep(cells.select("column").distinct().select("column", start.alias("v")), "block"), None
-    while True:
-        size, axes = np.linalg.eigh(_gram(block, width))
-        held = size > size[-1] * 1e-14
-        axes = axes[:, held] / np.sqrt(size[held])
-        block, width = keep(_turned(block, axes), "block"), int(held.sum())
-        rows = keep(_times(cells, block, "column", "row"), "rows")
-        size, axes = np.linalg.eigh(_gram(rows, width))
-        top = np.sqrt(np.maximum(size[::-1][:k], 0))
-        if before is not None and len(before) == len(top) and np.abs(top - before).max() <= SETTLED * top[0]:
-            return _turned(block, axes[:, ::-1][:, :k]).select("column", F.col("v").alias("factor"))
-        block, before = keep(_times(cells, rows, "row", "column"), "block"), top
-
-
-def fit_projection(corpus: DataFrame, dim: int = policy.EMBED_DIM) -> Projection:
-    """Truncated SVD of the weighted term matrix, never dense.
-
-    The matrix stays distributed. A model of one row of ``dim`` numbers per term is
-    fitted with ``RowMatrix`` and held on the driver up to ``MAX_FACTORS`` numbers;
-    above, tasks fit it and it stays a table.
-    """
-    spark, path = corpus.sparkSession, scratch_path(corpus.sparkSession, "projection")
-
-    def stored(df: DataFrame, name: str, schema=None) -> DataFrame:
-        df.write.parquet(f"{path}/{name}")
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(f"{path}/{name}")
-
-    weights = stored(_term_weights(document_terms(corpus), "doc_id"), "weights")
-    docs = corpus.count()
-    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.lit(1).alias("_one"))
-    numbered = stored(skew.running_total(df, ["term"], "_one", out="column").select(
-        "term", F.col("column").cast("int").alias("column"),
-        (F.ln((1.0 + docs) / (1 + F.col("df"))) + 1.0).alias("idf")), "terms")
-    terms = numbered.count()
-    k = max(1, min(dim, min(terms, docs) - 1))
-    cells = weights.join(numbered, "term").select(
-        "doc_id", F.struct("column", (F.col("tf") * F.col("idf")).alias("w")).alias("cell"))
-    rows = cells.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list("cell")).alias("cells"),
-        F.sqrt(F.sum(F.col("cell.w") * F.col("cell.w"))).alias("norm")).select(
-        "doc_id", F.transform("cells", lambda c: c["column"]).alias("at"),
-        F.transform("cells", lambda c: c["w"] / F.col("norm")).alias("values"))
-    if terms * k > MAX_FACTORS:
-        units = stored(rows.select("doc_id", F.explode(F.arrays_zip("at", "values")).alias("c")).select(
-            F.col("doc_id").alias("row"), F.col("c.at").alias("column"), F.col("c.values").alias("w")), "units")
-        local = _fit_in_tasks(units, docs, terms, k)
-    else:
-        sparse = F.struct(
-            F.lit(0).cast("byte").alias("type"), F.lit(terms).alias("size"),
-            F.col("at").alias("indices"), "values")
-        # a stored vector has exactly this layout, so it is built without leaving the JVM
-        schema = T.StructType([T.StructField("row", VectorUDT())])
-        matrix = stored(rows.select(sparse.alias("row")), "rows", schema).persist()
-        try:
-            v = RowMatrix(matrix, numRows=docs, numCols=terms).computeSVD(k).V.toArray()
-        finally:
-            matrix.unpersist()
-        local = spark.createDataFrame(
-            [(i, row.tolist()) for i, row in enumerate(v)], "column int, factor array<double>")
-    factors = stored(numbered.join(local, "column").select(
-        "term", "idf", array_to_vector("factor").alias("factor")), "factors")
-    keys = corpus.select(F.col("id").alias("doc_id"))
-    return Projection(factors, _project(keys, weights, factors, "doc_id"))
-
-
-def embed_queries(queries: DataFrame, projection: Projection) -> DataFrame:
-    """``query_id, vector`` for every query."""
-    tokens = queries.select("query_id", tokenize(F.col("query")).alias("tokens"))
-    weights = _term_weights(tokens, "query_id")
-    return _project(queries, weights, projection.factors, "query_id")
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _packed(small: DataFrame, key: str) -> Column:
-    return small.agg(F.array_sort(F.collect_list(F.struct(
-        F.col(key).alias("key"), F.col("vector").cast("array<double>").alias("v"))))).scalar()
-
-
 def dense_topk(
-    vectors: DataFrame, queries: DataFrame, k: int = policy.CANDIDATE_K, large: str = "corpus",
+    vectors: DataFrame, queries: DataFrame, k: int = policy.CANDIDATE_K, index: VectorIndex | None = None,
 ) -> DataFrame:
     """Exact cosine ranking of unit vectors (``doc_id, vector`` and ``query_id, vector``).
 
-    The small side rides inside each row as one array (a scalar subquery), at
-    most ``MAX_PACKED`` vectors at a time; more are taken in as many rounds as
-    they need. Each task keeps only its best ``k`` per query.
+    Goes through lists and rings (``nearest``); an index built once serves many batches.
     """
-    small, key = (queries, "query_id") if large == "corpus" else (vectors, "doc_id")
-    big = vectors if large == "corpus" else queries
-    rounds = -(-small.count() // MAX_PACKED) or 1
-    out = None
-    for i in range(rounds):
-        block = small if rounds == 1 else small.where(
-            F.pmod(F.xxhash64(key), F.lit(rounds)) == i)
-        carried = big.withColumn("_small", _packed(block, key))
-        scores = F.transform("_small", lambda s: F.struct(
-            s["key"].alias(key),
-            F.coalesce(_dot(F.col("vector"), s["v"]), F.lit(0.0)).alias("score")))
-        own = "doc_id" if large == "corpus" else "query_id"
-        part = unnest(carried, scores, "s", own).select(own, "s.*")
-        out = part if out is None else out.unionByName(part)
-    return _ranked(out, k)
+    return _ranked(nearest(index or build_lists(vectors), queries, k)[0], k)
 
 
 # --- fusion and rerank ---------------------------------------------------------------
@@ -389,7 +185,7 @@ def search_all(
         corpus, None if large == "queries" else query_terms(queries))
     projection = projection or fit_projection(corpus)
     lexical = bm25(corpus, queries, candidates, large=large, index=index)
-    dense = dense_topk(projection.vectors, embed_queries(queries, projection), candidates, large)
+    dense = dense_topk(projection.vectors, embed_queries(queries, projection), candidates)
     fused = rrf([lexical, dense], limit=candidates)
     reranked = rerank(fused, corpus, queries, inverse_frequency(index), k)
     return {"lexical": lexical, "dense": dense, "fused": fused, "reranked": reranked}

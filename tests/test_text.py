@@ -1,7 +1,6 @@
 """Tokens, retrieval, letters, verification and the case chain."""
 
 import math
-import random
 from collections import Counter
 
 import pytest
@@ -142,22 +141,3 @@ def test_case_chain(spark, corpus):
     assert plan.required_stages_met(cases).first()["violations"] == 0
     dues = {d["due"].isoformat() for d in got["ok"]["deadlines"]["deadlines"]}
     assert check(spark, got["ok"]["letter"], [("x", d) for d in dues])["invented_dates"] == []
-
-
-def test_projection_fitted_in_tasks(spark, monkeypatch):
-    rng = random.Random(2)
-    rows = [(f"d{i}", "R", f"title{i % 6}", " ".join(
-        f"topic{'abcdef'[i % 6]}{rng.randrange(6 + i % 6)}" if rng.random() < 0.8 else f"word{rng.randrange(60)}"
-        for _ in range(40))) for i in range(90)]
-    docs = spark.createDataFrame(rows, "id string, regulation string, title string, text string")
-    asked = spark.createDataFrame([(f"q{j}", f"topic{'abcdef'[j]}1 word{j}") for j in range(6)], "query_id string, query string")
-
-    def scores():
-        p = retrieval.fit_projection(docs, 5)
-        return {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.dense_topk(
-            p.vectors, retrieval.embed_queries(asked, p), 90).collect()}
-
-    want = scores()
-    monkeypatch.setattr(retrieval, "MAX_FACTORS", 1)
-    got = scores()
-    assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in want) < 1e-3
