@@ -8,94 +8,30 @@ against a section corpus).
 
 Joins carry no broadcast hints: the optimiser broadcasts the side it measures to
 be small, and otherwise shuffles on the term with skewed partitions split.
+
+The lexical part is in ``lexical``, the projection in ``semantics``, the dense search in
+``nearest``; this module fuses, reranks and judges their rankings.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remedia import policy
 from remedia.functions.text import tokenize
+from remedia.operators.lexical import (  # noqa: F401
+    Index,
+    bm25,
+    build_index,
+    inverse_frequency,
+    load_index,
+    ranked,
+    save_index,
+)
 from remedia.operators.nearest import VectorIndex, build_lists, nearest
 from remedia.operators.semantics import Projection, embed_queries, fit_projection, unit  # noqa: F401
-from remedia.operators.terms import document_terms, indexed_text, query_terms
-from remedia.session import unnest
-
-class Index(NamedTuple):
-    """Postings of a corpus with its size and average length as one-row ``stats``."""
-
-    postings: DataFrame   # doc_id, term, tf, length
-    stats: DataFrame      # docs, avg_length
-
-
-def build_index(corpus: DataFrame, vocabulary: DataFrame | None = None) -> Index:
-    """Postings, limited to ``vocabulary`` (``term``) where one is given.
-
-    Terms are spread by document, so that counting, scoring and summing per
-    document all happen in the task that holds it.
-    """
-    docs = document_terms(corpus).withColumn("length", F.size("tokens"))
-    stats = docs.agg(
-        F.count(F.lit(1)).alias("docs"), F.avg("length").alias("avg_length"))
-    terms = unnest(docs, F.col("tokens"), "term", "doc_id", "length")
-    if vocabulary is not None:
-        terms = terms.join(vocabulary.select("term").distinct(), "term", "left_semi")
-    postings = terms.repartition("doc_id").groupBy("doc_id", "term", "length").agg(
-        F.count(F.lit(1)).alias("tf"))
-    return Index(postings, stats)
-
-
-def save_index(index: Index, path: str) -> None:
-    """Write the index once; later batches of queries read only their own terms."""
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions(
-        "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
-
-
-def inverse_frequency(index: Index) -> DataFrame:
-    """``term, idf``; a positive weight for every term of the index."""
-    n = index.stats.select("docs").scalar()
-    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("_n", n).select("term", F.ln(
-        1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-
-
-def _ranked(scores: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` per query, by score (to nine digits) then id; limited per task first."""
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
-
-
-def bm25(
-    corpus: DataFrame, queries: DataFrame, k: int = policy.CANDIDATE_K,
-    k1: float = policy.BM25_K1, b: float = policy.BM25_B, large: str = "corpus",
-    index: Index | None = None,
-) -> DataFrame:
-    asked = query_terms(queries)
-    if large == "queries":
-        asked = asked.repartition("query_id")
-        index = index or build_index(corpus)
-    else:
-        index = index or build_index(corpus, asked)
-    weights = (
-        index.postings.withColumn("_avg", index.stats.select("avg_length").scalar())
-        .join(inverse_frequency(index), "term")
-        .select("doc_id", "term", (
-            F.col("idf") * F.col("tf") * (k1 + 1)
-            / (F.col("tf") + k1 * (1 - b + b * (F.col("length") / F.col("_avg"))))
-        ).alias("weight")))
-    scores = weights.join(asked, "term").groupBy("query_id", "doc_id").agg(
-        F.sum("weight").alias("score"))
-    return _ranked(scores, k)
-
+from remedia.operators.terms import indexed_text, query_terms
 
 # --- latent semantics ---------------------------------------------------------------
 
@@ -106,7 +42,7 @@ def dense_topk(
 
     Goes through lists and rings (``nearest``); an index built once serves many batches.
     """
-    return _ranked(nearest(index or build_lists(vectors), queries, k)[0], k)
+    return ranked(nearest(index or build_lists(vectors), queries, k)[0], k)
 
 
 # --- fusion and rerank ---------------------------------------------------------------
@@ -118,7 +54,7 @@ def rrf(rankings: list[DataFrame], k: int = policy.RRF_K, limit: int | None = No
         part = ranking.select("query_id", "doc_id", (1.0 / (k + F.col("rank"))).alias("r"))
         union = part if union is None else union.unionByName(part)
     fused = union.groupBy("query_id", "doc_id").agg(F.sum("r").alias("score"))
-    return _ranked(fused, limit if limit is not None else 2**31 - 1)
+    return ranked(fused, limit if limit is not None else 2**31 - 1)
 
 
 def rerank(
@@ -162,7 +98,7 @@ def rerank(
         policy.RERANK_POSITION / F.col("rank")
         + policy.RERANK_COVERED * (covered / F.when(F.col("_total") == 0, 1.0).otherwise(F.col("_total")))
         + policy.RERANK_TITLE * title + same + circular)
-    return _ranked(rows.select("query_id", "doc_id", score.alias("score")), k)
+    return ranked(rows.select("query_id", "doc_id", score.alias("score")), k)
 
 
 def hybrid_search(
