@@ -1,24 +1,28 @@
 """Latent semantics: a truncated SVD of the weighted term matrix by a randomised range finder.
 
 The matrix ``A`` has a row a document (unit length) and a column a term. A block of random
-signs, hashed from the terms' numbers, is multiplied by ``A' A`` a fixed number of times,
-``POWER_STEPS`` of them after being made orthonormal, and the leading directions are read
-off the small matrix of what remains. Sizes do not change the way it goes.
-
-Documents are dealt into chunks of about ``CHUNK_CELLS`` entries. A multiplication sends to
-each chunk the block's rows of its own terms, and the chunk sends back one row for each of
-them: a document is multiplied and multiplied back in one task, and entries are never joined
-with rows of the block one by one. Rows of a term are added up where they meet, and the sum
-goes to the chunks that sent one. The driver holds matrices of the block's width squared.
+signs, hashed from the terms, is multiplied by ``A' A`` a fixed number of times, ``POWER_STEPS``
+of them after being made orthonormal, and the leading directions are read off the small
+matrix of what remains. Sizes do not change the way it goes.
+
+The corpus is tokenised once and its documents are dealt into chunks of about ``CHUNK_BYTES``
+of text, written as a bucketed table that later steps read without a shuffle. In a step a
+chunk multiplies its documents by the block and back. Only terms that occur in several chunks
+travel: the chunk sends its row of each, the rows are added up where they meet, and the sum
+goes back to the chunks that sent one. The row of a term of one chunk alone is made again in
+that chunk from the products of its documents, which are few numbers a document. The driver
+holds matrices of the block's width squared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -27,14 +31,14 @@ from pyspark.sql import types as T
 
 from remedia import policy
 from remedia.functions.text import tokenize
-from remedia.operators import skew
 from remedia.operators.terms import counted_terms, document_terms
-from remedia.session import stored, unnest
+from remedia.session import scratch_path, stored, unnest
 
 POWER_STEPS = 2
-OVERSAMPLING = 2         # columns of the block for each one asked for
-CHUNK_CELLS = 250_000    # entries of the matrix in a task's hands, about
+OVERSAMPLING = 10        # columns of the block beyond those asked for
+CHUNK_BYTES = 32 << 20   # text in a task's hands, about
 RANK = 1e-14             # directions with less than this share of the largest are none
+SHARED, PRODUCTS, GRAM = 1, 2, 3  # kinds of rows of a block: of a term of several chunks; of a chunk's documents; of its own terms
 
 
 class Projection(NamedTuple):
@@ -43,9 +47,12 @@ class Projection(NamedTuple):
 
 
 class TermMatrix(NamedTuple):
-    terms: DataFrame      # term, column, idf
-    rows: DataFrame       # doc_id, chunk, at, weights (unit length)
-    bare: DataFrame       # doc_id of documents without terms
+    """Counts of terms by document, and the weights that make them a matrix."""
+
+    name: str             # the bucketed table
+    rows: DataFrame       # doc_id, row, chunk, terms, counts
+    vocabulary: DataFrame  # of, term, idf, hash, shared: the terms of each chunk
+    terms: DataFrame      # term, df, idf
     docs: int
     n_terms: int
     chunks: int
@@ -57,38 +64,32 @@ def unit(vector: Column) -> Column:
 
 
 def term_matrix(corpus: DataFrame) -> TermMatrix:
-    """Weights ``(1 + ln tf) * idf``, rows at unit length; the corpus is tokenised once."""
-    counted = stored(counted_terms(document_terms(corpus), "doc_id").withColumn(
-        "row", F.monotonically_increasing_id()), "counted-terms")
-    docs = counted.count()
-    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.lit(1).alias("_one"))
-    terms = stored(skew.running_total(df, ["term"], "_one", out="column").select(
-        "term", "df", F.col("column").cast("int").alias("column"),
-        (F.ln((1.0 + docs) / (1 + F.col("df"))) + 1.0).alias("idf")), "terms")
-    n_terms, cells = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
-    chunks = max(1, -(-cells // CHUNK_CELLS))
-    each = counted.select("row", "doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("c")).select(
-        "row", "doc_id", F.col("c.terms").alias("term"), (1.0 + F.ln("c.counts")).alias("tf"))
-    cell = F.struct("column", (F.col("tf") * F.col("idf")).alias("w"))
-    # the norm is a column of its own: inside the function below it would be taken anew for every entry
-    rows = each.join(terms.select("term", "column", "idf"), "term").groupBy("row", "doc_id").agg(
-        F.array_sort(F.collect_list(cell)).alias("cells"), F.sqrt(F.sum(F.col("tf") * F.col("idf") * F.col(
-            "tf") * F.col("idf"))).alias("norm"))
-    rows = stored(rows.select(
-        "doc_id", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"),
-        F.transform("cells", lambda c: c["column"]).alias("at"),
-        F.transform("cells", lambda c: c["w"] / F.col("norm")).alias("weights")), "rows")
-    return TermMatrix(terms.select("term", "column", "idf"), rows, counted.where("size(terms) = 0").select("doc_id"),
-                      docs, n_terms, chunks)
-
-
-def _signs(columns: np.ndarray, width: int) -> np.ndarray:
-    """Rows of 1 and -1 from a hash of the column numbers, 64 to a hash."""
+    spark = corpus.sparkSession
+    docs, size = corpus.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    counted = counted_terms(document_terms(corpus), "doc_id").withColumn(
+        "row", F.monotonically_increasing_id()).withColumn(
+        "chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
+    name = f"terms_{uuid.uuid4().hex}"
+    counted.drop("length").repartition(chunks, "chunk").write.bucketBy(chunks, "chunk").option(
+        "path", scratch_path(spark, "terms-by-chunk")).saveAsTable(name)
+    rows = spark.table(name)
+    needs = stored(rows.select("chunk", F.explode("terms").alias("term")).groupBy("chunk", "term").agg(
+        F.count(F.lit(1)).alias("n")), "needs")
+    terms = stored(needs.groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("in")).select(
+        "term", "df", "in", (F.ln((1.0 + docs) / (1 + F.col("df"))) + 1.0).alias("idf")), "terms")
+    vocabulary = stored(needs.join(terms, "term").select(
+        F.col("chunk").alias("of"), "term", "idf", F.xxhash64("term").alias("hash"), (F.col("in") > 1).alias("shared")),
+        "vocabulary")
+    return TermMatrix(name, rows, vocabulary, terms.select("term", "df", "idf"), docs, terms.count(), chunks)
+
+
+def _signs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 1 and -1 from 64-bit hashes, 64 to a hash mixed anew."""
     out = []
     for block in range(-(-width // 64)):
         with np.errstate(over="ignore"):  # the steps of a 64-bit finaliser, wrapping as they should
-            h = columns.astype(np.uint64) + np.uint64((block + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            h = hashes.astype(np.int64).view(np.uint64) + np.uint64((block + 1) * 0x9E3779B97F4A7C15 % 2**64)
             for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
                 h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
             h ^= h >> np.uint64(31)
@@ -96,9 +97,9 @@ def _signs(columns: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(out, 1)[:, :width].astype(np.float64) * 2 - 1
 
 
-def _packed(rows: np.ndarray) -> pa.Array:
+def _packed(rows: np.ndarray) -> list[bytes]:
     """Rows as bytes of single precision, which halves what is moved."""
-    return pa.array([r.tobytes() for r in rows.astype(np.float32)], pa.binary())
+    return [r.tobytes() for r in rows.astype(np.float32)]
 
 
 def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -106,69 +107,117 @@ def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1).astype(np.float64)
 
 
-def _returned(matrix: TermMatrix, block: DataFrame | None, turn: np.ndarray | None, width: int) -> DataFrame:
-    """``A' A Q`` as a block: ``of, column, lead, v``, each row once for every chunk that has the term.
+class Chunk:
+    """A chunk's documents in order, its terms and the rows of ``Q`` it needs.
 
-    ``Q`` is a block times the small matrix ``turn``, or the signs. One row of a term leads.
+    ``Q`` is the block that was sent times the small matrix ``turn``, or the signs.
     """
 
-    def work(docs: pa.Table, sent: pa.Table | None) -> pa.Table:
-        columns, where, weights, ends, q = _chunk(docs, sent, turn, width)
-        total = np.zeros((len(columns), q.shape[1]))
-        for begin, end in zip(ends[:-1], ends[1:], strict=True):
-            w, at = weights[begin:end], where[begin:end]
-            total[at] += w[:, None] * (w @ q[at])  # a document's terms differ, so its rows are added to at once
-        of = docs.column("chunk").to_numpy()[:1].repeat(len(columns))
-        return pa.table([pa.array(of), pa.array(columns, pa.int32()), _packed(total)], names=["of", "column", "v"])
-
-    def add(parts: pa.Table) -> pa.Table:
-        column, of = parts.column("column").to_numpy(), parts.column("of").to_numpy()
-        order = np.lexsort((of, column))  # sums in one order, whichever way the parts came
-        lead = np.r_[True, column[order][1:] != column[order][:-1]]
-        sums = np.add.reduceat(_rows(parts.column("v"))[order], np.flatnonzero(lead))
-        return pa.table([pa.array(of[order]), pa.array(column[order]), pa.array(lead),
-                         _packed(sums).take(pa.array(np.cumsum(lead) - 1))], names=["of", "column", "lead", "v"])
-
-    parts = _on_chunks(matrix, block, work, "of int, column int, v binary")
-    groups = F.pmod(F.xxhash64("column"), F.lit(matrix.chunks))
-    return stored(parts.groupBy(groups).applyInArrow(add, "of int, column int, lead boolean, v binary"), "block")
+    def __init__(self, docs: pa.Table, sent: pa.Table, turn: np.ndarray | None, width: int):
+        self.docs = docs.take(pc.sort_indices(docs.column("row")))
+        lists = self.docs.column("terms").combine_chunks()
+        lengths = np.array(lists.value_lengths(), np.int64)
+        self.ends = np.r_[0, np.cumsum(lengths)]
+        known = sent.filter(pc.is_null(sent.column("kind")))
+        self.terms = known.column("term").combine_chunks()
+        self.shared = np.array(known.column("shared"), bool)
+        self.at = pc.index_in(lists.flatten(), value_set=self.terms).to_numpy(zero_copy_only=False)
+        counts = self.docs.column("counts").combine_chunks().flatten().to_numpy()
+        weights = (1.0 + np.log(counts)) * known.column("idf").to_numpy()[self.at]
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        norms = np.sqrt(np.bincount(owner, weights * weights, len(lengths)))
+        self.weights = weights / norms[owner] if len(weights) else weights
+        if turn is None:
+            self.q = _signs(known.column("hash").to_numpy(), width)
+            return
+        rows = sent.filter(pc.equal(sent.column("kind"), SHARED))
+        before = _rows(sent.filter(pc.equal(sent.column("kind"), PRODUCTS)).column("v")).reshape(len(lengths), -1)
+        z = self.back(before)
+        if rows.num_rows:
+            z[pc.index_in(rows.column("term"), value_set=self.terms).to_numpy()] = _rows(rows.column("v"))
+        self.q = z @ turn
+
+    def products(self) -> np.ndarray:
+        """A row for each document: the sum of its terms' rows of ``Q``."""
+        out = np.zeros((len(self.ends) - 1, self.q.shape[1]))
+        for i, (a, b) in enumerate(zip(self.ends[:-1], self.ends[1:], strict=True)):
+            out[i] = self.weights[a:b] @ self.q[self.at[a:b]]
+        return out
+
+    def back(self, products: np.ndarray) -> np.ndarray:
+        """A row for each term: the sum of its documents' products."""
+        out = np.zeros((len(self.terms), products.shape[1]))
+        for i, (a, b) in enumerate(zip(self.ends[:-1], self.ends[1:], strict=True)):
+            out[self.at[a:b]] += self.weights[a:b, None] * products[i]  # a document's terms differ
+        return out
+
+
+BLOCK = "of int, term string, kind int, lead boolean, v binary"
+
+
+def _on_chunks(matrix: TermMatrix, block: DataFrame | None, work: Callable, schema: T.StructType | str) -> DataFrame:
+    sent = matrix.vocabulary
+    if block is not None:
+        sent = sent.unionByName(block.drop("lead"), allowMissingColumns=True)
+    else:
+        sent = sent.withColumn("kind", F.lit(None).cast("int")).withColumn("v", F.lit(None).cast("binary"))
+    return matrix.rows.groupBy("chunk").cogroup(sent.groupBy("of")).applyInArrow(work, schema)
 
 
-def _products(matrix: TermMatrix, block: DataFrame, turn: np.ndarray, width: int) -> DataFrame:
-    """``A Q``: ``doc_id, v``."""
+def _returned(matrix: TermMatrix, block: DataFrame | None, turn: np.ndarray | None, width: int) -> DataFrame:
+    """``A' A Q`` as a block, each shared term's row once for every chunk that has it; one of them leads."""
+
+    def work(docs: pa.Table, sent: pa.Table) -> pa.Table:
+        chunk = Chunk(docs, sent, turn, width)
+        products = chunk.products()
+        z = chunk.back(products)
+        own = z[~chunk.shared]
+        names = chunk.terms.filter(pa.array(chunk.shared)).to_pylist()
+        rows = [*_packed(z[chunk.shared]), products.astype(np.float32).tobytes(), (own.T @ own).tobytes()]
+        of = docs.column("chunk")[0].as_py()
+        return pa.table([
+            pa.array([of] * len(rows), pa.int32()), pa.array([*names, None, None], pa.string()),
+            pa.array([SHARED] * len(names) + [PRODUCTS, GRAM], pa.int32()), pa.array([True] * len(rows)),
+            pa.array(rows, pa.binary())], names=["of", "term", "kind", "lead", "v"])
 
-    def work(docs: pa.Table, sent: pa.Table | None) -> pa.Table:
-        _, where, weights, ends, q = _chunk(docs, sent, turn, width)
-        found = np.stack([weights[a:b] @ q[where[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)])
-        return pa.table([docs.column("doc_id"), _packed(found)], names=["doc_id", "v"])
+    def add(parts: pa.Table) -> pa.Table:
+        whole = parts.filter(pc.not_equal(parts.column("kind"), SHARED))
+        parts = parts.filter(pc.equal(parts.column("kind"), SHARED))
+        if not parts.num_rows:
+            return whole
+        # sums in one order, whichever way the parts came
+        parts = parts.sort_by([("term", "ascending"), ("of", "ascending")])
+        code = parts.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
+        lead = np.r_[True, code[1:] != code[:-1]]
+        sums = np.add.reduceat(_rows(parts.column("v")), np.flatnonzero(lead))
+        summed = pa.array(_packed(sums), pa.binary()).take(pa.array(np.cumsum(lead) - 1))
+        parts = parts.set_column(3, "lead", pa.array(lead)).set_column(4, "v", summed)
+        return pa.concat_tables([whole, parts])
+
+    parts = _on_chunks(matrix, block, work, BLOCK)
+    groups = F.pmod(F.xxhash64(F.coalesce("term", F.col("of").cast("string"))), F.lit(matrix.chunks))
+    return stored(parts.groupBy(groups).applyInArrow(add, BLOCK), "block")
+
+
+def _last_products(matrix: TermMatrix, block: DataFrame, turn: np.ndarray, width: int) -> DataFrame:
+    """``A Q`` (``doc_id, v``) and, where ``term`` is set, rows of ``Q`` of terms of one chunk."""
+    schema = T.StructType([matrix.rows.schema["doc_id"], T.StructField("term", T.StringType()),
+                           T.StructField("v", T.BinaryType())])
+
+    def work(docs: pa.Table, sent: pa.Table) -> pa.Table:
+        chunk = Chunk(docs, sent, turn, width)
+        names = chunk.terms.filter(pa.array(~chunk.shared))
+        ids = chunk.docs.column("doc_id").combine_chunks()
+        return pa.table([
+            pa.concat_arrays([ids, pa.nulls(len(names), ids.type)]),
+            pa.concat_arrays([pa.nulls(len(ids), pa.string()), names.cast(pa.string())]),
+            pa.array([*_packed(chunk.products()), *_packed(chunk.q[~chunk.shared])], pa.binary())],
+            names=["doc_id", "term", "v"])
 
-    schema = T.StructType([matrix.rows.schema["doc_id"], T.StructField("v", T.BinaryType())])
     return stored(_on_chunks(matrix, block, work, schema), "products")
 
 
-def _chunk(docs: pa.Table, sent: pa.Table | None, turn: np.ndarray | None, width: int) -> tuple:
-    """Of a chunk: its columns, the place of each entry's column among them, the entries' weights,
-    where each document's entries begin and end, and the rows of ``Q``."""
-    at = docs.column("at").combine_chunks()
-    cells = at.flatten().to_numpy()
-    if sent is None:
-        columns = np.unique(cells)
-        q = _signs(columns, width)
-    else:
-        order = np.argsort(sent.column("column").to_numpy())
-        columns, q = sent.column("column").to_numpy()[order], _rows(sent.column("v"))[order] @ turn
-    weights = docs.column("weights").combine_chunks().flatten().to_numpy()
-    ends = np.r_[0, np.cumsum(np.array(at.value_lengths(), np.int64))]
-    return columns, np.searchsorted(columns, cells), weights, ends, q
-
-
-def _on_chunks(matrix: TermMatrix, block: DataFrame | None, work, schema) -> DataFrame:
-    if block is None:
-        return matrix.rows.groupBy("chunk").applyInArrow(lambda docs: work(docs, None), schema)
-    return matrix.rows.groupBy("chunk").cogroup(block.groupBy("of")).applyInArrow(work, schema)
-
-
-def _gram(block: DataFrame, width: int) -> np.ndarray:
+def _gram(rows: DataFrame, width: int) -> np.ndarray:
     """Products of the columns of ``v`` with each other: ``width * width`` numbers."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +226,28 @@ def _gram(block: DataFrame, width: int) -> np.ndarray:
             if batch.num_rows:
                 x = _rows(batch.column(0))
                 total += x.T @ x
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(width * width), pa.int32()), pa.array(total.ravel())], names=["cell", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    return _sum(rows.select("v").mapInArrow(multiply, "total binary"), "total", width)
+
+
+def _sum(matrices: DataFrame, name: str, width: int) -> np.ndarray:
+    """The sum of small matrices, added up by tasks first, in a fixed order of their bytes."""
+
+    def add(table: pa.Table) -> pa.Table:
+        found = sorted(table.column(1).to_pylist())
+        total = np.sum([np.frombuffer(m) for m in found], 0)
+        return pa.table([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    few = matrices.select(F.pmod(F.xxhash64(name), F.lit(64)).alias("_lot"), F.col(name).alias("total")).groupBy(
+        "_lot").applyInArrow(add, "total binary").collect()
+    return np.sum([np.zeros(width * width), *[np.frombuffer(m) for m in sorted(
+        bytes(r["total"]) for r in few)]], 0).reshape(width, width)
+
 
-    out = np.zeros(width * width)
-    for cell, x in block.select("v").mapInArrow(multiply, "cell int, x double").groupBy("cell").agg(
-            F.sum("x")).collect():
-        out[cell] = x
-    return out.reshape(width, width)
+def _block_gram(block: DataFrame, width: int) -> np.ndarray:
+    return _gram(block.where((F.col("kind") == SHARED) & F.col("lead")), width) + _sum(
+        block.where(F.col("kind") == GRAM), "v", width)
 
 
 def _orthonormal(gram: np.ndarray) -> np.ndarray:
@@ -194,22 +257,24 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
     return axes[:, held] / np.sqrt(size[held])
 
 
-def _turned(block: DataFrame, key: str, turn: np.ndarray, out: str, scaled: bool) -> DataFrame:
-    """``key, out``: rows times a small matrix, as arrays, at unit length if ``scaled``."""
-    schema = block.select(key).schema.add(out, T.ArrayType(T.DoubleType()))
+def _turned(rows: DataFrame, key: str, turn: np.ndarray, out: str, scaled: bool) -> DataFrame:
+    """``key, out``: rows times a small matrix, as arrays; if ``scaled`` at unit length, zero ones as NULL."""
+    schema = rows.select(key).schema.add(out, T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = _rows(batch.column(1)) @ turn
+                none = np.zeros(len(x), bool)
                 if scaled:
                     norm = np.sqrt((x * x).sum(1, keepdims=True))
+                    none = norm[:, 0] == 0
                     x = x / np.where(norm == 0, 1, norm)
-                rows = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=schema.names)
+                found = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()), mask=pa.array(none))
+                yield pa.RecordBatch.from_arrays([batch.column(0), found], names=schema.names)
 
-    return block.select(key, "v").mapInArrow(run, schema)
+    return rows.select(key, "v").mapInArrow(run, schema)
 
 
 def fit_projection(corpus: DataFrame, dim: int = policy.EMBED_DIM) -> Projection:
@@ -220,24 +285,25 @@ def fit_projection(corpus: DataFrame, dim: int = policy.EMBED_DIM) -> Projection
     by how much). A document without terms gets a NULL vector, which scores 0 against all.
     """
     matrix = term_matrix(corpus)
-    none = matrix.bare.select("doc_id", F.lit(None).cast("array<double>").alias("vector"))
     if not matrix.n_terms:
         empty = matrix.terms.select("term", "idf", array_to_vector(F.array().cast("array<double>")).alias("factor"))
-        return Projection(empty, none)
+        return Projection(empty, corpus.select(F.col("id").alias("doc_id"), F.lit(None).cast("array<double>").alias("vector")))
     k = max(1, min(dim, min(matrix.n_terms, matrix.docs) - 1))
-    width = min(OVERSAMPLING * k, matrix.docs, matrix.n_terms)
+    width = min(k + OVERSAMPLING, matrix.docs, matrix.n_terms)
     block = _returned(matrix, None, None, width)
     for _ in range(POWER_STEPS):
-        turn = _orthonormal(_gram(block.where("lead"), width))
+        turn = _orthonormal(_block_gram(block, width))
         block, width = _returned(matrix, block, turn, width), turn.shape[1]
-    turn = _orthonormal(_gram(block.where("lead"), width))
-    products = _products(matrix, block, turn, width)
+    turn = _orthonormal(_block_gram(block, width))
+    last = _last_products(matrix, block, turn, width)
+    products, own = last.where("term IS NULL"), last.where("term IS NOT NULL")
     axes = np.linalg.eigh(_gram(products, turn.shape[1]))[1][:, ::-1][:, :k]
-    local = _turned(block.where("lead"), "column", turn @ axes, "factor", False)
-    factors = stored(matrix.terms.join(local, "column").select(
+    shared = block.where((F.col("kind") == SHARED) & F.col("lead"))
+    local = _turned(shared, "term", turn @ axes, "factor", False).unionByName(_turned(own, "term", axes, "factor", False))
+    factors = stored(matrix.terms.join(local, "term").select(
         "term", "idf", array_to_vector("factor").alias("factor")), "factors")
-    vectors = _turned(products, "doc_id", axes, "vector", True)
-    return Projection(factors, vectors.unionByName(none))
+    corpus.sparkSession.sql(f"DROP TABLE {matrix.name}")  # its files belong to the checkpoint folder
+    return Projection(factors, _turned(products, "doc_id", axes, "vector", True))
 
 
 def embed_queries(queries: DataFrame, projection: Projection) -> DataFrame:

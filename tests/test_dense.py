@@ -20,26 +20,26 @@ def topics(n, seed=2, words=900):
         for _ in range(60))) for i in range(n)]
 
 
-@pytest.mark.parametrize("cells", [250_000, 700])
-def test_projection_matches_full_decomposition(spark, monkeypatch, cells):
-    monkeypatch.setattr(semantics, "CHUNK_CELLS", cells)
+@pytest.mark.parametrize("size", [32 << 20, 9_000])
+def test_projection_matches_full_decomposition(spark, monkeypatch, size):
+    monkeypatch.setattr(semantics, "CHUNK_BYTES", size)
     docs = spark.createDataFrame(topics(240), CORPUS)
     matrix = semantics.term_matrix(docs)
-    assert matrix.n_terms > 1000
-    dense = np.zeros((240, matrix.n_terms))
-    names = []
+    assert matrix.n_terms > 1000 and (matrix.chunks == 1) == (size > 1 << 20)
+    column = {r["term"]: (i, r["idf"]) for i, r in enumerate(matrix.terms.collect())}
+    dense, names = np.zeros((240, matrix.n_terms)), []
     for i, r in enumerate(matrix.rows.collect()):
-        dense[i, r["at"]] = r["weights"]
         names.append(r["doc_id"])
-    assert np.allclose((dense * dense).sum(1), 1)
+        for term, n in zip(r["terms"], r["counts"], strict=True):
+            dense[i, column[term][0]] = (1 + np.log(n)) * column[term][1]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     u, s, vt = np.linalg.svd(dense, full_matrices=False)
     k = 6
     p = semantics.fit_projection(docs, k)
     found = {r["term"]: r["f"] for r in p.factors.select("term", vector_to_array("factor").alias("f")).collect()}
-    column = {r["term"]: r["column"] for r in matrix.terms.collect()}
     v = np.zeros((matrix.n_terms, k))
     for term, factor in found.items():
-        v[column[term]] = factor
+        v[column[term][0]] = factor
     assert np.allclose(v.T @ v, np.eye(k), atol=1e-5)
     assert np.allclose(np.linalg.svd(dense @ v)[1], s[:k], rtol=0.005)  # singular values to half a percent
     want = dense @ vt[:k].T
