@@ -61,3 +61,91 @@ def is_federal_holiday(day: Column) -> Column:
 
 def is_business_day(day: Column) -> Column:
     return (F.weekday(day) < SATURDAY) & ~is_federal_holiday(day)
+
+
+# --- business days by arithmetic -------------------------------------------------------
+#
+# Weekdays are numbered from 1 January of year 1, a Monday. An observed holiday is a weekday,
+# so it is named by its number; a year's holidays are a short ascending list of numbers.
+
+FIRST_DAY = "DATE'0001-01-01'"
+SINCE_2021 = 2021                   # first year with eleven holidays instead of ten
+BUSINESS_DAYS_BEFORE_2021 = 506_794  # business days of the years 1 to 2020, by the count below
+YEAR_OF_TEN, YEAR_OF_ELEVEN = 250.8881, 249.8875  # business days of a year, on average
+
+
+def weekday_number(day: Column) -> Column:
+    """Weekdays up to and including ``day``; a weekend has the number of its Friday."""
+    t = F.date_diff(day, F.expr(FIRST_DAY))
+    return (5 * F.floor(t / 7) + F.least(F.pmod(t, F.lit(7)) + 1, F.lit(5))).cast("int")
+
+
+def weekday_at(number: Column) -> Column:
+    days = 7 * F.floor((number - 1) / 5) + F.pmod(number - 1, F.lit(5))
+    return F.date_add(F.expr(FIRST_DAY), days.cast("int"))
+
+
+def _fixed(year: Column, month: int, day: int, since: int) -> Column:
+    """A Saturday has its Friday's number already; a Sunday is observed on the next weekday."""
+    date = F.make_date(year, F.lit(month), F.lit(day))
+    number = weekday_number(date) + (F.weekday(date) == 6).cast("int")
+    return F.when(year >= since, number) if since else number
+
+
+def _floating(year: Column, month: int, weekday: int, first: int) -> Column:
+    date = F.make_date(year, F.lit(month), F.lit(first))
+    return weekday_number(F.date_add(date, F.pmod(weekday - F.weekday(date), F.lit(7)).cast("int")))
+
+
+def holiday_numbers(year: Column) -> Column:
+    """Weekday numbers of a year's holidays in order, with 1 January's even if it is observed on 31 December."""
+    found = [((m, d), _fixed(year, m, d, since)) for m, d, since in FIXED_HOLIDAYS]
+    found += [((m, lo), _floating(year, m, w, lo)) for m, w, lo, _ in FLOATING_HOLIDAYS]
+    return F.filter(F.array(*[c for _, c in sorted(found, key=lambda f: f[0])]), lambda p: p.isNotNull())
+
+
+def _holidays_before(year: Column) -> Column:
+    return 10 * (year - 1) + F.greatest(year - SINCE_2021, F.lit(0))
+
+
+def business_index(day: Column) -> Column:
+    """Business days from year 1 up to and including ``day``."""
+    year, number = F.year(day), weekday_number(day)
+    passed = F.size(F.filter(holiday_numbers(year), lambda p: p <= number))
+    # 31 December is a holiday when 1 January is a Saturday
+    eve = F.coalesce((_fixed(year + 1, 1, 1, 0) <= number).cast("int"), F.lit(0))
+    return (number - _holidays_before(year) - passed - eve).cast("int")
+
+
+def _past(number: Column, holidays: Column, after: Column | None = None) -> Column:
+    """``number`` moved on by a weekday for each of the ascending ``holidays`` that it meets."""
+    def step(q: Column, p: Column) -> Column:
+        met = p <= q if after is None else (p <= q) & (p > after)
+        return F.when(met, q + 1).otherwise(q)
+
+    return F.aggregate(holidays, number.cast("int"), step)
+
+
+def business_day_at(index: Column) -> Column:
+    """The business day with this ``business_index``.
+
+    Its year is known from the average year to one more or less, so the holidays of three
+    years decide, whatever the date.
+    """
+    later = index - BUSINESS_DAYS_BEFORE_2021
+    year = F.when(later <= 0, F.floor((index - 1) / YEAR_OF_TEN) + 1).otherwise(
+        SINCE_2021 + F.floor((later - 1) / YEAR_OF_ELEVEN)).cast("int")
+    near = F.flatten(F.transform(F.sequence(year - 1, year + 1), holiday_numbers))
+    return weekday_at(_past(index + _holidays_before(year - 1), near))
+
+
+def holidays_ahead(day: Column) -> Column:
+    """``at, holidays``: what ``business_days_after`` needs of a day, taken once for several periods."""
+    return F.struct(weekday_number(day).alias("at"), F.concat(
+        holiday_numbers(F.year(day)), holiday_numbers(F.year(day) + 1)).alias("holidays"))
+
+
+def business_days_after(ahead: Column, n: int | Column) -> Column:
+    """The ``n``-th business day after the day of ``holidays_ahead``, for ``n`` from 1 to 240."""
+    steps = F.lit(n) if isinstance(n, int) else n
+    return weekday_at(_past(ahead["at"] + steps, ahead["holidays"], ahead["at"]))

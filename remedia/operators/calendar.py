@@ -1,126 +1,69 @@
-"""Business-day arithmetic as equi-joins against a calendar table.
+"""Business-day arithmetic in closed form: no calendar table, no join, no pass over the dates.
 
-The table has one row per day of the years that the dates at hand need: their range is
-read from the data unless a calendar is given. The joins carry no hint; a calendar of
-some centuries is small enough for Spark to broadcast by its own size check, and one that
-an outlier date stretches further is joined by a shuffle.
+Weekdays are counted by arithmetic and holidays by a short list for the years at hand
+(``functions.dates``), so every date from year 1 to 9999 is served, in batch and in streams.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedia.functions.dates import is_business_day, is_federal_holiday
+from remedia.functions.dates import (
+    business_day_at,
+    business_days_after,
+    business_index,
+    holidays_ahead,
+    is_business_day,
+    is_federal_holiday,
+)
 
-FIRST_YEAR, LAST_YEAR = 1990, 2060
-HORIZON = 20  # longest business-day period any rule counts
 
+def place(day: Column, since: str = "0001-01-01") -> list[Column]:
+    """``is_holiday, is_business_day, idx`` of a day; ``idx`` counts the business days from ``since``."""
+    before = business_index(F.date_sub(F.to_date(F.lit(since)), 1)) if since > "0001-01-01" else F.lit(0)
+    return [is_federal_holiday(day).alias("is_holiday"), is_business_day(day).alias("is_business_day"),
+            (business_index(day) - before).alias("idx")]
 
-def calendar_for(df: DataFrame, *dates: Column, steps: Column | None = None) -> DataFrame:
-    """A calendar of all years of ``dates``, and of ``steps`` business days on either side."""
-    bounds = [f(d) for d in dates for f in (F.min, F.max)]
-    reach = F.max(F.abs(steps)) if steps is not None else F.lit(0)
-    *days, most = df.agg(*[b.alias(f"_{i}") for i, b in enumerate(bounds)], reach.alias("_most")).first()
-    years = [d.year for d in days if d is not None]
-    if not years:
-        return business_calendar(df.sparkSession)
-    more = 1 + (most or 0) // 240  # every year has more business days than that
-    return business_calendar(df.sparkSession, max(1, min(years) - more), max(years) + more)
 
-
-def business_calendar(
-    spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR,
-) -> DataFrame:
-    """``day, is_holiday, is_business_day, idx, ahead``.
-
-    ``idx`` counts business days up to and including ``day``; ``ahead[k]`` is the
-    (k+1)-th business day after it, for the first ``HORIZON`` of them.
-    """
-    years = last_year - first_year + 1
-    if years < 1:
+def business_calendar(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """``day, is_holiday, is_business_day, idx`` of every day of these years; ``idx`` counts from the first."""
+    if last_year < first_year:
         raise ValueError("the last year comes before the first")
     start = F.make_date(F.lit(first_year), F.lit(1), F.lit(1))
-    days = spark.range(0, years * 366 + 1, 1, 1).select(
-        F.date_add(start, F.col("id").cast("int")).alias("day"))
-    days = days.where(F.year("day") <= last_year).select(
-        "day",
-        is_federal_holiday(F.col("day")).alias("is_holiday"),
-        is_business_day(F.col("day")).alias("is_business_day"))
-    order = Window.orderBy("day")
-    following = order.rowsBetween(1, 2 * HORIZON + 15)
-    return days.select(
-        "*",
-        F.count_if("is_business_day").over(
-            order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("idx"),
-        F.slice(
-            F.collect_list(F.when(F.col("is_business_day"), F.col("day"))).over(following),
-            1, HORIZON).alias("ahead"))
-
-
-def add_business_days(
-    df: DataFrame, start: str, n: str, out: str, calendar: DataFrame | None = None,
-) -> DataFrame:
+    days = spark.range((last_year - first_year + 1) * 366).select(
+        F.date_add(start, F.col("id").cast("int")).alias("day")).where(F.year("day") <= last_year)
+    return days.select("day", *place(F.col("day"), f"{first_year:04d}-01-01"))
+
+
+def add_business_days(df: DataFrame, start: str, n: str, out: str) -> DataFrame:
     """``n`` business days after ``start`` (before it when negative, ``start`` itself for 0).
 
-    A positive step lands on the business day with index ``idx(start) + n``; a
-    negative one on index ``idx(start) - is_business_day(start) + n + 1``. Two
-    joins on a unique key, whatever the size of ``n``.
+    A positive step lands on the business day with index ``idx(start) + n``; a negative
+    one on index ``idx(start) - is_business_day(start) + n + 1``.
     """
-    if calendar is None:
-        calendar = calendar_for(df, F.col(start).cast("date"), steps=F.col(n))
-    from_day = calendar.select(
-        F.col("day").alias(start),
-        F.col("idx").alias("_from_idx"), F.col("is_business_day").alias("_from_bd"))
-    to_idx = calendar.where("is_business_day").select(
-        F.col("idx").alias("_to_idx"), F.col("day").alias("_to_day"))
-    target = (
-        F.when(F.col(n) > 0, F.col("_from_idx") + F.col(n))
-        .when(F.col(n) < 0,
-              F.col("_from_idx") - F.col("_from_bd").cast("int") + F.col(n) + 1)
-        .cast("int"))
-    return (
-        df.join(from_day, start, "left")
-        .withColumn("_to_idx", target)
-        .join(to_idx, "_to_idx", "left")
-        .withColumn(out, F.when(F.col(n) == 0, F.col(start)).otherwise(F.col("_to_day")))
-        .drop("_from_idx", "_from_bd", "_to_idx", "_to_day"))
-
-
-def business_days_between(
-    df: DataFrame, start: str, end: str, out: str, calendar: DataFrame | None = None,
-) -> DataFrame:
+    day = F.col(start)
+    index = business_index(day) + F.col(n)
+    target = F.when(F.col(n) > 0, index).otherwise(index - is_business_day(day).cast("int") + 1)
+    placed = df.withColumn("_target", target)
+    return placed.withColumn(
+        out, F.when(F.col(n) == 0, day).otherwise(business_day_at(F.col("_target")))).drop("_target")
+
+
+def business_days_between(df: DataFrame, start: str, end: str, out: str) -> DataFrame:
     """Business days after ``start`` up to and including ``end``; antisymmetric."""
-    if calendar is None:
-        calendar = calendar_for(df, F.col(start).cast("date"), F.col(end).cast("date"))
-    for side in (start, end):
-        df = df.join(
-            calendar.select(F.col("day").alias(side), F.col("idx").alias(f"_idx_{side}")),
-            side, "left")
-    return (
-        df.withColumn(out, F.col(f"_idx_{end}") - F.col(f"_idx_{start}"))
-        .drop(f"_idx_{start}", f"_idx_{end}"))
-
-
-def look_ahead(df: DataFrame, anchor: Column, prefix: str, calendar: DataFrame) -> DataFrame:
-    """Add ``{prefix}_idx`` and ``{prefix}_ahead`` for an anchor date: one join on the day."""
-    side = calendar.select(
-        F.col("day").alias(f"_{prefix}_day"),
-        F.col("idx").alias(f"{prefix}_idx"),
-        F.col("ahead").alias(f"{prefix}_ahead"))
-    return df.join(side, anchor == F.col(f"_{prefix}_day"), "left").drop(f"_{prefix}_day")
+    return df.withColumn(out, business_index(F.col(end)) - business_index(F.col(start)))
+
+
+def next_business_day(df: DataFrame, start: str, out: str) -> DataFrame:
+    return look_ahead(df, F.col(start), "_nbd").withColumn(out, nth_ahead("_nbd", 1)).drop("_nbd_ahead")
+
+
+def look_ahead(df: DataFrame, anchor: Column, prefix: str) -> DataFrame:
+    """Add ``{prefix}_ahead`` for an anchor date: what its business-day periods are counted with."""
+    return df.withColumn(f"{prefix}_ahead", F.when(anchor.isNotNull(), holidays_ahead(anchor)))
 
 
 def nth_ahead(prefix: str, n: int | Column) -> Column:
-    return F.try_element_at(F.col(f"{prefix}_ahead"), F.lit(n) if isinstance(n, int) else n)
-
-
-def next_business_day(
-    df: DataFrame, start: str, out: str, calendar: DataFrame | None = None,
-) -> DataFrame:
-    if calendar is None:
-        calendar = calendar_for(df, F.col(start).cast("date"))
-    return (
-        look_ahead(df, F.col(start), "_nbd", calendar)
-        .withColumn(out, nth_ahead("_nbd", 1))
-        .drop("_nbd_idx", "_nbd_ahead"))
+    """The ``n``-th business day after the anchor, for ``n`` up to 240."""
+    return business_days_after(F.col(f"{prefix}_ahead"), n)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from remedia import policy
 from remedia.functions.dates import iso, parse_day
-from remedia.operators.calendar import calendar_for, look_ahead, nth_ahead
+from remedia.functions.dates import business_index
+from remedia.operators.calendar import look_ahead, nth_ahead
 from remedia.session import unnest
 
 DEADLINE = "struct<name:string,due:date,basis:string,citation:string,note:string>"
@@ -272,14 +273,13 @@ def _as_day(df: DataFrame, name: str) -> Column:
 
 
 def compute_deadlines(
-    df: DataFrame, calendar: DataFrame | None = None, regulation: str = "regulation",
+    df: DataFrame, regulation: str = "regulation",
     out: str = "deadlines", liability: str | None = "liability",
 ) -> DataFrame:
     """Add the deadline struct (and the liability struct of REG_E rows) to every dispute.
 
     A missing date a regulation needs gives an empty result with ``error``; an
-    unknown regulation takes the FDCPA branch. The calendar's years are those of the
-    dates themselves, so no date is outside it.
+    unknown regulation takes the FDCPA branch.
     """
     flags = {n: _field(df, n) for n in DISPUTE_DEFAULTS if not n.endswith(("_date", "opened"))}
     keep = df.columns
@@ -297,14 +297,11 @@ def compute_deadlines(
     credit = F.col("_provisional_credit_given")
     new = reg_e_new_account(notice, opened)
 
-    if calendar is None:
-        calendar = calendar_for(work, notice, F.col("_discovery"))
-    work = look_ahead(work, notice, "notice", calendar)
+    work = look_ahead(work, notice, "notice")
     conclusion = (
         F.when(credit, F.date_add(notice, reg_e_extended_days(new, pos, foreign)))
         .otherwise(nth_ahead("notice", F.when(new, F.lit(20)).otherwise(F.lit(10)))))
-    work = look_ahead(work.withColumn("_conclusion", conclusion), F.col("_conclusion"),
-                      "conclusion", calendar)
+    work = look_ahead(work.withColumn("_conclusion", conclusion), F.col("_conclusion"), "conclusion")
 
     def missing(name: str) -> Column:
         return _result(F.col(regulation), F.lit(None).cast("boolean"),
@@ -313,13 +310,11 @@ def compute_deadlines(
 
     no_notice = missing("missing date field 'notice_date'")
     no_statement = missing("missing date field 'statement_date'")
-    outside = missing("date outside the business calendar")
     reg = F.col(regulation)
     contact = F.coalesce(F.col("_first_contact"), notice)
     result = (
         F.when(reg.isin("REG_E", "REG_Z", "FCRA") & notice.isNull(), no_notice)
         .when(reg.isin("REG_E", "REG_Z") & statement.isNull(), no_statement)
-        .when((reg == "REG_E") & F.col("conclusion_idx").isNull(), outside)
         .when(reg == "REG_E", regulation_e(notice, statement, opened, pos, foreign, credit))
         .when(reg == "REG_Z", regulation_z(notice, statement, F.col("_billing_cycle_days")))
         .when(reg == "FCRA", fcra(notice, F.col("_additional_information_provided")))
@@ -327,13 +322,11 @@ def compute_deadlines(
         .otherwise(fdcpa(contact, F.col("_written"))))
     added = [result.alias(out)]
     if liability:
-        work = look_ahead(work.withColumn("_found", F.coalesce(F.col("_discovery"), notice)),
-                          F.col("_found"), "found", calendar)
+        found = F.coalesce(F.col("_discovery"), notice)
         added.append(F.when(
-            (reg == "REG_E") & notice.isNotNull() & statement.isNotNull()
-            & F.col("notice_idx").isNotNull() & F.col("found_idx").isNotNull(),
+            (reg == "REG_E") & notice.isNotNull() & statement.isNotNull(),
             regulation_e_liability(
-                F.col("notice_idx") - F.col("found_idx"), _days(notice, statement),
+                business_index(notice) - business_index(found), _days(notice, statement),
                 F.col("_access_device"))).alias(liability))
     return work.select(*keep, *added)
 

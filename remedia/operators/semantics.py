@@ -36,7 +36,7 @@ from remedia.session import scratch_path, stored, unnest
 
 POWER_STEPS = 2
 OVERSAMPLING = 10        # columns of the block beyond those asked for
-CHUNK_BYTES = 32 << 20   # text in a task's hands, about
+CHUNK_BYTES = 8 << 20    # text in a task's hands, about
 RANK = 1e-14             # directions with less than this share of the largest are none
 SHARED, PRODUCTS, GRAM = 1, 2, 3  # kinds of rows of a block: of a term of several chunks; of a chunk's documents; of its own terms
 

@@ -113,7 +113,7 @@ def route(df: DataFrame) -> DataFrame:
 def triage(
     disputes: DataFrame, as_of: Column, corpus: DataFrame | None = None,
     projection: retrieval.Projection | None = None, valid_sections: Column | None = None,
-    calendar: DataFrame | None = None, narrative_chars: int | None = None,
+    narrative_chars: int | None = None,
 ) -> DataFrame:
     """Every step for every dispute.
 
@@ -127,7 +127,7 @@ def triage(
         valid_sections = corpus.agg(F.array_sort(F.collect_set("id"))).scalar()
     cases = (
         disputes.transform(classify).transform(lambda d: validate(d, as_of))
-        .transform(lambda d: compute_deadlines(d, calendar)).transform(assess_risk))
+        .transform(compute_deadlines).transform(assess_risk))
     if corpus is None:
         cases = without_sections(cases)
     else:
