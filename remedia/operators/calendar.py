@@ -60,8 +60,13 @@ def next_business_day(df: DataFrame, start: str, out: str) -> DataFrame:
 
 
 def look_ahead(df: DataFrame, anchor: Column, prefix: str) -> DataFrame:
-    """Add ``{prefix}_ahead`` for an anchor date: what its business-day periods are counted with."""
-    return df.withColumn(f"{prefix}_ahead", F.when(anchor.isNotNull(), holidays_ahead(anchor)))
+    """Add ``{prefix}_ahead`` for an anchor date: what its business-day periods are counted with.
+
+    The one-element ``explode`` keeps the optimiser from writing the whole expression out at
+    every use, which a filter on a letter far above would do hundreds of times.
+    """
+    ahead = F.when(anchor.isNotNull(), holidays_ahead(anchor))
+    return df.select("*", F.explode_outer(F.array(ahead)).alias(f"{prefix}_ahead"))
 
 
 def nth_ahead(prefix: str, n: int | Column) -> Column:
