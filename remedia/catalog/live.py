@@ -65,15 +65,50 @@ def streaming_triage(spark, sf_dir):
         F.sum("cases").alias("cases"))
 
 
+def _flaky(case: dict, attempt: int) -> None:
+    """Some cases fail twice, some always."""
+    if case["key"] % 17 == 0 or (case["key"] % 13 == 0 and attempt < 3):
+        raise RuntimeError(f"attempt {attempt}")
+
+
+def streaming_retries(spark, sf_dir):
+    """Orders as cases whose work may fail: how many ended how, after how many attempts."""
+    out = scratch_path(spark, "attempts")
+    feed = _feed(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("amount"))
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", feeds.ROCKSDB)
+    try:
+        feeds.run_attempts(lambda: feeds.start_attempts(
+            feed, _flaky, lambda cases: cases, "key", out, f"{out}/checkpoint"))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    done = spark.read.parquet(f"{out}/cases").select(F.lit("succeeded").alias("state"), F.col("work_attempts").alias("attempts"), "amount")
+    dead = spark.read.parquet(f"{out}/dead").select(F.lit("dead").alias("state"), "attempts", F.get_json_object(
+        "payload", "$.amount").cast("double").alias("amount"))
+    return done.unionByName(dead).groupBy("state", "attempts").agg(
+        F.count(F.lit(1)).alias("cases"), F.round(F.sum("amount"), 2).alias("amount"))
+
+
+RETRIES_SQL = """
+SELECT CASE WHEN o_orderkey % 17 = 0 THEN 'dead' ELSE 'succeeded' END AS state,
+  CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 13 = 0 THEN 3 ELSE 1 END AS attempts,
+  count(*) AS cases, round(sum(o_totalprice), 2) AS amount
+FROM orders GROUP BY 1, 2"""
+
+
 def streaming_shadow(spark, sf_dir):
-    """Two rules on the event feed per closed day and segment, against delayed labels."""
+    """Two rules on the event feed per closed day and segment, against labels that come
+    up to a day and a half after their event; those later than a day don't count."""
     out = scratch_path(spark, "shadow")
-    labels = table(spark, sf_dir, "events").where("event_id % 3 <> 0").select(
-        "event_id", F.when(F.col("value") > 180, "1").otherwise("0").alias("truth"))
+    events = _feed(spark, sf_dir, "events").select("event_id", "ts", "value", "event_type")
+    labels = _feed(spark, sf_dir, "events").where("event_id % 3 <> 0").select(
+        "event_id", F.timestamp_add("HOUR", (F.col("event_id") % 36).cast("int"), "ts").alias("known"),
+        F.when(F.col("value") > 180, "1").otherwise("0").alias("truth"))
     value, kind = F.col("value"), F.col("event_type")
     counts = feeds.shadow_windows(
-        _feed(spark, sf_dir, "events").select("event_id", "ts", "value", "event_type"), labels,
-        "event_id", "ts", F.when(value > 200, "1").otherwise("0"),
+        feeds.labelled(events, labels, "event_id", "ts", "known", "24 hours"), "ts",
+        F.when(value > 200, "1").otherwise("0"),
         F.when((value > 150) | (kind == "error"), "1").otherwise("0"),
         shadow.value_segment(value * 3, kind == "purchase"), F.col("truth"))
     feeds.start_shadow(counts, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
@@ -88,9 +123,9 @@ WITH r AS (
     CASE WHEN value > 150 OR event_type = 'error' THEN '1' ELSE '0' END AS c,
     CASE WHEN value * 3 >= 750 THEN 'high_value' WHEN event_type = 'purchase'
       THEN 'high_escalation' ELSE 'standard' END AS segment,
-    CASE WHEN event_id % 3 <> 0 THEN CASE WHEN value > 180 THEN '1' ELSE '0' END END AS o
+    CASE WHEN event_id % 3 <> 0 AND event_id % 36 <= 24 THEN CASE WHEN value > 180 THEN '1' ELSE '0' END END AS o
   FROM events
-  WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 2 DAY FROM events))
+  WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 2 DAY - INTERVAL 24 HOUR FROM events))
 SELECT day, segment, count(*) AS n, count(*) FILTER (i = c) AS agreed, count(o) AS labelled,
   count(*) FILTER (i = o) AS incumbent_right, count(*) FILTER (c = o) AS candidate_right,
   count(*) FILTER (i <> c AND o IS NOT NULL) AS contested,
@@ -191,6 +226,7 @@ QUERIES = {
         FROM (SELECT queue FROM final UNION ALL SELECT 'manual_review' FROM disputes
               WHERE key % 31 = 0) GROUP BY 2"""),
     "streaming_shadow": (streaming_shadow, SHADOW_SQL),
+    "streaming_retries": (streaming_retries, RETRIES_SQL),
     "issue_classifier_metrics": (issue_classifier_metrics, None),
     "outcome_temporal_penalty": (outcome_temporal_penalty, None),
     "fraud_model_metrics": (fraud_model_metrics, None),

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from remedia.operators import drift, shadow
 
+ATTEMPTS = 3  # fixed: a case is tried three times
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def file_feed(spark: SparkSession, path: str, schema, glob: str | None = None,
               fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -104,6 +109,94 @@ def start_triage(
             .trigger(availableNow=True).start())
 
 
+class Attempts(StatefulProcessor):
+    """Counts a case's attempts in keyed state and says what becomes of it.
+
+    ``work`` gets the case as a dict and the number of the attempt; raising makes the
+    attempt fail. A case that has ended is remembered by a number and a flag, so a repeated
+    delivery of it is left out; without ``remember`` its state is freed.
+    """
+
+    def __init__(self, work: Callable[[dict, int], None], attempts: int, remember: bool = True):
+        self.work, self.attempts, self.remember = work, attempts, remember
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("attempts", "made int, ended boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        made, ended = (self.state.get() if self.state.exists() else None) or (0, False)
+        out = []
+        for frame in rows:
+            for payload in frame["payload"]:
+                if ended:
+                    continue
+                made += 1
+                error = None
+                try:
+                    self.work(json.loads(payload), made)
+                except Exception as raised:  # whatever a step raises is an attempt that failed
+                    error = f"{type(raised).__name__}: {raised}"
+                ended = error is None or made >= self.attempts
+                state = "succeeded" if error is None else "dead" if ended else "requeued"
+                out.append((key[0], payload, made, state, error))
+        if ended and not self.remember:
+            self.state.clear()
+        else:
+            self.state.update((made, ended))
+        yield pd.DataFrame(out, columns=["key", "payload", "attempts", "state", "error"])
+
+    def close(self) -> None:
+        pass
+
+
+def start_attempts(
+    feed: DataFrame, work: Callable[[dict, int], None], plan: Callable[[DataFrame], DataFrame],
+    key: str, path: str, checkpoint: str, attempts: int = ATTEMPTS, remember: bool = True,
+) -> StreamingQuery:
+    """Cases whose ``work`` may fail: tried up to ``attempts`` times, then put into ``dead``.
+
+    A case that fails does not hold up the others of its micro-batch: those that succeeded
+    go through ``plan`` into ``cases``, the failed one into ``requeue``, a folder that the
+    stream reads as a second source. State survives restarts with the checkpoint. The
+    session's state store must be ``ROCKSDB``.
+    """
+    spark = feed.sparkSession
+    requeue = f"{path}/requeue"
+    waiting = "key string, payload string"
+    spark.createDataFrame([], waiting).write.mode("append").parquet(requeue)
+    fresh = feed.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("key"), F.to_json(F.struct(*feed.columns)).alias("payload"))
+    again = spark.readStream.schema(waiting).option("recursiveFileLookup", "true").parquet(requeue)
+    tried = fresh.unionByName(again).groupBy("key").transformWithStateInPandas(
+        Attempts(work, attempts, remember), "key string, payload string, attempts int, state string, error string",
+        "Append", "None")
+    schema = feed.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            done = batch.where("state = 'succeeded'").select(
+                F.from_json("payload", schema).alias("c"), "attempts")
+            plan(done.select("c.*", F.col("attempts").alias("work_attempts"))).write.mode("overwrite").parquet(
+                f"{path}/cases/batch_id={batch_id}")
+            batch.where("state = 'requeued'").select("key", "payload").write.mode("overwrite").parquet(
+                f"{requeue}/batch-{batch_id}")
+            batch.where("state = 'dead'").select("key", "payload", "attempts", "error").write.mode(
+                "overwrite").parquet(f"{path}/dead/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return (tried.writeStream.outputMode("append").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def run_attempts(start: Callable[[], StreamingQuery], attempts: int = ATTEMPTS) -> None:
+    """Start the job of ``start_attempts`` as often as its requeued cases need: a run reads what
+    was there when it began."""
+    for _ in range(attempts):
+        start().awaitTermination()
+
+
 def triage_status(spark: SparkSession, path: str) -> DataFrame:
     """Cases per batch and state: succeeded by queue, or failed."""
     done = spark.read.parquet(f"{path}/cases").groupBy("batch_id", "queue").agg(
@@ -116,19 +209,29 @@ def triage_status(spark: SparkSession, path: str) -> DataFrame:
     return done.unionByName(failed)
 
 
-def shadow_windows(
-    feed: DataFrame, labels: DataFrame, key: str, time: str, incumbent: Column,
-    candidate: Column, segment: Column, observed: Column, late: str = "2 days",
-    window: str = "1 day",
+def labelled(
+    feed: DataFrame, labels: DataFrame, key: str, time: str, label_time: str, within: str,
+    late: str = "2 days",
 ) -> DataFrame:
-    """Segment counts of each closed window; repeated deliveries of a key count once.
+    """Each row of ``feed`` once, with the label of its key that arrives up to ``within`` after it.
 
-    Labels are a static table joined on the key, so a re-run picks up those that
-    have arrived since.
+    Both sides are streams. A row waits in state for its label; when the watermark has passed
+    its time by ``within`` it goes on without one and its state is freed, as that of a label
+    without a row is. A label that comes later than that, by its own time, counts for none.
     """
     once = feed.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    joined = once.join(labels, key, "left")
-    recs = joined.select(
+    arrived = labels.withWatermark(label_time, late).withColumnRenamed(key, "_label_of")
+    on = ((F.col(key) == F.col("_label_of")) & (F.col(label_time) >= F.col(time))
+          & (F.col(label_time) <= F.col(time) + F.expr(f"INTERVAL {within}")))
+    return once.join(arrived, on, "left").drop("_label_of")
+
+
+def shadow_windows(
+    rows: DataFrame, time: str, incumbent: Column, candidate: Column, segment: Column,
+    observed: Column, window: str = "1 day",
+) -> DataFrame:
+    """Segment counts of each closed window of ``labelled`` rows."""
+    recs = rows.select(
         F.window(time, window).alias("w"), incumbent.alias("incumbent"),
         candidate.alias("candidate"), segment.alias("segment"), observed.alias("observed")
     ).withColumn("agreed", F.col("incumbent").eqNullSafe(F.col("candidate")))
