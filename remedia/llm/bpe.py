@@ -223,8 +223,9 @@ DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256",
 
 def encode_digests(docs: DataFrame, path: str, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
-    rows = docs.select("doc_id", text_of().alias("text"))
-    id_field = T.StructField("doc_id", rows.schema["doc_id"].dataType)
+    kind = docs.schema["doc_id"].dataType
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))  # digits survive pandas
+    id_field = T.StructField("doc_id", T.StringType())
     small = rows.where(F.char_length("text") <= block)
     large = rows.where(F.char_length("text") > block).withColumn("k1", row_hash("doc_id", "text"))
 
@@ -263,4 +264,4 @@ def encode_digests(docs: DataFrame, path: str, leaf: int = LEAF, block: int = BL
         *place, T.StructField("text", T.BinaryType()), T.StructField("ids", T.BinaryType())]))
     out = T.StructType([id_field, *DIGESTS])
     return small.mapInPandas(at_once, out).unionByName(
-        encoded.groupBy("doc_id", "k1").applyInPandas(joined, out))
+        encoded.groupBy("doc_id", "k1").applyInPandas(joined, out)).withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -32,7 +32,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
+         "boolean": pa.bool_()}
 
 
 def add_columns(rows: DataFrame, inputs: Sequence[str], make: Callable[[], Callable], fields: dict[str, str],

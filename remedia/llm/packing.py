@@ -38,7 +38,8 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, separator: int = SEPARA
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
     if size < 1:
         raise ValueError("a sequence holds one token at least")
-    rows = docs.select("doc_id", text_of().alias("text"))
+    kind = docs.schema["doc_id"].dataType
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))  # digits survive pandas
     end = np.array([separator], "<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,8 +58,9 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, separator: int = SEPARA
                                 "start": start, "length": np.minimum(size, n[doc] - start), "ids_crc32": crc})
 
     return rows.mapInPandas(cut, T.StructType([
-        T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),
-        *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]]))
+        T.StructField("doc_id", T.StringType()), T.StructField("piece", T.IntegerType()),
+        *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]])).withColumn(
+        "doc_id", F.col("doc_id").cast(kind))
 
 
 def _filling(left: np.ndarray, gap: int) -> list[int] | None:
@@ -173,8 +175,10 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
             yield frame.drop(columns="rank").assign(
                 sequence_id=sequences[at] + rank - ranks[at], offset=offsets[at])
 
-    fields = [*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return ranked.select(*cut.columns, "rank").mapInPandas(put, T.StructType(fields))
+    kind = cut.schema["doc_id"].dataType
+    texts = ranked.withColumn("doc_id", F.col("doc_id").cast("string")).select(*cut.columns, "rank")
+    fields = [*texts.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    return texts.mapInPandas(put, T.StructType(fields)).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def best_fit(docs: DataFrame, path: str, size: int = SIZE, separator: int = SEPARATOR) -> DataFrame:

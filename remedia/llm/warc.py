@@ -144,7 +144,8 @@ def write_archives(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
         "same", F.sha2("html", 256))
     # Partial maxima first, so a payload that a third of all pages share is no task of its own.
     largest = rows.groupBy("same").agg(F.max("page_id").alias("first_id"))
-    chosen = rows.join(largest, "same").select("page_id", "url", "html", "first_id")
+    chosen = rows.join(largest, "same").select(  # ids as text: their digits survive pandas
+        F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("first_id").cast("string").alias("first_id"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, name, out, at = Files(root), f"pages-{uuid.uuid4().hex}.warc.gz", None, 0
@@ -159,15 +160,14 @@ def write_archives(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
                     out = files.create(name)
                 data = _gz(record(own, url, payload, first, revisit))
                 out.write(data)
-                captures.append((url_key(url), own, name, at, len(data)))
+                captures.append((url_key(url), page_id, name, at, len(data)))
                 at += len(data)
             yield pd.DataFrame(captures, columns=["key", "page_id", "file", "offset", "length"])
         if out is not None:
             out.close()
 
-    kind = rows.schema["page_id"].dataType.simpleString()
     return stored(chosen.mapInPandas(
-        write, f"key string, page_id {kind}, file string, offset long, length long"), "captures")
+        write, "key string, page_id string, file string, offset long, length long"), "captures")
 
 
 def _line(key: str, page_id, file: str, offset: int, length: int) -> tuple[str, str]:
@@ -283,8 +283,8 @@ def look_up(wanted: DataFrame, root: str, shards: list[tuple[str, str]]) -> Data
         for frame in frames:
             yield pd.DataFrame({"key": [url_key(None if pd.isna(u) else u) for u in frame["url"]], "page_id": frame["page_id"]})
 
-    rows = wanted.select(F.col("url").cast("string").alias("url"), "page_id").mapInPandas(
-        key, f"key string, page_id {kind}").distinct()
+    rows = wanted.select(F.col("url").cast("string").alias("url"), F.col("page_id").cast("string").alias("page_id")).mapInPandas(
+        key, "key string, page_id string").distinct()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(root, shards)
@@ -292,13 +292,18 @@ def look_up(wanted: DataFrame, root: str, shards: list[tuple[str, str]]) -> Data
             out = []
             for wanted_key, page_id in zip(frame["key"], frame["page_id"], strict=True):
                 own = None if pd.isna(page_id) else int(page_id)
-                out += [(own, *facts(*index.record(p))) for p in index.places(wanted_key, own)]
-            yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype(
-                {"page_id": "Int64", "refers_to": "Int64"})
+                for place in index.places(wanted_key, own):
+                    *found, refers_to = facts(*index.record(place))
+                    out.append((page_id, *found, None if refers_to is None else str(refers_to)))
+            yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     # Sorted like the index, so the requests of a task meet the same blocks one after another.
-    ordered = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return ordered.mapInPandas(read, f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
+    order = [F.col("key"), F.col("page_id").cast(kind)]
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = ordered.mapInPandas(
+        read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:

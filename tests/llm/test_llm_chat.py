@@ -1,6 +1,10 @@
 import json
 
-from remedia.llm.chat import canonical, levels, link, problems
+import random
+
+import pytest
+
+from remedia.llm.chat import DEPTH, canonical, levels, link, problems, read
 
 SCHEMAS = {"f": {"type": "object", "required": ["a"], "additionalProperties": False,
                  "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"type": "string"}}}}}
@@ -43,3 +47,48 @@ def test_link(spark):
     assert next(r for r in rows if r.call_id == "2").level == 1
     assert next(r for r in rows if r.call_id is None).n_results == 0
     assert link(calls.limit(0), results, needs, SCHEMAS).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "[" * 20_000 + "]" * 20_000, '{"a":' * 20_000 + "1" + "}" * 20_000, '{"a":1e999}', '{"a":-1e999}', '{"a":NaN}',
+    '{"a":Infinity}', '{"a":"\\ud800"}', '{"\\udfff":1}', '{"a":[{"b":"x\\udc00"}]}', '{"a":' + "9" * 5000 + "}", "", " ", "null",
+    "[]", '"x"', None, '{"a":' + "[" * DEPTH + "]" * DEPTH + "}"])
+def test_unsound_arguments_are_no_object(text):
+    assert read(text) is None
+
+
+def test_sound_arguments():
+    assert read('{"a":"\\ud83d\\ude00","b":1e300}') == {"a": "\U0001f600", "b": 1e300}
+    deep = '{"a":' + "[" * (DEPTH - 1) + "]" * (DEPTH - 1) + "}"
+    assert canonical(read(deep)) == deep
+
+
+def test_link_survives_any_text_and_clashing_columns(spark):
+    bad = ["[" * 20_000, '{"a":1e999}', '{"a":"\\ud800"}', "x" * 300_000, None, '{"a":NaN}']
+    calls = spark.createDataFrame([(str(i), "f", t, 2**53 + 1 if i else None) for i, t in enumerate(bad)], CALL + ", turn long")
+    calls = calls.selectExpr("*", "'own' AS level", "1 AS n_results", "2 AS valid", "'m' AS message", "'r' AS result", "'k' AS _first")
+    results = spark.createDataFrame([("1", 1, "y" * 300_000)], "call_id string, result_order int, content string")
+    needs = spark.createDataFrame([], "call_id string, needs string")
+    rows = {r.call_id: r for r in link(calls, results, needs, SCHEMAS).collect()}
+    assert len(rows) == 6 and not any(r.valid for r in rows.values())
+    assert all(r.level == 0 and r._first == "k" for r in rows.values())
+    assert rows["0"].turn is None and {r.turn for c, r in rows.items() if c != "0"} == {2**53 + 1}
+    for i, text in enumerate(bad):
+        assert json.loads(rows[str(i)].message)["arguments"] == text
+    assert len(rows["1"].result) == 300_000 and rows["1"].n_results == 1
+
+
+def test_levels_match_brute_force_on_random_graphs(spark):
+    rng = random.Random(5)
+    nodes = list(range(60))
+    edges = [(a, b) for a in nodes for b in rng.sample(nodes, 2) if b < a or rng.random() < 0.03] + [(i, i - 1) for i in range(50, 60)]
+    want, left = {}, set(nodes)
+    for level in range(len(nodes)):
+        ready = {n for n in left if not any(a == n and b in left for a, b in edges)}
+        if not ready:
+            break
+        want |= dict.fromkeys(ready, level)
+        left -= ready
+    calls = spark.createDataFrame([(str(n), "f", "{}") for n in nodes], CALL)
+    got = levels(calls, spark.createDataFrame([(str(a), str(b)) for a, b in edges], "call_id string, needs string"))
+    assert {int(r.call_id): r.level for r in got.collect()} == want
