@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from remedia import policy
 from remedia.catalog.base import disputes, sql_list, sql_str, table
+from remedia.catalog.monitoring import AUC_SQL, BUDGET_PART, PRED_SQL, predictions, scored_events
 from remedia.catalog.rules import ALL_ROWS_SQL, FINDINGS_SQL
-from remedia.operators import curriculum, manifest
+from remedia.operators import curriculum, manifest, metrics
+from remedia.operators.deadlines import compute_deadlines, explode_deadlines, regulation_for_issue
 from remedia.plans import triage as plan
 
 AS_OF = "2000-06-30"
@@ -67,7 +69,47 @@ def workflow_evaluation(spark, sf_dir):
 
 
 def required_stages(spark, sf_dir):
-    return plan.required_stages_met(cases(spark, sf_dir))
+    """Cases that skipped a required stage, and how many stages all cases went through."""
+    done = cases(spark, sf_dir)
+    counts = done.agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("path")).alias("steps"))
+    return plan.required_stages_met(done).withColumns({
+        "cases": counts.select("cases").scalar(), "steps": counts.select("steps").scalar()})
+
+
+def stated_deadlines(spark, sf_dir):
+    """Every computed deadline beside a stated one: 30 days from the notice, for some cases 45."""
+    df = disputes(spark, sf_dir).withColumn("regulation", regulation_for_issue(F.col("issue")))
+    rows = explode_deadlines(compute_deadlines(df, liability=None), ["complaint_id", "key", "notice_date"])
+    return rows.withColumn("stated", F.date_add("notice_date", F.when(F.col("key") % 10 == 0, 45).otherwise(30)))
+
+
+STATED_SQL = """stated AS (
+  SELECT r.name, r.due, d.notice_date + CASE WHEN d.key % 10 = 0 THEN 45 ELSE 30 END AS stated
+  FROM deadline_rows r JOIN disputes d USING (complaint_id))"""
+
+
+def deadline_exactness(spark, sf_dir):
+    """Share of computed deadlines that are the stated date, and the days of all of them, by name."""
+    rows = stated_deadlines(spark, sf_dir)
+    days = rows.groupBy("name").agg(F.sum(F.date_diff("due", F.to_date(F.lit("1990-01-01")))).alias("due_days"))
+    return metrics.exactness(rows, "due", "stated", "name").join(days, "name").select(
+        "name", "cases", "exact", F.round("exactness", 6).alias("exactness"), "due_days")
+
+
+def promotion_gates(spark, sf_dir):
+    """Gates over the deadlines, letters and models of this catalogue; two metrics are not produced."""
+    def named(name, df, column):
+        return df.select(F.lit(name).alias("name"), F.round(column, 6).alias("actual"))
+
+    letters, scored = plan.evaluation(cases(spark, sf_dir)), scored_events(spark, sf_dir)
+    produced = (
+        named("deadline_exactness", metrics.exactness(stated_deadlines(spark, sf_dir), "due", "stated"), "exactness")
+        .unionByName(named("citation_resolution", letters, "citation_resolution"))
+        .unionByName(named("issue_macro_f1", metrics.classification_summary(
+            predictions(spark, sf_dir)), "macro_f1"))
+        .unionByName(named("escalation_roc_auc", metrics.roc_auc(scored), "roc_auc"))
+        .unionByName(named("fraud_recall_at_budget", metrics.recall_at_budget(scored), "recall")))
+    return metrics.promotion_gates(produced, invented_dates=letters.select("invented_dates").scalar())
 
 
 def letter_failures(spark, sf_dir):
@@ -212,23 +254,26 @@ scored AS (
 
 
 def derived_dates(spark, sf_dir):
-    """Derived dispute dates: rows, rows outside the stated ranges, and flag rates in range."""
+    """Derived dispute dates and flags of every order."""
     rows = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("complaint_id"),
         F.col("o_orderdate").cast("date").alias("received"))
-    d = curriculum.derive_dates(rows, "complaint_id", F.col("received"))
-    gap = lambda a, b: F.datediff(F.col(a), F.col(b))
-    near = lambda c, rate: F.abs(F.avg(F.col(c).cast("double")) - rate) < 0.02
-    return d.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(~gap("received", "notice_date").between(0, 12)
-                   | ~gap("notice_date", "statement_date").isin(policy.STATEMENT_GAPS)
-                   | ~gap("statement_date", "transaction_date").between(1, 20)
-                   | ~gap("notice_date", "discovery_date").between(0, 4)).alias("out_of_range"),
-        near("point_of_sale", 0.35).alias("pos_rate_ok"),
-        near("foreign_initiated", 0.08).alias("foreign_rate_ok"),
-        near("provisional_credit_given", 0.55).alias("credit_rate_ok"),
-        F.countDistinct(gap("notice_date", "statement_date")).alias("gaps"))
+    return curriculum.derive_dates(rows, "complaint_id", F.col("received")).drop("dates_derived")
+
+
+def _draw(salt: str, n: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5('{salt}:' || complaint_id), 1, 8) AS BIGINT) % {n} AS INT)"
+
+
+DERIVED_SQL = f"""
+WITH o AS (SELECT 'C' || o_orderkey AS complaint_id, CAST(o_orderdate AS DATE) AS received FROM orders),
+n AS (SELECT *, received - {_draw('notice', 13)} AS notice_date FROM o),
+s AS (SELECT *, notice_date - {sql_list(policy.STATEMENT_GAPS)}[{_draw('statement', len(policy.STATEMENT_GAPS))} + 1]::INT
+        AS statement_date FROM n)
+SELECT *, statement_date - ({_draw('transaction', 20)} + 1) AS transaction_date,
+  notice_date - {_draw('discovery', 5)} AS discovery_date, {_draw('pos', 10_000)} < 3500 AS point_of_sale,
+  {_draw('foreign', 10_000)} < 800 AS foreign_initiated, {_draw('credit', 10_000)} < 5500 AS provisional_credit_given
+FROM s"""
 
 
 def dataset_manifest(spark, sf_dir):
@@ -292,8 +337,29 @@ QUERIES = {
           round(avg(passed::INT), 6) AS verification_pass_rate,
           round(avg((passed AND attempts = 1)::INT), 6) AS passed_on_first_attempt,
           round(avg(attempts), 6) AS mean_draft_attempts FROM final"""),
-    "required_stages": (required_stages, """
-        SELECT count(*) FILTER (o_orderkey IS NULL) AS violations FROM orders"""),
+    "required_stages": (required_stages, VERIFIED_SQL + """
+        SELECT count(*) FILTER (passed IS NULL OR regulation IS NULL) AS violations,
+          (SELECT count(*) FROM disputes) AS cases, CAST(sum(7 + 2 * attempts)
+            + 3 * (SELECT count(*) FROM disputes WHERE key % 31 = 0) AS BIGINT) AS steps FROM final"""),
+    "deadline_exactness": (deadline_exactness, ALL_ROWS_SQL + f""", {STATED_SQL}
+        SELECT name, count(*) AS cases, count(*) FILTER (due = stated) AS exact,
+          round(avg((due = stated)::INT), 6) AS exactness,
+          CAST(sum(due - DATE '1990-01-01') AS BIGINT) AS due_days FROM stated GROUP BY 1"""),
+    "promotion_gates": (promotion_gates, VERIFIED_SQL + f""", {STATED_SQL}, {PRED_SQL}, {AUC_SQL}, {BUDGET_PART},
+        m(name, actual) AS (
+          SELECT 'deadline_exactness', round(avg((due = stated)::INT), 6) FROM stated
+          UNION ALL SELECT 'citation_resolution', round(1 - sum(len(lost)) / sum(len(cited)), 6) FROM final
+          UNION ALL SELECT 'issue_macro_f1', round(avg(f1), 6) FROM rep
+          UNION ALL SELECT 'escalation_roc_auc', round(roc_auc, 6) FROM auc
+          UNION ALL SELECT 'fraud_recall_at_budget', round(caught / positives, 6) FROM bud),
+        g(gate, minimum) AS (VALUES {', '.join(
+            f"('{g}', {m}::DOUBLE)" for g, m in policy.GATES)})
+        SELECT gate, minimum, actual, CASE WHEN actual IS NULL THEN 'skipped'
+          WHEN actual >= minimum THEN 'pass' ELSE 'FAIL' END AS status
+        FROM g LEFT JOIN m ON name = gate
+        UNION ALL
+        SELECT 'no_invented_dates', 0, n, 'FAIL'
+        FROM (SELECT sum(len(invented))::DOUBLE AS n FROM final) WHERE n > 0"""),
     "letter_failures": (letter_failures, VERIFIED_SQL + """
         SELECT complaint_id, CAST(len(lost) AS INT) AS unresolved FROM final WHERE NOT passed
         ORDER BY complaint_id LIMIT 5"""),
@@ -306,9 +372,7 @@ QUERIES = {
           md5(txt) AS answer_md5, issue, strftime(notice_date, '%Y-%m-%d') AS notice_date,
           regulation, round(round(difficulty, 4), 4) AS difficulty
         FROM scored WHERE len(problems) = 0"""),
-    "derived_dates": (derived_dates, """
-        SELECT count(*) AS rows, 0::BIGINT AS out_of_range, TRUE AS pos_rate_ok,
-          TRUE AS foreign_rate_ok, TRUE AS credit_rate_ok, 7::BIGINT AS gaps FROM orders"""),
+    "derived_dates": (derived_dates, DERIVED_SQL),
     "dataset_manifest": (dataset_manifest, """
         SELECT 'orders' AS name, count(*) AS rows, round(sum(o_orderkey)::DOUBLE, 2) AS key_sum,
           round(sum(o_totalprice), 2) AS value_sum FROM orders

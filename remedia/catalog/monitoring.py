@@ -365,42 +365,6 @@ def large_institution_share(spark, sf_dir):
         F.round("share", 6).alias("share"))
 
 
-def deadline_exactness(spark, sf_dir):
-    """Stated limits against the rule constants, per rule."""
-    rules = list(policy.RULE_CONSTANTS)
-    k = F.col("o_orderkey")
-    i = (k % len(rules) + 1).cast("int")
-    constants = F.create_map(*[F.lit(x) for kv in policy.RULE_CONSTANTS.items() for x in kv])
-    df = table(spark, sf_dir, "orders").select(
-        F.element_at(F.array(*[F.lit(r) for r in rules]), i).alias("rule"),
-        F.when(k % 10 == 0, 7).otherwise(F.try_element_at(
-            constants, F.element_at(F.array(*[F.lit(r) for r in rules]), i))).alias("expected"))
-    df = df.withColumn("actual", F.try_element_at(constants, F.col("rule")))
-    return metrics.exactness(df, "actual", "expected", "rule").select(
-        "rule", "cases", "exact", F.round("exactness", 6).alias("exactness"))
-
-
-def promotion_gates(spark, sf_dir):
-    """Gates over metrics of this catalogue; the outcome metric is not produced."""
-    def named(name, df, column):
-        return df.select(F.lit(name).alias("name"), F.round(column, 6).alias("actual"))
-
-    orders = metrics.share_where(
-        table(spark, sf_dir, "orders"), F.col("o_totalprice") > 0, "actual")
-    long_docs = metrics.share_where(
-        table(spark, sf_dir, "documents"), F.col("n_chars") > 200, "actual")
-    scored = scored_events(spark, sf_dir)
-    produced = (
-        named("deadline_exactness", orders, "actual")
-        .unionByName(named("citation_resolution", long_docs, "actual"))
-        .unionByName(named("issue_macro_f1", metrics.classification_summary(
-            predictions(spark, sf_dir)), "macro_f1"))
-        .unionByName(named("escalation_roc_auc", metrics.roc_auc(scored), "roc_auc"))
-        .unionByName(named("fraud_recall_at_budget", metrics.recall_at_budget(scored), "recall")))
-    invented = table(spark, sf_dir, "labels").agg(F.count_if(F.col("toxic") == 1)).scalar()
-    return metrics.promotion_gates(produced, invented_dates=invented)
-
-
 # --- difficulty -------------------------------------------------------------------
 
 PARTS = ["length", "noise"]
@@ -564,30 +528,6 @@ QUERIES = {
           AS eta_squared FROM g, t"""),
     "large_institution_share": (large_institution_share, """
         SELECT round(avg((c_acctbal > 5000)::INT), 6) AS share FROM customer"""),
-    "deadline_exactness": (deadline_exactness, f"""
-        WITH r(i, rule, c) AS (VALUES {', '.join(
-            f"({i}, '{r}', {c})" for i, (r, c) in enumerate(policy.RULE_CONSTANTS.items()))})
-        SELECT rule, count(*) AS cases,
-          count(*) FILTER (CASE WHEN o_orderkey % 10 = 0 THEN 7 ELSE c END = c) AS exact,
-          round(avg((CASE WHEN o_orderkey % 10 = 0 THEN 7 ELSE c END = c)::INT), 6) AS exactness
-        FROM orders JOIN r ON i = o_orderkey % {len(policy.RULE_CONSTANTS)} GROUP BY 1"""),
-    "promotion_gates": (promotion_gates, f"""
-        WITH {PRED_SQL}, {AUC_SQL}, {BUDGET_PART},
-        m(name, actual) AS (
-          SELECT 'deadline_exactness', round(avg((o_totalprice > 0)::INT), 6) FROM orders
-          UNION ALL SELECT 'citation_resolution', round(avg((n_chars > 200)::INT), 6)
-            FROM documents
-          UNION ALL SELECT 'issue_macro_f1', round(avg(f1), 6) FROM rep
-          UNION ALL SELECT 'escalation_roc_auc', round(roc_auc, 6) FROM auc
-          UNION ALL SELECT 'fraud_recall_at_budget', round(caught / positives, 6) FROM bud),
-        g(gate, minimum) AS (VALUES {', '.join(
-            f"('{g}', {m}::DOUBLE)" for g, m in policy.GATES)})
-        SELECT gate, minimum, actual, CASE WHEN actual IS NULL THEN 'skipped'
-          WHEN actual >= minimum THEN 'pass' ELSE 'FAIL' END AS status
-        FROM g LEFT JOIN m ON name = gate
-        UNION ALL
-        SELECT 'no_invented_dates', 0, n, 'FAIL'
-        FROM (SELECT count(*)::DOUBLE AS n FROM labels WHERE toxic = 1) WHERE n > 0"""),
     "difficulty_summary": (difficulty_summary, f"""
         WITH {GRADED_SQL},
         r AS (SELECT difficulty, row_number() OVER (ORDER BY difficulty) - 1 AS r,

@@ -61,7 +61,8 @@ def derive_dates(df: DataFrame, id_column: str, received: Column) -> DataFrame:
     flags with fixed rates. The same id always gives the same dates.
     """
     def draw(salt: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(id_column), F.lit(salt)), F.lit(n)).cast("int")
+        digest = F.md5(F.concat(F.lit(f"{salt}:"), F.col(id_column).cast("string")))
+        return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n).cast("int")
 
     def chance(salt: str, rate: float) -> Column:
         return draw(salt, 10_000) < int(rate * 10_000)
