@@ -53,6 +53,47 @@ SELECT day, signal, round(psi, 6) AS psi, CASE WHEN psi < 0.10 THEN 'stable'
   WHEN psi < 0.25 THEN 'investigate' ELSE 'alert' END AS status FROM v"""
 
 
+def streaming_daily_numeric_psi(spark, sf_dir):
+    """Numeric drift of each closed day of events against the stored edges of the first week."""
+    out = scratch_path(spark, "daily-numeric")
+    names = ["value", "user_id"]
+    base = feeds.store_numeric_baseline(
+        table(spark, sf_dir, "events").where("ts < TIMESTAMP '2024-01-08'"), names, f"{out}/baseline")
+    feeds.start_daily_numeric_psi(
+        _feed(spark, sf_dir, "events"), base, "ts", names, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(
+        F.col("window_start").cast("date").alias("day"), "signal", "rows", F.round("psi", 6).alias("psi"),
+        "status", F.round("baseline_mean", 6).alias("baseline_mean"),
+        F.round("current_mean", 6).alias("current_mean"))
+
+
+DAILY_NUMERIC_SQL = """
+WITH long AS (
+  SELECT ts, 'value' AS signal, value AS v FROM events WHERE value IS NOT NULL
+  UNION ALL SELECT ts, 'user_id', CAST(user_id AS DOUBLE) FROM events WHERE user_id IS NOT NULL),
+base AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY v) - 1 AS r,
+         count(*) OVER (PARTITION BY signal) AS n FROM long WHERE ts < TIMESTAMP '2024-01-08'),
+edges AS (SELECT signal, v AS edge FROM base, range(1, 10) t(i) WHERE r = (n * i) // 10),
+binned AS (SELECT l.*, (SELECT count(*) FROM edges e WHERE e.signal = l.signal AND e.edge < l.v) AS bin
+           FROM long l),
+b AS (SELECT signal, bin, count(*) AS bn FROM binned WHERE ts < TIMESTAMP '2024-01-08' GROUP BY ALL),
+bm AS (SELECT signal, avg(v) AS baseline_mean FROM base GROUP BY 1),
+days AS (SELECT CAST(ts AS DATE) AS day, signal, bin, count(*) AS cn, sum(v) AS total FROM binned
+         WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY ALL),
+m AS (SELECT day, signal, CAST(sum(cn) AS BIGINT) AS n, sum(total) / sum(cn) AS mean FROM days GROUP BY 1, 2),
+grid AS (SELECT day, m.signal, bin, bn FROM m JOIN b USING (signal)),
+j AS (SELECT coalesce(g.day, d.day) AS day, coalesce(g.signal, d.signal) AS signal,
+        coalesce(bn, 0) AS bn, coalesce(cn, 0) AS cn
+      FROM grid g FULL JOIN days d ON g.day = d.day AND g.signal = d.signal AND g.bin = d.bin),
+s AS (SELECT *, greatest(bn / sum(bn) OVER p, 1e-6) AS b, greatest(cn / sum(cn) OVER p, 1e-6) AS c
+      FROM j WINDOW p AS (PARTITION BY day, signal)),
+v AS (SELECT day, signal, sum((c - b) * ln(c / b)) AS psi FROM s GROUP BY 1, 2)
+SELECT day, signal, n AS "rows", round(psi, 6) AS psi, CASE WHEN psi < 0.10 THEN 'stable'
+  WHEN psi < 0.25 THEN 'investigate' ELSE 'alert' END AS status,
+  round(baseline_mean, 6) AS baseline_mean, round(mean, 6) AS current_mean
+FROM v JOIN m USING (day, signal) JOIN bm USING (signal)"""
+
+
 def streaming_triage(spark, sf_dir):
     """Orders as a feed of disputes through the case chain; status counts at the end."""
     out = scratch_path(spark, "triage")
@@ -221,6 +262,7 @@ def case_sections(spark, sf_dir):
 
 QUERIES = {
     "streaming_daily_psi": (streaming_daily_psi, DAILY_SQL),
+    "streaming_daily_numeric_psi": (streaming_daily_numeric_psi, DAILY_NUMERIC_SQL),
     "streaming_triage": (streaming_triage, VERIFIED_SQL + """
         SELECT 'succeeded' AS state, queue, CAST(count(*) AS BIGINT) AS cases
         FROM (SELECT queue FROM final UNION ALL SELECT 'manual_review' FROM disputes

@@ -96,11 +96,11 @@ def new_categories(freq: DataFrame, k: int | None = 5) -> DataFrame:
     return fresh if k is None else _leading(fresh, k, F.col("category"))
 
 
-def _long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _long_numbers(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     pairs = F.array(*[
         F.struct(F.lit(n).alias("signal"), F.col(n).cast("double").alias("value"))
         for n in columns])
-    return df.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL")
+    return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.*").where("value IS NOT NULL")
 
 
 def baseline_edges(baseline: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
@@ -117,6 +117,15 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e < value))
 
 
+def binned(df: DataFrame, columns: Sequence[str], edges: DataFrame, *keep: str) -> DataFrame:
+    """``keep, signal, value, bin`` of every value; a column without edges has the one bin 0.
+
+    ``edges`` has one row per monitored column.
+    """
+    return _long_numbers(df, columns, *keep).join(F.broadcast(edges), "signal", "left").select(
+        *keep, "signal", "value", F.coalesce(bin_of(F.col("value"), F.col("edges")), F.lit(0)).alias("bin"))
+
+
 def numeric_frequencies(
     baseline: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10,
 ) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from remedia import policy
 from remedia.operators import drift, shadow
+from remedia.session import stored
 
 ATTEMPTS = 3  # fixed: a case is tried three times
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -50,24 +52,36 @@ def daily_frequencies(
 def window_psi(counts: DataFrame, baseline: DataFrame) -> DataFrame:
     """Index of every window against a fixed baseline (``signal, category, baseline_n``).
 
-    A window is compared over its own categories and the baseline's.
+    A window is compared over its own categories and the baseline's. A baseline category
+    that a window lacks has the same term in every window: these terms are summed once a
+    signal, and a window's own categories replace theirs. So nothing is joined on the
+    signal alone, and no grid of windows and categories is built.
     """
-    windows = counts.select("window_start", "signal").distinct()
-    grid = windows.join(baseline, "signal")
-    both = grid.join(counts, ["window_start", "signal", "category"], "full_outer").fillna(
-        0, ["baseline_n", "current_n"])
-    keyed = both.withColumn("_key", F.struct("window_start", "signal"))
-    freq = keyed.select(F.col("_key").alias("signal"), "category", "baseline_n", "current_n")
-    found = drift.psi(drift.contributions(freq))
-    return found.select(
-        F.col("signal.window_start").alias("window_start"),
-        F.col("signal.signal").alias("signal"), "psi", "status")
+    shares = baseline.groupBy("signal").agg(F.greatest(F.sum("baseline_n"), F.lit(1)).alias("_all"))
+    floor = F.lit(policy.PSI_FLOOR)
+    b = F.greatest(F.col("baseline_n") / F.col("_all"), floor)
+    known = baseline.join(shares, "signal").select(
+        "signal", "category", b.alias("_b"), ((floor - b) * F.ln(floor / b)).alias("_absent"))
+    rest = known.groupBy("signal").agg(F.sum("_absent").alias("_rest"))
+    key = ["window_start", "signal"]
+    totals = counts.groupBy(*key).agg(F.greatest(F.sum("current_n"), F.lit(1)).alias("_all"))
+    c = F.greatest(F.col("current_n") / F.col("_all"), floor)
+    base = F.coalesce("_b", floor)
+    seen = counts.join(totals, key).join(known, ["signal", "category"], "left").select(
+        *key, ((c - base) * F.ln(c / base) - F.coalesce("_absent", F.lit(0.0))).alias("_term"))
+    found = seen.groupBy(*key).agg(F.sum("_term").alias("_own")).join(rest, "signal", "left")
+    return found.withColumn("psi", F.col("_own") + F.coalesce("_rest", F.lit(0.0))).select(
+        *key, "psi", drift.status(F.col("psi")).alias("status"))
 
 
 def _idempotent(path: str, build: Callable[[DataFrame], DataFrame]):
     """Write each micro-batch to its own folder: a batch that is replayed replaces itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch = batch.persist()
+        try:
+            build(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
     return write
 
 
@@ -85,6 +99,64 @@ def start_daily_psi(
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def store_numeric_baseline(rows: DataFrame, columns: Sequence[str], path: str, bins: int = 10) -> DataFrame:
+    """Write the fixed side of numeric drift: ``signal, edges, n, total``, one row a column.
+
+    ``n`` counts the baseline in each of the ``len(edges) + 1`` bins and ``total`` sums its
+    values, so baselines over the same edges merge by addition. A column without a value
+    has no row. A feed reads this table alone, however large the baseline was.
+    """
+    edges = stored(drift.baseline_edges(rows, columns, bins), "edges")
+    counted = drift.binned(rows, columns, edges).groupBy("signal", "bin").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("value").alias("v")).groupBy("signal").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("by_bin"),
+        F.sum("v").alias("total"))
+    slots = F.transform(F.sequence(F.lit(0), F.size("edges")),
+                        lambda i: F.coalesce(F.element_at("by_bin", i), F.lit(0)).cast("long"))
+    edges.join(counted, "signal").select("signal", "edges", slots.alias("n"), "total").write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def daily_bins(feed: DataFrame, time: str, baseline: DataFrame, columns: Sequence[str],
+               late: str = "2 days", window: str = "1 day") -> DataFrame:
+    """Rows and sum of values per closed window, column and bin of the stored edges.
+
+    NULL values count nowhere. The table of edges has one row a monitored column and is
+    broadcast; state is two numbers per window, column and bin, freed by the watermark.
+    """
+    marked = feed.withWatermark(time, late)
+    return (
+        drift.binned(marked, columns, baseline.select("signal", "edges"), time)
+        .groupBy(F.window(time, window).alias("w"), "signal", "bin")
+        .agg(F.count(F.lit(1)).alias("current_n"), F.sum("value").alias("total"))
+        .select(F.col("w.start").alias("window_start"), "signal",
+                F.col("bin").cast("string").alias("category"), "current_n", "total"))
+
+
+def window_numeric_psi(counts: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Index and means of every window against a stored numeric baseline."""
+    bins = baseline.select("signal", F.posexplode("n").alias("bin", "baseline_n")).where(
+        "baseline_n > 0").select("signal", F.col("bin").cast("string").alias("category"), "baseline_n")
+    key = ["window_start", "signal"]
+    now = counts.groupBy(*key).agg(
+        F.sum("current_n").alias("rows"), (F.sum("total") / F.sum("current_n")).alias("current_mean"))
+    size = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    old = baseline.select("signal", (F.col("total") / size).alias("baseline_mean"))
+    return window_psi(counts.drop("total"), bins).join(now, key).join(old, "signal").select(
+        *key, "rows", "psi", "status", "baseline_mean", "current_mean")
+
+
+def start_daily_numeric_psi(
+    feed: DataFrame, baseline: DataFrame, time: str, columns: Sequence[str], path: str,
+    checkpoint: str, late: str = "2 days",
+) -> StreamingQuery:
+    """Numeric drift of each closed day against a table of ``store_numeric_baseline``."""
+    return (
+        daily_bins(feed, time, baseline, list(columns), late).writeStream.outputMode("append")
+        .foreachBatch(_idempotent(path, lambda batch: window_numeric_psi(batch, baseline)))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def start_triage(
     feed: DataFrame, plan: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
 ) -> StreamingQuery:

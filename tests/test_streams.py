@@ -62,3 +62,42 @@ def test_labels_after_their_events(spark, tmp_path):
     assert got and all(n == 24 for n, _ in got.values())
     for d, (_, labelled) in got.items():  # labels of odd ids come 30 hours after their event: too late
         assert labelled == sum(1 for i in range(24 * (d - 1), 24 * d) if i % 6 == 0)
+
+
+def test_numeric_drift_of_closed_days(spark, tmp_path):
+    """Days beside the index worked out bin by bin; NULLs, a constant and an empty column."""
+    import math
+    from bisect import bisect_left
+
+    base = [(dt.datetime(2024, 1, 1, i % 24), float(i % 50), 7.0, None) for i in range(200)]
+    base.append((dt.datetime(2024, 1, 1), None, None, None))
+    days = {2: [float(i % 50) for i in range(80)], 3: [40.0 + i % 5 for i in range(60)]}
+    feed_rows = [(dt.datetime(2024, 1, d, 3), v, 7.0, None) for d, vs in days.items() for v in vs]
+    feed_rows += [(dt.datetime(2024, 1, 2, 4), None, None, None), (dt.datetime(2024, 1, 9), 1.0, 7.0, None)]
+    schema = "ts timestamp, a double, b double, c double"
+    spark.createDataFrame(feed_rows, schema).coalesce(1).write.parquet(str(tmp_path / "feed"))
+    names = ["a", "b", "c"]
+    fixed = feeds.store_numeric_baseline(spark.createDataFrame(base, schema), names, str(tmp_path / "base"))
+    row = {r["signal"]: r for r in fixed.collect()}
+    assert set(row) == {"a", "b"} and sum(row["a"]["n"]) == 200 and row["b"]["n"][0] == 200
+
+    out = str(tmp_path / "out")
+    feeds.start_daily_numeric_psi(
+        feeds.file_feed(spark, str(tmp_path / "feed"), schema), fixed, "ts", names, out,
+        str(tmp_path / "ck")).awaitTermination()
+    got = {(r["window_start"].day, r["signal"]): r for r in spark.read.parquet(out).collect()}
+    assert set(got) == {(d, s) for d in days for s in "ab"}
+    edges = sorted(row["a"]["edges"])
+    for day, values in days.items():
+        bins = [bisect_left(edges, v) for v in values]
+        want = 0.0
+        for k, n in enumerate(row["a"]["n"]):
+            here = bins.count(k)
+            if n or here:
+                b, c = max(n / 200, 1e-6), max(here / len(values), 1e-6)
+                want += (c - b) * math.log(c / b)
+        assert got[day, "a"]["psi"] == pytest.approx(want, abs=1e-9)
+        assert got[day, "a"]["rows"] == len(values)
+        assert got[day, "a"]["current_mean"] == pytest.approx(sum(values) / len(values))
+        assert got[day, "b"]["psi"] == pytest.approx(0.0, abs=1e-12)
+    assert got[2, "a"]["status"] == "stable" and got[3, "a"]["status"] == "alert"
