@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from remedia import policy
-from remedia.catalog.base import table
+from remedia.catalog.base import disputes, table
 from remedia.catalog.cases import AS_OF, VALID_SECTIONS, VERIFIED_SQL, claims
 from remedia.catalog.search import corpus, questions
-from remedia.operators import layers, models, retrieval, shadow
+from remedia.operators import layers, metrics, models, retrieval, shadow, trials
 from remedia.plans import triage as plan
-from remedia.session import scratch_path
+from remedia.session import scratch_path, stored
 from remedia.streaming import feeds
 
 
@@ -228,6 +228,50 @@ def fraud_search(spark, sf_dir):
     return trials.select("trial", "score", "improved")
 
 
+def issue_search(spark, sf_dir):
+    """Text trials over the whole search space, halved on the validation fold; every trial's end."""
+    _, table_ = trials.search(document_folds(spark, sf_dir), "text", "lang", "split", models.TEXT_SPACE, 6, 23)
+    return table_.select("trial", F.round("score", 6).alias("score"), "rung", "passes", "chosen")
+
+
+def complaint_cases(spark, sf_dir):
+    """Documents as narratives of disputes; the label of a document says whether it was escalated."""
+    docs = table(spark, sf_dir, "documents").withColumns({
+        "o_orderkey": F.col("doc_id"), "o_totalprice": F.col("n_chars").cast("double"),
+        "o_orderdate": F.date_add(F.to_date(F.lit("1996-01-01")), F.pmod("doc_id", F.lit(900)).cast("int")),
+        "o_orderpriority": F.col("source"), "o_orderstatus": F.col("lang")})
+    facts = disputes(spark, sf_dir, docs.where("doc_id IS NOT NULL")).drop("consumer_disputed")
+    told = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("narrative"))
+    known = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("key")).agg(
+        (F.max("toxic") == 1).alias("consumer_disputed"))
+    return facts.join(told, "key").join(known, "key", "left").withColumns({
+        "label_outcome": F.col("company_response"), "timely_response": F.col("key") % 4 != 0,
+        "company_size": F.col("priority_class")})
+
+
+def escalation_scores(spark, sf_dir):
+    """Each case with the probability of escalation from the model that left its fold out."""
+    told = models.escalation_text(complaint_cases(spark, sf_dir))
+    return trials.out_of_fold(told, "features_text", "consumer_disputed", "true", ["key"],
+                              models.TextParams(C=4.0, min_df=2, max_features=4000, balanced=True))
+
+
+def escalation_auc(spark, sf_dir):
+    """How well scores out of their fold order the labelled cases."""
+    scored = stored(escalation_scores(spark, sf_dir), "escalation")
+    known = scored.where("label IS NOT NULL").select((F.col("label") == "true").cast("int").alias("label"), "score")
+    return metrics.roc_auc(known).select("positives", "negatives", F.round("roc_auc", 6).alias("roc_auc"))
+
+
+def escalation_triage(spark, sf_dir):
+    """The case chain with priorities from the fitted model: cases by priority, queue and label."""
+    scored = escalation_scores(spark, sf_dir).select("key", F.col("score").alias("escalation_probability"))
+    valid = F.array(*[F.lit(x) for x in VALID_SECTIONS])
+    done = plan.triage(complaint_cases(spark, sf_dir).join(scored, "key"), F.to_date(F.lit(AS_OF)),
+                       valid_sections=valid)
+    return done.groupBy("priority", "queue", "consumer_disputed").agg(F.count(F.lit(1)).alias("cases"))
+
+
 def outcome_temporal_penalty(spark, sf_dir):
     """Balanced accuracy under a split by id and under a shuffled split."""
     return models.temporal_penalty(
@@ -270,6 +314,9 @@ QUERIES = {
     "streaming_shadow": (streaming_shadow, SHADOW_SQL),
     "streaming_retries": (streaming_retries, RETRIES_SQL),
     "issue_classifier_metrics": (issue_classifier_metrics, None),
+    "issue_search": (issue_search, None),
+    "escalation_auc": (escalation_auc, None),
+    "escalation_triage": (escalation_triage, None),
     "outcome_temporal_penalty": (outcome_temporal_penalty, None),
     "fraud_model_metrics": (fraud_model_metrics, None),
     "fraud_coefficients": (fraud_coefficients, None),
