@@ -6,68 +6,121 @@ one run of the next level, so a corpus of n batches keeps O(fanout * log n) runs
 and rewrites each hash O(log n) times. A batch is judged by a merge anti-join of
 its lines against the runs.
 
+A whole table goes the same way: its texts are read once and cut into batches of line
+hashes; each batch adds its run and is merge-anti-joined with the lines that some run
+alone knows as frequent (these are stored apart in each run, so no run is read whole for
+it). What is left of all batches is anti-joined once more, with the sums over all runs,
+for lines that became frequent later or only across runs.
+
+Hot lines: the ``HEAVIEST`` lines by documents are dropped by a broadcast of so many hashes;
+any other line has at most one in ``HEAVIEST`` of all (document, line) rows.
+
 Defined results: a NULL or empty text is one empty line, which is never dropped;
 a NULL or repeated ``doc_id`` is a document of its own, rows that repeat count as
-several documents; an empty table gives an empty result; other columns are not
-read by the operator.
+several documents; a text of any length is one row a different line; a line found in
+exactly ``min_docs`` documents goes; an empty table gives an empty result; other
+columns are not read by the operator.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from remedia.llm.common import SPACE, add_columns, ascii_lower, row_hash, stored, text_of
+from remedia.llm.common import SPACE, add_columns, row_hash, stored, text_of
+from remedia.session import scratch_path
 
 FANOUT = 2
-BATCHES = 4
-SALTS = 16
+BATCH_BYTES = 128 * 1024 * 1024
+MOST_BATCHES = 64   # a larger table has larger batches
+HEAVIEST = 4096
 HASH = ["h1", "h2"]
 RUN = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
                     T.StructField("docs", T.LongType())])
-
-
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACE)))
-
-
-def _keys(docs: DataFrame) -> DataFrame:
-    """The text's rows with ``keys``: the key of every line, in order."""
-    lines = F.split(text_of(), "\n", -1)
-    return docs.withColumn("keys", F.transform(lines, line_key))
-
-
-def _hashed(df: DataFrame, key: str) -> DataFrame:
-    """128 bits of a line's key."""
-    return df.withColumn("h1", F.xxhash64(key)).withColumn("h2", F.xxhash64(F.lit(1), key)).drop(key)
+LINES = T.StructType([T.StructField(c, T.LongType()) for c in ("_k0", "_k1", *HASH)]).add(
+    "places", T.ArrayType(T.IntegerType())).add("batch", T.IntegerType())
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document and different line: 128 bits of its key, and its places."""
+    for rows in batches:
+        owner, digests, places, ends = [], [], [], [0]
+        for i, text in enumerate(rows.column("_text").to_pylist()):
+            found: dict[bytes, list[int]] = {}
+            for at, line in enumerate(text.split("\n")):
+                key = line.strip(SPACE)
+                if key:
+                    found.setdefault(key.encode("utf-8").lower(), []).append(at)
+            for key, at in found.items():
+                owner.append(i)
+                digests.append(xxhash.xxh3_128_digest(key))
+                places += at
+                ends.append(len(places))
+        mine = pa.array(owner, pa.int64())
+        halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("_k0").take(mine), rows.column("_k1").take(mine), pa.array(halves[:, 0].copy()),
+             pa.array(halves[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32())),
+             rows.column("batch").take(mine)], names=LINES.names)
+
+
+def hashed_lines(docs: DataFrame, batches: int = 1) -> DataFrame:
+    """``_k0, _k1`` (a document's key), ``h1, h2, places, batch``; blank lines have no row."""
+    return docs.select(
+        F.coalesce("doc_id", F.lit(0)).alias("_k0"), row_hash("doc_id", "text").alias("_k1"),
+        text_of().alias("_text"),
+        F.pmod(row_hash("doc_id", "text"), F.lit(batches)).cast("int").alias("batch")).mapInArrow(_split, LINES)
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """Number of documents per line hash; hot lines are summed in the tasks first."""
+    return lines.groupBy(*HASH).agg(F.count(F.lit(1)).alias("docs"))
+
+
+def _without(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """Merge anti-join with ``keys`` (h1, h2, docs); the heaviest ones go before the shuffle."""
+    heaviest = keys.orderBy(F.desc("docs"), *HASH).limit(HEAVIEST).select(*HASH)
+    return lines.join(F.broadcast(heaviest), HASH, "left_anti").join(
+        keys.select(*HASH).hint("merge"), HASH, "left_anti")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for one in tables[1:]:
+        every = every.unionByName(one)
+    return every
 
 
 class LineRuns:
-    """The runs of a corpus, by level."""
+    """The runs of a corpus, by level. Rows of ``min_docs`` and more lie apart in each run."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, min_docs: int = 2):
         if fanout < 2:
             raise ValueError("a level is merged from two runs at least")
-        self.spark, self.fanout = spark, fanout
+        self.spark, self.fanout, self.min_docs = spark, fanout, min_docs
         self.levels: list[list[DataFrame]] = []
 
     def _write(self, counts: DataFrame, level: int) -> None:
-        ordered = counts.select(*HASH, "docs").sortWithinPartitions(*HASH)
+        ordered = counts.select(*HASH, "docs", (F.col("docs") >= self.min_docs).alias("often"))
+        path = scratch_path(self.spark, f"line-run-{level}")
+        ordered.sortWithinPartitions("often", *HASH).write.partitionBy("often").parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(stored(ordered, f"line-run-{level}"))
+        self.levels[level].append(self.spark.read.schema(ordered.schema).parquet(path))
         if len(self.levels[level]) == self.fanout:
             merged = self._merged(self.levels[level])
             self.levels[level] = []
             self._write(merged, level + 1)
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        return every.groupBy(*HASH).agg(F.sum("docs").alias("docs"))
+        return _union(runs).groupBy(*HASH).agg(F.sum("docs").alias("docs"))
 
     def add(self, counts: DataFrame) -> None:
         """A run of (h1, h2, docs), one row per hash."""
@@ -77,73 +130,68 @@ class LineRuns:
         runs = [run for level in self.levels for run in level]
         return self._merged(runs) if runs else self.spark.createDataFrame([], RUN)
 
-    def frequent(self, min_docs: int) -> DataFrame:
-        return self.counts().where(F.col("docs") >= min_docs).select(*HASH)
-
-
-def line_counts(docs: DataFrame, *by: str) -> DataFrame:
-    """Number of documents per line hash (and per ``by``); hot lines are summed in the tasks first."""
-    rows = _keys(docs.select("text", *by)).select(
-        *by, F.explode_outer(F.array_distinct("keys")).alias("key")).where(F.col("key") != "")
-    return _hashed(rows, "key").groupBy(*by, *HASH).agg(F.count(F.lit(1)).alias("docs"))
+    def known(self) -> DataFrame:
+        """The lines that a run alone shows to be in ``min_docs`` documents; one may come from several runs."""
+        runs = [run.where("often").select(*RUN.names) for level in self.levels for run in level]
+        return _union(runs) if runs else self.spark.createDataFrame([], RUN)
 
-
-def add_corpus(docs: DataFrame, runs: LineRuns, batches: int = BATCHES) -> LineRuns:
-    """Feed a table to the runs in ``batches`` batches, its texts read once."""
-    cut = docs.select(
-        F.col("text"), F.pmod(row_hash("doc_id", "text"), F.lit(batches)).cast("int").alias("batch"))
-    counted = stored(line_counts(cut, "batch"), "line-batches")
-    for batch in range(batches):
-        runs.add(counted.where(F.col("batch") == batch))
-    return runs
+    def frequent(self, min_docs: int) -> DataFrame:
+        return self.counts().where(F.col("docs") >= min_docs)
 
 
-def _rebuild(docs: list, blanks: list, keeps: list) -> tuple[list, list, list]:
+def _rebuild(docs: list, keeps: list) -> tuple[list, list, list]:
     texts, n_lines, n_dropped = [], [], []
-    for text, blank, kept in zip(docs, blanks, keeps, strict=True):
+    for text, kept in zip(docs, keeps, strict=True):
         lines = text.split("\n")
-        stay = {*(blank or ()), *(kept or ())}
-        texts.append("\n".join(x for i, x in enumerate(lines) if i in stay))
+        stay = {i for places in kept or () for i in places}
+        left = [x for i, x in enumerate(lines) if i in stay or not x.strip(SPACE)]
+        texts.append("\n".join(left))
         n_lines.append(len(lines))
-        n_dropped.append(len(lines) - len(stay))
+        n_dropped.append(len(lines) - len(left))
     return texts, n_lines, n_dropped
 
 
-def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int, *keep: str) -> DataFrame:
-    """The documents without the lines that ``runs`` has seen in ``min_docs`` documents.
-
-    Columns: doc_id, ``keep``, _kept_text, _n_lines, _n_dropped. Only hashes and
-    positions are shuffled by line; a text is shuffled once, to its positions.
-    """
+def _apply(docs: DataFrame, kept: DataFrame, *keep: str) -> DataFrame:
+    """The documents with their ``kept`` lines and blank ones; a text is shuffled once, to its places."""
     carried = [F.col(f"`{c}`") for c in ("doc_id", *keep)]
     rows = docs.select(*carried, text_of().alias("_text"), F.coalesce("doc_id", F.lit(0)).alias("_k0"),
                        row_hash("doc_id", "text").alias("_k1"))
-    lines = _keys(docs.select("text", F.coalesce("doc_id", F.lit(0)).alias("_k0"),
-                              row_hash("doc_id", "text").alias("_k1"))).select(
-        "_k0", "_k1", F.posexplode_outer("keys").alias("pos", "key")).where(F.col("key") != "")
-    # A line may make up a third of all lines: its copies go to SALTS tasks, the run's hash to each.
-    salt = F.pmod(F.xxhash64("_k1", "pos"), F.lit(SALTS)).cast("int")
-    frequent = runs.frequent(min_docs).withColumn(
-        "salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    kept = _hashed(lines, "key").withColumn("salt", salt).join(
-        frequent.hint("merge"), [*HASH, "salt"], "left_anti")
-    places = kept.groupBy("_k0", "_k1").agg(F.collect_list("pos").alias("_kept"))
-    blank = F.filter(
-        F.transform(F.split("_text", "\n", -1),
-                    lambda x, i: F.when(F.btrim(x, F.lit(SPACE)) == "", i)), lambda x: x.isNotNull())
-    joined = rows.withColumn("_blank", blank).join(places, ["_k0", "_k1"], "left").drop("_k0", "_k1")
-    return add_columns(joined, ["_text", "_blank", "_kept"], lambda: _rebuild,
+    places = kept.groupBy("_k0", "_k1").agg(F.collect_list("places").alias("_kept"))
+    joined = rows.join(places, ["_k0", "_k1"], "left").drop("_k0", "_k1")
+    return add_columns(joined, ["_text", "_kept"], lambda: _rebuild,
                        {"_kept_text": "string", "_n_lines": "long", "_n_dropped": "long"})
 
 
+def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int, *keep: str) -> DataFrame:
+    """The documents without the lines that ``runs`` has seen in ``min_docs`` documents.
+
+    Columns: doc_id, ``keep``, _kept_text, _n_lines, _n_dropped.
+    """
+    return _apply(docs, _without(hashed_lines(docs), stored(runs.frequent(min_docs), "line-frequent")), *keep)
+
+
 def ingest(docs: DataFrame, runs: LineRuns, min_docs: int) -> DataFrame:
-    """One batch of a feed: adds its run, then judges its lines by all runs so far."""
-    runs.add(line_counts(docs))
+    """One batch of a feed: adds its run, then judges its lines by the sums over all runs so far."""
+    runs.add(line_counts(hashed_lines(docs)))
     return drop_lines(docs, runs, min_docs)
 
 
-def dedup(docs: DataFrame, min_docs: int, *keep: str, batches: int = BATCHES,
+def batches_of(docs: DataFrame) -> int:
+    """Batches of some ``BATCH_BYTES`` of input, by the plan's own estimate; two at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2, min(MOST_BATCHES, math.ceil(size / BATCH_BYTES)))
+
+
+def dedup(docs: DataFrame, min_docs: int, *keep: str, batches: int | None = None,
           fanout: int = FANOUT) -> DataFrame:
-    """All batches first, then every document against all runs."""
-    runs = add_corpus(docs, LineRuns(docs.sparkSession, fanout), batches)
-    return drop_lines(docs, runs, min_docs, *keep)
+    """A whole table by batches, and once more for lines that became frequent later."""
+    spark = docs.sparkSession
+    batches = batches or batches_of(docs)
+    path = scratch_path(spark, "lines")
+    hashed_lines(docs, batches).write.partitionBy("batch").parquet(path)
+    lines, runs, left = spark.read.schema(LINES).parquet(path), LineRuns(spark, fanout, min_docs), []
+    for batch in range(batches):
+        own = lines.where(F.col("batch") == batch).drop("batch")
+        runs.add(line_counts(own))
+        left.append(stored(_without(own, runs.known()), "lines-left"))
+    return _apply(docs, _without(_union(left), stored(runs.frequent(min_docs), "line-frequent")), *keep)
