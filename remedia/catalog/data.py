@@ -16,7 +16,7 @@ from remedia.catalog.base import (
     table,
 )
 from remedia.operators import contracts as c
-from remedia.operators import layers
+from remedia.operators import extracts, layers
 from remedia.operators import validation as v
 from remedia.operators.deadlines import regulation_for_issue
 from remedia.session import spread, unnest
@@ -237,6 +237,24 @@ def silver_quarantine_counts(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.countDistinct("complaint_id").alias("ids"))
 
 
+def silver_by_extracts(spark, sf_dir):
+    """The rows of one load, brought in as three extracts that share ids: rows and ids by reason."""
+    day = F.col("_place.l_shipdate")
+    late = day >= "1996-06-01"
+    which = F.when(late, 2).when(day >= "1994-01-01", 1).otherwise(0)
+    raw = raw_complaints(spark, sf_dir)
+    columns = [n for n in raw.columns if n not in RAW_ORDINAL]
+    ids, out = extracts.ClaimedIds(spark), None
+    for i in range(3):
+        clean, held = extracts.load_extract(
+            layers.parse_complaints(raw.where(which == i)), ids, i, RAW_ORDINAL, "duplicate complaint_id", columns)
+        both = clean.select("complaint_id", F.lit("kept").alias("reason")).unionByName(
+            held.select("complaint_id", F.col(layers.REASON).alias("reason")))
+        out = both if out is None else out.unionByName(both)
+    return out.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct(F.trim("complaint_id")).alias("ids"))
+
+
 def layer_row_accounting(spark, sf_dir):
     """Kept plus quarantined rows, per company size: nothing goes missing."""
     clean, quarantine = _parsed(spark, sf_dir)
@@ -425,6 +443,9 @@ QUERIES = {
     "silver_quarantine_counts": (silver_quarantine_counts, SILVER_SQL + """
         SELECT reason, count(*) AS rows, count(DISTINCT complaint_id) AS ids
         FROM final WHERE reason IS NOT NULL GROUP BY 1"""),
+    "silver_by_extracts": (silver_by_extracts, SILVER_SQL + """
+        SELECT coalesce(reason, 'kept') AS reason, count(*) AS rows, count(DISTINCT complaint_id) AS ids
+        FROM final GROUP BY 1"""),
     "layer_row_accounting": (layer_row_accounting, SILVER_SQL + """
         SELECT company_size, count(*) AS input, count(*) FILTER (reason IS NULL) AS kept,
           count(*) FILTER (reason IS NOT NULL) AS quarantined, TRUE AS balanced
