@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,6 +50,7 @@ LEAST_PRECISION = 0.9
 BEGINNINGS = (4, 5, 6)
 CACHE_WORDS = 300_000
 FLUSH = 200_000
+SLICE = 1 << 20  # characters counted at once
 
 SUSPECT = regex.compile(r"\p{L}[0-9@$!|+€._*~^',:/-]+\p{L}|^[0-9@$!|+€]\p{L}|\p{L}[0-9@$|+€]+$|(\p{L})\1\1")
 SPACED = regex.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
@@ -64,15 +65,31 @@ def _codes(text: str, table: np.ndarray) -> np.ndarray:
     return table[np.frombuffer(text.encode("utf-16-le"), "<u2")]
 
 
+def _joined(texts: Iterable[str]) -> Iterator[str]:
+    """Texts with two line ends before, between and after them, some ``SLICE`` characters at a time."""
+    part, size = [""], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= SLICE:
+            yield "\n\n".join([*part, ""])
+            part, size = [""], 0
+    if len(part) > 1:
+        yield "\n\n".join([*part, ""])
+
+
 def character_counts(docs: DataFrame) -> np.ndarray:
     """Trigram counts over all texts; tasks add up first, at most PLACES**3 numbers each."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, table = np.zeros(PLACES**3, "i8"), np.zeros(65_536, "i4")
+        total, table = np.zeros(PLACES**3, "i8"), np.zeros(65_536, "u1")
         table[[ord(c) for c in LETTERS]] = range(1, len(LETTERS) + 1)
         for frame in frames:
-            codes = _codes("\n\n".join(["", *frame["text"], ""]).lower(), table)
-            total += np.bincount((codes[:-2] * PLACES + codes[1:-1]) * PLACES + codes[2:], minlength=len(total))
+            for text in _joined(frame["text"]):
+                codes = _codes(text.lower(), table)
+                for i in range(0, len(codes) - 2, SLICE):
+                    c = codes[i:i + SLICE + 2].astype("i4")
+                    total += np.bincount((c[:-2] * PLACES + c[1:-1]) * PLACES + c[2:], minlength=len(total))
         there = np.flatnonzero(total)
         yield pd.DataFrame({"gram": there, "n": total[there]})
 
