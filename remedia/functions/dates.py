@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column
@@ -108,13 +109,62 @@ def _holidays_before(year: Column) -> Column:
     return 10 * (year - 1) + F.greatest(year - SINCE_2021, F.lit(0))
 
 
+def _placed(year: int, eleven: bool) -> list[date]:
+    """The observed holidays of a year in order, the first perhaps on 31 December before it."""
+    found = [date(year, m, d) for m, d, since in FIXED_HOLIDAYS if eleven or not since]
+    found = [d + timedelta({SATURDAY: -1, SATURDAY + 1: 1}.get(d.weekday(), 0)) for d in found]
+    for m, weekday, first, _ in FLOATING_HOLIDAYS:
+        start = date(year, m, first)
+        found.append(start + timedelta((weekday - start.weekday()) % 7))
+    return sorted(found)
+
+
+def _number(day: date) -> int:
+    weeks, weekday = divmod(day.toordinal() - 1, 7)
+    return 5 * weeks + min(weekday + 1, 5)
+
+
+def _year_pairs() -> str:
+    """Holidays of a year and the next by the year's kind, numbered from its 1 January.
+
+    A kind is the weekday of 1 January, which of the two years is a leap year, and which of
+    them have eleven holidays: 63 rows of constants for all years.
+    """
+    leap = lambda y: y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
+    years = {(date(y, 1, 1).weekday(), 0 if leap(y) else 1 if leap(y + 1) else 2): y for y in range(2001, 2401)}
+    rows = []
+    for weekday in range(7):
+        for leaps in range(3):
+            y = years[weekday, leaps]
+            for full in range(3):
+                days = _placed(y, full == 2) + _placed(y + 1, full >= 1)
+                rows.append([_number(d) - _number(date(y, 1, 1)) for d in days])
+    return f"array({', '.join(f'array{tuple(r)}' for r in rows)})"
+
+
+YEAR_PAIRS = _year_pairs()
+
+
+def _new_year(year: Column) -> Column:
+    return F.make_date(year, F.lit(1), F.lit(1))
+
+
+def near_holidays(year: Column) -> Column:
+    """Weekday numbers of the holidays of a year and the next, less that of the year's 1 January."""
+    leap = lambda y: (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    leaps = F.when(leap(year), 0).when(leap(year + 1), 1).otherwise(2)
+    full = F.when(year >= SINCE_2021, 2).when(year + 1 >= SINCE_2021, 1).otherwise(0)
+    return F.get(F.expr(YEAR_PAIRS), F.weekday(_new_year(year)) * 9 + leaps * 3 + full)
+
+
 def business_index(day: Column) -> Column:
     """Business days from year 1 up to and including ``day``."""
     year, number = F.year(day), weekday_number(day)
-    passed = F.size(F.filter(holiday_numbers(year), lambda p: p <= number))
-    # 31 December is a holiday when 1 January is a Saturday
-    eve = F.coalesce((_fixed(year + 1, 1, 1, 0) <= number).cast("int"), F.lit(0))
-    return (number - _holidays_before(year) - passed - eve).cast("int")
+    at = number - weekday_number(_new_year(year))
+    # the next year's list begins with 31 December when its 1 January is a Saturday
+    passed = F.get(F.transform(F.array(F.struct(at.alias("at"), near_holidays(year).alias("near"))), lambda x: F.size(
+        F.filter(x["near"], lambda p: p <= x["at"]))), F.lit(0))
+    return (number - _holidays_before(year) - passed).cast("int")
 
 
 def _past(number: Column, holidays: Column, after: Column | None = None) -> Column:
@@ -140,12 +190,13 @@ def business_day_at(index: Column) -> Column:
 
 
 def holidays_ahead(day: Column) -> Column:
-    """``at, holidays``: what ``business_days_after`` needs of a day, taken once for several periods."""
-    return F.struct(weekday_number(day).alias("at"), F.concat(
-        holiday_numbers(F.year(day)), holiday_numbers(F.year(day) + 1)).alias("holidays"))
+    """``since, at, holidays``: what ``business_days_after`` needs of a day, taken once for several periods."""
+    since = weekday_number(_new_year(F.year(day)))
+    return F.struct(since.alias("since"), (weekday_number(day) - since).alias("at"),
+                    near_holidays(F.year(day)).alias("holidays"))
 
 
 def business_days_after(ahead: Column, n: int | Column) -> Column:
     """The ``n``-th business day after the day of ``holidays_ahead``, for ``n`` from 1 to 240."""
     steps = F.lit(n) if isinstance(n, int) else n
-    return weekday_at(_past(ahead["at"] + steps, ahead["holidays"], ahead["at"]))
+    return weekday_at(ahead["since"] + _past(ahead["at"] + steps, ahead["holidays"], ahead["at"]))

@@ -14,7 +14,7 @@ from remedia import policy
 from remedia.functions.dates import iso, parse_day
 from remedia.functions.dates import business_index
 from remedia.operators.calendar import look_ahead, nth_ahead
-from remedia.session import unnest
+from remedia.session import once, unnest
 
 DEADLINE = "struct<name:string,due:date,basis:string,citation:string,note:string>"
 RESULT = (
@@ -76,14 +76,13 @@ def reg_e_extended_days(new: Column, pos: Column, foreign: Column) -> Column:
 
 def regulation_e(
     notice: Column, statement: Column, opened: Column, pos: Column, foreign: Column,
-    credit: Column, notice_ahead: str = "notice", conclusion_ahead: str = "conclusion",
+    credit: Column, initial_due: Column, credit_due: Column, report_due: Column, correct_due: Column,
 ) -> Column:
-    """Error resolution timing. Needs the look-ahead columns of both anchor dates."""
+    """Error resolution timing. Its business-day due dates come computed."""
     window_end = F.date_add(statement, NOTICE_WINDOW)
     timely = notice <= window_end
     new = reg_e_new_account(notice, opened)
     initial_days = F.when(new, F.lit(20)).otherwise(F.lit(10))
-    initial_due = nth_ahead(notice_ahead, initial_days)
     initial_cite = F.when(new, F.lit("1005.11(c)(3)")).otherwise(F.lit("1005.11(c)(1)"))
     extended_days = reg_e_extended_days(new, pos, foreign)
     extended_cite = F.when(
@@ -119,12 +118,12 @@ def regulation_e(
             "calendar days", extended_cite,
             F.concat(F.lit("available because provisional credit was given"), why))),
         F.when(credit, _deadline(
-            "notify consumer of the provisional credit", nth_ahead(notice_ahead, 2), 2,
+            "notify consumer of the provisional credit", credit_due, 2,
             "business days", "1005.11(c)(2)")),
-        _deadline("report results to the consumer", nth_ahead(conclusion_ahead, 3), 3,
+        _deadline("report results to the consumer", report_due, 3,
                   "business days", "1005.11(d)",
                   "measured from the date the investigation concludes"),
-        _deadline("correct the error if one occurred", nth_ahead(conclusion_ahead, 1), 1,
+        _deadline("correct the error if one occurred", correct_due, 1,
                   "business days", "1005.11(c)(1)"))
     findings = _present(
         F.when(new, F.lit("The transfer occurred within 30 days of the first deposit, so the "
@@ -298,10 +297,15 @@ def compute_deadlines(
     new = reg_e_new_account(notice, opened)
 
     work = look_ahead(work, notice, "notice")
-    conclusion = (
-        F.when(credit, F.date_add(notice, reg_e_extended_days(new, pos, foreign)))
-        .otherwise(nth_ahead("notice", F.when(new, F.lit(20)).otherwise(F.lit(10)))))
+    work = once(work.withColumns({
+        "_initial_due": nth_ahead("notice", F.when(new, F.lit(20)).otherwise(F.lit(10))),
+        "_credit_due": nth_ahead("notice", 2)}), "_initial_due", "_credit_due")
+    conclusion = F.when(credit, F.date_add(notice, reg_e_extended_days(new, pos, foreign))).otherwise(
+        F.col("_initial_due"))
     work = look_ahead(work.withColumn("_conclusion", conclusion), F.col("_conclusion"), "conclusion")
+    work = once(work.withColumns({
+        "_report_due": nth_ahead("conclusion", 3), "_correct_due": nth_ahead("conclusion", 1)}),
+        "_report_due", "_correct_due")
 
     def missing(name: str) -> Column:
         return _result(F.col(regulation), F.lit(None).cast("boolean"),
@@ -315,7 +319,9 @@ def compute_deadlines(
     result = (
         F.when(reg.isin("REG_E", "REG_Z", "FCRA") & notice.isNull(), no_notice)
         .when(reg.isin("REG_E", "REG_Z") & statement.isNull(), no_statement)
-        .when(reg == "REG_E", regulation_e(notice, statement, opened, pos, foreign, credit))
+        .when(reg == "REG_E", regulation_e(
+            notice, statement, opened, pos, foreign, credit,
+            *[F.col(n) for n in ("_initial_due", "_credit_due", "_report_due", "_correct_due")]))
         .when(reg == "REG_Z", regulation_z(notice, statement, F.col("_billing_cycle_days")))
         .when(reg == "FCRA", fcra(notice, F.col("_additional_information_provided")))
         .when(contact.isNull(), no_notice)
@@ -323,11 +329,12 @@ def compute_deadlines(
     added = [result.alias(out)]
     if liability:
         found = F.coalesce(F.col("_discovery"), notice)
+        work = once(work.withColumn("_clock", F.when(
+            reg == "REG_E", business_index(notice) - business_index(found))), "_clock")
         added.append(F.when(
             (reg == "REG_E") & notice.isNotNull() & statement.isNotNull(),
             regulation_e_liability(
-                business_index(notice) - business_index(found), _days(notice, statement),
-                F.col("_access_device"))).alias(liability))
+                F.col("_clock"), _days(notice, statement), F.col("_access_device"))).alias(liability))
     return work.select(*keep, *added)
 
 

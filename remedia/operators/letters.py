@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from remedia import policy
 from remedia.functions.dates import iso
 from remedia.functions.text import citations, dates_quoted, first_sentence, sentences, slug
+from remedia.session import once
 
 SECTION = "struct<id:string,regulation:string,title:string,text:string>"
 
@@ -83,29 +84,30 @@ def _claims_without_citation(text: Column) -> Column:
     A sentence piece that begins with a heading, a remark or a table bar is not
     checked, so the first bullet under a heading is exempt.
     """
-    pieces = F.transform(
-        sentences(text), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    pieces = F.transform(F.filter(sentences(text), lambda s: ~s.rlike(policy.CITATION_PATTERN)),
+                         lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    # each piece beside its lower-case form, which many words are looked up in
+    paired = F.transform(F.filter(
+        pieces, lambda s: ~(s.startswith("#") | s.startswith("<!--") | s.startswith("|"))),
+        lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
 
-    def uncited(s: Column) -> Column:
-        low = F.lower(s)
-        long_enough = F.size(F.split(s, r"(?U)\s+")) >= 8
-        skipped = s.startswith("#") | s.startswith("<!--") | s.startswith("|")
-        return (long_enough & ~skipped & ~_any(low, policy.BOILERPLATE)
-                & _any(low, policy.FACT_MARKERS) & ~s.rlike(policy.CITATION_PATTERN))
+    def uncited(p: Column) -> Column:
+        long_enough = F.size(F.split(p["s"], r"(?U)\s+")) >= 8
+        return (_any(p["low"], policy.FACT_MARKERS) & ~_any(p["low"], policy.BOILERPLATE)
+                & long_enough)
 
-    return F.transform(F.filter(pieces, uncited), lambda s: F.substring(s, 1, 160))
+    return F.transform(F.filter(paired, uncited), lambda p: F.substring(p["s"], 1, 160))
 
 
-def verify(text: Column, deadlines: Column, valid_sections: Column) -> Column:
-    """Citations resolve, dates were computed, claims are cited. Repeats are counted."""
+def _supplied(deadlines: Column, valid_sections: Column) -> tuple[Column, Column]:
+    """What a letter may cite, and the dates it may quote."""
     computed = lambda f: F.coalesce(
         F.transform(deadlines["deadlines"], f), _none())
-    known = F.concat(valid_sections, computed(lambda d: slug(d["name"])))
-    dues = computed(lambda d: iso(d["due"]))
-    cited = citations(text)
-    lost = F.filter(cited, lambda c: ~F.array_contains(known, c))
-    invented = F.filter(dates_quoted(text), lambda d: ~F.array_contains(dues, d))
-    uncited = _claims_without_citation(text)
+    return (F.concat(valid_sections, computed(lambda d: slug(d["name"]))),
+            computed(lambda d: iso(d["due"])))
+
+
+def _judged(cited: Column, uncited: Column, lost: Column, invented: Column) -> Column:
     return F.struct(
         ((F.size(lost) == 0) & (F.size(invented) == 0) & (F.size(uncited) == 0)).alias("passed"),
         F.size(cited).alias("citations"), (F.size(cited) - F.size(lost)).alias("resolved"),
@@ -113,6 +115,28 @@ def verify(text: Column, deadlines: Column, valid_sections: Column) -> Column:
         invented.alias("invented_dates"))
 
 
+def verify(text: Column, deadlines: Column, valid_sections: Column) -> Column:
+    """Citations resolve, dates were computed, claims are cited. Repeats are counted."""
+    known, dues = _supplied(deadlines, valid_sections)
+    cited = citations(text)
+    lost = F.filter(cited, lambda c: ~F.array_contains(known, c))
+    invented = F.filter(dates_quoted(text), lambda d: ~F.array_contains(dues, d))
+    return _judged(cited, _claims_without_citation(text), lost, invented)
+
+
+def _verified(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``verify`` of a column against ``_known`` and ``_dues``, each search of the text made once."""
+    parts = ["_cited", "_quoted", "_uncited", "_lost", "_invented"]
+    found = once(df.withColumns({
+        "_cited": citations(F.col(text)), "_quoted": dates_quoted(F.col(text)),
+        "_uncited": _claims_without_citation(F.col(text))}), *parts[:3])
+    judged = once(found.withColumns({
+        "_lost": F.filter("_cited", lambda c: ~F.array_contains("_known", c)),
+        "_invented": F.filter("_quoted", lambda d: ~F.array_contains("_dues", d))}), *parts[3:])
+    check = _judged(*[F.col(n) for n in ("_cited", "_uncited", "_lost", "_invented")])
+    return once(judged.withColumn(out, check), out).drop(*parts)
+
+
 def _joined(check: Column, more: Column) -> Column:
     """The check of a letter with a remark added below it."""
     lists = ("unresolved", "uncited_claims", "invented_dates")
@@ -151,17 +175,18 @@ def draft_and_verify(
     which keeps a filter on it cheap wherever the optimiser puts it.
     """
     keep = df.columns
-    work = df.withColumn("_valid", valid_sections).withColumn("_base", render(
+    known, dues = _supplied(F.col(deadlines), valid_sections)
+    work = once(df.withColumns({"_known": known, "_dues": dues, "_base": render(
         F.col(complaint_id), F.col(issue), F.col(sections), F.col(deadlines),
-        F.col(f"{validation}.issues"), F.col(reason_code)))
-    check = lambda text: verify(F.col(text), F.col(deadlines), F.col("_valid"))
-    work = work.withColumn("_check", check("_base"))
+        F.col(f"{validation}.issues"), F.col(reason_code))}), "_known", "_dues", "_base")
+    work = _verified(work, "_base", "_check")
     last = "_check"
     for attempt in range(2, attempts + 1):
         note, joined = f"_note{attempt}", f"_check{attempt}"
-        work = work.withColumn(note, F.when(
-            ~F.col("_check.passed"), remark(critique(F.col(last)))))
-        work = work.withColumn(joined, _joined(F.col("_check"), check(note)))
+        work = once(work.withColumn(note, F.when(
+            ~F.col("_check.passed"), remark(critique(F.col(last))))), note)
+        work = once(_verified(work, note, "_more").withColumn(
+            joined, _joined(F.col("_check"), F.col("_more"))), joined).drop("_more")
         last = joined
     passed = F.col("_check.passed")
     if attempts == 1:
@@ -170,7 +195,8 @@ def draft_and_verify(
         letter = F.when(passed, F.col("_base")).otherwise(
             F.concat("_base", F.lit("\n\n"), F.col(f"_note{attempts}")))
         final = F.when(passed, F.col("_check")).otherwise(F.col(last))
-    return work.select(
+    done = work.select(
         *keep, letter.alias("letter"), final.alias("verification"),
         passed.alias("verification_passed"),
         F.when(passed, 1).otherwise(attempts).alias("attempts"))
+    return once(done, "letter", "verification")

@@ -13,6 +13,7 @@ from remedia.operators import retrieval, skew
 from remedia.operators.deadlines import compute_deadlines, regulation_for_issue
 from remedia.operators.letters import SECTION, draft_and_verify
 from remedia.operators.validation import map_reason_code, validate_fields
+from remedia.session import once
 
 STEPS = ["intake", "classify", "validate", "compute_deadlines", "assess_risk",
          "retrieve_regulation"]
@@ -127,7 +128,9 @@ def triage(
         valid_sections = corpus.agg(F.array_sort(F.collect_set("id"))).scalar()
     cases = (
         disputes.transform(classify).transform(lambda d: validate(d, as_of))
-        .transform(compute_deadlines).transform(assess_risk))
+        .transform(lambda d: once(d, "validation", "reason_code"))
+        .transform(compute_deadlines).transform(lambda d: once(d, "deadlines", "liability"))
+        .transform(assess_risk))
     if corpus is None:
         cases = without_sections(cases)
     else:
