@@ -164,11 +164,13 @@ def start_triage(
 
     Rows without an id go to ``failed``; one without a notice date gets the outcome
     that the batch chain gives it. A micro-batch is kept while both parts are written. A restarted job replays its unfinished
-    batch over the same folders, so no case is written twice.
+    batch over the same folders, so no case is written twice. A feed of one file is one
+    task, so the cases are dealt out to all cores before the chain.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         broken = F.col("complaint_id").isNull()
-        batch = batch.persist()
+        cores = batch.sparkSession.sparkContext.defaultParallelism
+        batch = batch.repartition(cores).persist()
         try:
             plan(batch.where(~broken)).write.mode("overwrite").partitionBy("queue").parquet(
                 f"{path}/cases/batch_id={batch_id}")

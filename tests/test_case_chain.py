@@ -6,6 +6,7 @@ from remedia.catalog import cases as catalog
 from remedia.functions.dates import business_index, is_business_day
 from remedia.operators import calendar as cal
 from remedia.plans import triage as plan
+from remedia.streaming import feeds
 
 
 def test_letters_are_searched_once_a_check(spark, sf_dir):
@@ -27,3 +28,18 @@ def test_business_index_over_four_centuries(spark):
     place = dict(zip(days["day"], days["i"]))
     work = dict(zip(days["day"], days["b"]))
     assert all(place[end] == place[start] + 20 and work[end] for start, end in due.items())
+
+
+def test_required_stages_read_the_cases_in_one_pass(spark, sf_dir):
+    plan_text = catalog.required_stages(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_text.count("Relation [") == 1
+
+
+def test_a_feed_of_one_file_is_spread(spark, tmp_path):
+    rows = spark.range(64).select(F.col("id").cast("string").alias("complaint_id"), F.lit("q").alias("queue"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "feed"))
+    feed = feeds.file_feed(spark, str(tmp_path / "feed"), rows.schema)
+    feeds.start_triage(feed, lambda batch: batch.withColumn("task", F.spark_partition_id()),
+                       str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "out/cases"))
+    assert done.count() == 64 and done.select("task").distinct().count() > 1
