@@ -138,12 +138,15 @@ def triage(
     return cases.transform(lambda d: draft_and_verify(d, valid_sections)).transform(route)
 
 
-def required_stages_met(cases: DataFrame) -> DataFrame:
-    """Cases with an outcome that skipped a required stage without escaping (should be 0)."""
+def required_stages_met(cases: DataFrame, *more: Column) -> DataFrame:
+    """Cases with an outcome that skipped a required stage without escaping (should be 0).
+
+    ``more`` aggregates over the same cases are taken in the same pass.
+    """
     escaped = F.array_contains("path", "unclassifiable")
     skipped = F.col("deadlines").isNull() | F.col("verification").isNull()
     return cases.agg(F.count_if(F.col("queue").isNotNull() & ~escaped & skipped).alias(
-        "violations"))
+        "violations"), *more)
 
 
 def seeded_sample(df: DataFrame, id_column: str, n: int, seed: int) -> DataFrame:
