@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -188,7 +187,8 @@ class Attempts(StatefulProcessor):
 
     ``work`` gets the case as a dict and the number of the attempt; raising makes the
     attempt fail. A case that has ended is remembered by a number and a flag, so a repeated
-    delivery of it is left out; without ``remember`` its state is freed.
+    delivery of it is left out; without ``remember`` its state is freed. Cases pass as rows:
+    a pandas frame for each key costs more than the work.
     """
 
     def __init__(self, work: Callable[[dict, int], None], attempts: int, remember: bool = True):
@@ -198,26 +198,23 @@ class Attempts(StatefulProcessor):
         self.state = handle.getValueState("attempts", "made int, ended boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        made, ended = (self.state.get() if self.state.exists() else None) or (0, False)
-        out = []
-        for frame in rows:
-            for payload in frame["payload"]:
-                if ended:
-                    continue
-                made += 1
-                error = None
-                try:
-                    self.work(json.loads(payload), made)
-                except Exception as raised:  # whatever a step raises is an attempt that failed
-                    error = f"{type(raised).__name__}: {raised}"
-                ended = error is None or made >= self.attempts
-                state = "succeeded" if error is None else "dead" if ended else "requeued"
-                out.append((key[0], payload, made, state, error))
+        made, ended = before = self.state.get() or (0, False)
+        for row in rows:
+            if ended:
+                break
+            made += 1
+            error = None
+            try:
+                self.work(json.loads(row.payload), made)
+            except Exception as raised:  # whatever a step raises is an attempt that failed
+                error = f"{type(raised).__name__}: {raised}"
+            ended = error is None or made >= self.attempts
+            state = "succeeded" if error is None else "dead" if ended else "requeued"
+            yield Row(key=key[0], payload=row.payload, attempts=made, state=state, error=error)
         if ended and not self.remember:
             self.state.clear()
-        else:
+        elif (made, ended) != tuple(before):
             self.state.update((made, ended))
-        yield pd.DataFrame(out, columns=["key", "payload", "attempts", "state", "error"])
 
     def close(self) -> None:
         pass
@@ -241,7 +238,7 @@ def start_attempts(
     fresh = feed.where(F.col(key).isNotNull()).select(
         F.col(key).cast("string").alias("key"), F.to_json(F.struct(*feed.columns)).alias("payload"))
     again = spark.readStream.schema(waiting).option("recursiveFileLookup", "true").parquet(requeue)
-    tried = fresh.unionByName(again).groupBy("key").transformWithStateInPandas(
+    tried = fresh.unionByName(again).groupBy("key").transformWithState(
         Attempts(work, attempts, remember), "key string, payload string, attempts int, state string, error string",
         "Append", "None")
     schema = feed.schema

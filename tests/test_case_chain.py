@@ -1,5 +1,6 @@
 """The case chain computes each of its parts once."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from remedia.catalog import cases as catalog
@@ -43,3 +44,21 @@ def test_a_feed_of_one_file_is_spread(spark, tmp_path):
                        str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     done = spark.read.parquet(str(tmp_path / "out/cases"))
     assert done.count() == 64 and done.select("task").distinct().count() > 1
+
+
+def test_attempts_take_rows_and_leave_unchanged_state_alone():
+    class State:
+        value, writes = None, 0
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.writes = value, self.writes + 1
+
+    case = feeds.Attempts(lambda case, attempt: None, 3)
+    case.state = State()
+    rows = [Row(payload='{"id": 1}'), Row(payload='{"id": 1}')]
+    first = list(case.handleInputRows(("1",), iter(rows), None))
+    assert [(r.attempts, r.state) for r in first] == [(1, "succeeded")]
+    assert not list(case.handleInputRows(("1",), iter(rows), None)) and case.state.writes == 1
