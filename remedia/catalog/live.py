@@ -183,9 +183,8 @@ def document_folds(spark, sf_dir):
 
 
 def issue_classifier_metrics(spark, sf_dir):
-    _, report = models.issue_classifier(
-        document_folds(spark, sf_dir), models.TextParams(C=4.0, min_df=2, max_features=4000,
-                                                         max_iter=20), "text", "lang")
+    report = trials.issue_report(
+        document_folds(spark, sf_dir), models.TextParams(C=4.0, min_df=2, max_features=4000), "text", "lang")
     return report.select("rows", "classes", "macro_f1", "micro_f1", "balanced_accuracy")
 
 
@@ -274,9 +273,9 @@ def escalation_triage(spark, sf_dir):
 
 def outcome_temporal_penalty(spark, sf_dir):
     """Balanced accuracy under a split by id and under a shuffled split."""
-    return models.temporal_penalty(
+    return trials.temporal_penalty(
         document_folds(spark, sf_dir), "doc_id", "text", "lang",
-        models.TextParams(C=1.0, min_df=2, max_features=2000, max_iter=10))
+        models.TextParams(C=1.0, min_df=2, max_features=2000), passes=10)
 
 
 def case_sections(spark, sf_dir):

@@ -258,20 +258,6 @@ def random_split(df: DataFrame, id_column: str, share: float = 0.84, seed: int =
     return df.withColumn("split", F.when(draw < int(share * 10_000), "train").otherwise("test"))
 
 
-def temporal_penalty(folds: DataFrame, id_column: str, text: str, label: str,
-                     params: TextParams = TextParams()) -> DataFrame:
-    """Balanced accuracy under the temporal split and under a shuffled one."""
-    shuffled = random_split(folds, id_column)
-    out = None
-    for name, rows in (("temporal", folds), ("random", shuffled)):
-        model = fit_text(rows.where("split <> 'test'"), text, label, params)
-        scored = score_text(model, rows.where("split = 'test'"), text)
-        part = metrics.classification_summary(scored, label, "predicted").select(
-            F.lit(name).alias("split_kind"), "balanced_accuracy")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def risk_report(model: PipelineModel, test: DataFrame, label: str, tie: str,
                 budget: float = policy.ALERT_BUDGET) -> DataFrame:
     """Recall and precision at the alert budget, lift and AUC of a scored fold."""

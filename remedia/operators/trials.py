@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from remedia.operators.models import TextParams, sample_params, with_terms
-from remedia.session import stored, unnest
+from remedia.operators import metrics
+from remedia.operators.models import TextParams, random_split, sample_params, with_terms
+from remedia.session import stored
 
 MEMORY = 5      # steps that a walk remembers
+COUNTED_ROWS = 256  # rows whose terms are counted at once
 PIECE = 8192    # numbers of a gradient that travel as one row
 SUFFICIENT = 1e-4
 FLAT = 1e-6     # a walk ends where no component of its gradient is larger
@@ -56,15 +58,36 @@ class Features(NamedTuple):
 
 
 def _term_counts(rows: DataFrame, sets: list[frozenset[int]]) -> DataFrame:
-    """``term, cf<i>, df<i>`` for each set of parts: occurrences and rows, in one shuffle."""
-    marks = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(False).alias("d"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(True).alias("d"))))
-    seen = unnest(rows, marks, "m", "_part").select("m.term", "m.d", "_part")
+    """``term, cf<i>, df<i>`` for each set of parts: occurrences and rows.
+
+    Some rows at a time are counted where they are cut, so what is shuffled is one row for a
+    term and part of them, not one for each word.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, COUNTED_ROWS):
+                some = batch.slice(begin, COUNTED_ROWS)
+                lists = some.column(1)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                coded = lists.flatten().dictionary_encode()
+                code, wide = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
+                parts, part = np.unique(some.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                cell, n = np.unique(row * wide + code, return_counts=True)
+                at = part[cell // wide] * wide + cell % wide
+                cf, df = np.bincount(at, n, len(parts) * wide), np.bincount(at, minlength=len(parts) * wide)
+                there = np.flatnonzero(df)
+                yield pa.RecordBatch.from_arrays([
+                    coded.dictionary.take(pa.array(there % wide)).cast(pa.string()),
+                    pa.array(parts[there // wide], pa.int32()), pa.array(cf[there].astype(np.int64)),
+                    pa.array(df[there].astype(np.int64))], names=["term", "_part", "cf", "df"])
+
+    seen = rows.where(F.col("_part").isNotNull()).select("_part", "terms").mapInArrow(
+        run, "term string, _part int, cf long, df long")
     found = []
     for i, parts in enumerate(sets):
         inside = F.col("_part").isin(*sorted(parts)) if parts else F.lit(False)
-        found += [F.count_if(inside & ~F.col("d")).alias(f"cf{i}"), F.count_if(inside & F.col("d")).alias(f"df{i}")]
+        found += [F.sum(F.when(inside, F.col(c)).otherwise(0)).alias(f"{c}{i}") for c in ("cf", "df")]
     return seen.groupBy("term").agg(*found)
 
 
@@ -402,3 +425,33 @@ def out_of_fold(rows: DataFrame, text: str, label: str, positive: str, keep: Seq
     at = features.classes.index(positive) if positive in features.classes else None
     share = F.get("probabilities", F.lit(at)) if at is not None else F.lit(0.0)
     return scored.select(*keep, F.col("model").alias("fold"), "label", share.alias("score"))
+
+
+def issue_report(folds: DataFrame, params: TextParams, text: str, label: str, passes: int = 20) -> DataFrame:
+    """Learned from the rows whose ``split`` is not ``test``, reported on those where it is."""
+    part = F.when(F.col("split") == "test", 1).when(F.col("split").isNotNull(), 0)
+    fit = Fit(store_features(folds, text, label, part, [Spec(params, frozenset({0}))]))
+    fit.run(passes)
+    scored = fit.scores(lambda spec, p: p == 1).where("label IS NOT NULL")
+    return metrics.classification_summary(scored, "label", "predicted")
+
+
+def temporal_penalty(folds: DataFrame, id_column: str, text: str, label: str,
+                     params: TextParams = TextParams(), passes: int = 20) -> DataFrame:
+    """Balanced accuracy under the temporal split and under a shuffled one.
+
+    A row's part says on which side of either split it is, so both models are fitted in the
+    same passes over one feature table.
+    """
+    late = F.col("split") == "test"
+    drawn = random_split(folds.withColumn("_late", late), id_column)
+    part = (F.col("_late").cast("int") + 2 * (F.col("split") == "test").cast("int"))
+    fit = Fit(store_features(drawn, text, label, part, [Spec(params, frozenset({0, 2})), Spec(params, frozenset({0, 1}))]))
+    fit.run(passes)
+    scored = stored(fit.scores(lambda spec, p: p not in spec.fit).where("label IS NOT NULL"), "penalty")
+    out = None
+    for m, name in enumerate(("temporal", "random")):
+        found = metrics.classification_summary(scored.where(F.col("model") == m), "label", "predicted").select(
+            F.lit(name).alias("split_kind"), "balanced_accuracy")
+        out = found if out is None else out.unionByName(found)
+    return out

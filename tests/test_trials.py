@@ -128,3 +128,18 @@ def test_empty_and_one_class(spark):
     assert trials.out_of_fold(none, "text", "label", "1", ["id"]).count() == 0
     one = spark.createDataFrame([(1, 0, "1", "refund"), (1, 0, "1", "refund"), (2, 0, "1", "late")], SCHEMA)
     assert [r["score"] for r in trials.out_of_fold(one, "text", "label", "1", ["id"]).collect()] == [1.0] * 3
+
+
+def test_both_splits_are_judged_over_one_feature_table(spark, monkeypatch):
+    rows = [(i, "test" if i % 5 == 0 else "train", y, t) for i, _, y, t in corpus()]
+    df = spark.createDataFrame(rows, "id long, split string, label string, text string").repartition(5)
+    tables, store = [], trials.store_features
+    monkeypatch.setattr(trials, "store_features", lambda *a: tables.append(1) or store(*a))
+    params = TextParams(C=1.0, min_df=1, max_features=30)
+    got = {r[0]: r[1] for r in trials.temporal_penalty(df, "id", "text", "label", params, 8).collect()}
+    assert len(tables) == 1
+    alone = {"temporal": df, "random": models.random_split(df, "id")}
+    for name, split in alone.items():
+        report = trials.issue_report(split, params, "text", "label", 8).first()
+        assert got[name] == pytest.approx(report["balanced_accuracy"], abs=0.02) and report["classes"] == 3
+    assert report["rows"] == models.random_split(df, "id").where("split = 'test' AND label IS NOT NULL").count()
