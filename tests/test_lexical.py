@@ -86,3 +86,35 @@ def test_empty_sides(spark):
     assert lexical.bm25(corpus, spark.createDataFrame([], ASKED), 3).count() == 0
     nulls = spark.createDataFrame([(1, None, None, None), (2, "R", "t", "w1")], CORPUS)
     assert [r["doc_id"] for r in lexical.bm25(nulls, asked, 3).collect()] == [2]
+
+
+def test_terms_counted_in_tasks_are_those_of_the_tokeniser(spark):
+    from pyspark.sql import functions as F
+
+    from remedia import policy
+    from remedia.functions.text import tokenize
+    from remedia.operators.terms import counted_terms, cuttable
+
+    rng = random.Random(4)
+    bits = [*policy.SYNONYMS, *list(policy.STOP_WORDS)[:9], "forty-five", "forty five", "60", "1005.11", "2.5.", "x9y", "É60",
+            "naïve", "_30", "٣.٤", "9a.b", "İ", "thirty", "\n", "a.1", "Σας"]
+    texts = [(i, "".join(rng.choice(bits) + rng.choice([" ", "", ".", "-", " "]) for _ in range(40))) for i in range(400)]
+    df = spark.createDataFrame([*texts, (900, None), (901, "")], "id long, text string")
+    want = {r[0]: Counter(r[1] or []) for r in df.select("id", tokenize(F.col("text"))).collect()}
+    found = counted_terms(df.select("id", cuttable(F.col("text")).alias("text")), "id").collect()
+    assert {r["id"]: Counter(dict(zip(r["terms"], r["counts"]))) for r in found} == want
+    assert all(r["length"] == want[r["id"]].total() for r in found)
+
+
+def test_many_queries_in_lots_and_parts(spark, monkeypatch):
+    for name in ("LOT_TERMS", "PART_ROWS", "CELLS"):
+        monkeypatch.setattr(lexical, name, 60)
+    docs = documents(120)
+    asked = [(f"q{i}", " ".join(t for t in docs[i][3].split()[:i % 12])) for i in range(60)] + [("none", "nowhere"), ("null", None)]
+    corpus, queries = spark.createDataFrame(docs, CORPUS), spark.createDataFrame(asked, ASKED)
+    made = []
+    monkeypatch.setattr(lexical, "stored", lambda df, name, keep=lexical.stored: made.append(keep(df, name)) or made[-1])
+    got, want = rows(lexical.bm25(corpus, queries, 3, large="queries")), brute(docs, [(q, t or "") for q, t in asked], 3)
+    assert {p: v[0] for p, v in got.items()} == {p: v[0] for p, v in want.items()}
+    # a row a query, none for a term that it shares with a document
+    assert max(m.count() for m in made if "query_id" in m.columns) == len(asked)
