@@ -15,8 +15,10 @@ The lexical part is in ``lexical``, the projection in ``semantics``, the dense s
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from remedia import policy
 from remedia.functions.text import tokenize
@@ -30,8 +32,17 @@ from remedia.operators.lexical import (  # noqa: F401
     save_index,
 )
 from remedia.operators.nearest import VectorIndex, build_lists, nearest
-from remedia.operators.semantics import Projection, embed_queries, fit_projection, unit  # noqa: F401
-from remedia.operators.terms import indexed_text, query_terms
+from remedia.operators.semantics import (  # noqa: F401
+    Projection,
+    embed_many,
+    embed_queries,
+    fit_projection,
+    unit,
+)
+from remedia.operators.terms import counted_terms, cuttable, indexed_text, query_counts, query_terms
+from remedia.session import stored, unnest
+
+LOT_PAIRS = 1 << 14  # candidates in a task's hands, about
 
 # --- latent semantics ---------------------------------------------------------------
 
@@ -57,46 +68,72 @@ def rrf(rankings: list[DataFrame], k: int = policy.RRF_K, limit: int | None = No
     return ranked(fused, limit if limit is not None else 2**31 - 1)
 
 
+def _covered(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """What the candidates of a lot of queries cover: summed weight of shared terms, shared words of the title."""
+    docs: dict = {}
+    columns = [held.column(c).to_pylist() for c in ("doc_id", "terms", "idfs", "title")]
+    for place, (doc, terms, idfs, title) in enumerate(zip(*columns, strict=True)):
+        docs.setdefault(doc, []).append((place, dict(zip(terms or (), idfs or (), strict=True)), frozenset(title or ())))
+    found = []
+    columns = [asked.column(c).to_pylist() for c in ("names", "candidates")]
+    for query, (names, candidates) in enumerate(zip(*columns, strict=True)):
+        for c in candidates:
+            for place, idf, title in docs.get(c["doc_id"], ()):
+                found.append((query, place, c["rank"], sum([idf[t] for t in names if t in idf]),
+                              sum([t in title for t in names]) if title else 0))
+    query, place, rank, covered, shared = [list(c) for c in zip(*found, strict=True)] if found else [[]] * 5
+    query, place = pa.array(query, pa.int64()), pa.array(place, pa.int64())
+    return pa.table([
+        *[asked.column(c).take(query) for c in ("query_id", "size", "total", "wanted")],
+        *[held.column(c).take(place) for c in ("doc_id", "given")], pa.array(rank, pa.int32()),
+        pa.array(covered, pa.float64()), pa.array(shared, pa.int32())],
+        names=["query_id", "size", "total", "wanted", "doc_id", "given", "rank", "covered", "shared"])
+
+
 def rerank(
     candidates: DataFrame, corpus: DataFrame, queries: DataFrame, idf: DataFrame,
     k: int = policy.TOP_K,
 ) -> DataFrame:
     """Reorder candidates by position, covered term weight, title and regulation.
 
-    Works on the candidates alone: their texts are fetched by id and the term
-    sets compared row by row.
+    Works on the candidates alone, which are computed once: their texts are fetched by id and
+    cut once, and lots of queries meet the documents that they have as candidates.
     """
     has_regulation = "regulation" in queries.columns
-    weighted = query_terms(queries).join(idf, "term", "left").groupBy("query_id").agg(
-        F.collect_list(F.struct("term", F.coalesce("idf", F.lit(0.0)).alias("idf"))).alias(
-            "_asked"))
+    pairs = stored(candidates.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank")), "candidates")
+    counted = stored(query_counts(queries).select("query_id", F.col("terms").alias("names")), "asked")
+    totals = counted.select("query_id", F.explode("names").alias("term")).join(idf, "term").groupBy("query_id").agg(
+        F.sum("idf").alias("total"))
     regs = queries.select("query_id", (
-        F.col("regulation") if has_regulation else F.lit(None).cast("string")).alias("_wanted"))
-    asked_for = candidates.select(F.col("doc_id").alias("id")).distinct()
+        F.col("regulation") if has_regulation else F.lit(None).cast("string")).alias("wanted"))
+    asked_for = pairs.select(F.col("doc_id").alias("id")).distinct()
     texts = corpus.join(asked_for, "id", "left_semi").select(
-        F.col("id").alias("doc_id"), F.col("regulation").alias("_given"),
-        F.array_distinct(tokenize(indexed_text(corpus))).alias("_terms"),
-        F.array_distinct(tokenize(F.col("title"))).alias("_title"))
-    rows = (candidates.select("query_id", "doc_id", "rank").join(texts, "doc_id")
-            .join(regs, "query_id").join(weighted, "query_id", "left"))
-    add = lambda items: F.aggregate(
-        items, F.lit(0.0), lambda acc, x: acc + x["idf"])
-    asked = F.coalesce(
-        F.transform("_asked", lambda x: x["term"]), F.array().cast("array<string>"))
-    rows = rows.withColumn("_names", asked).withColumn(
-        "_shared", F.array_intersect("_names", "_terms")).withColumn(
-        "_total", F.coalesce(add(F.col("_asked")), F.lit(0.0)))
-    covered = F.coalesce(add(F.filter(
-        "_asked", lambda x: F.array_contains(F.col("_shared"), x["term"]))), F.lit(0.0))
-    title = F.size(F.array_intersect("_names", "_title")) / F.greatest(
-        F.size("_names"), F.lit(1))
-    same = F.when(F.col("_given") == F.col("_wanted"), policy.RERANK_REGULATION).otherwise(0.0)
+        F.col("id").alias("doc_id"), F.col("regulation").alias("given"),
+        F.array_distinct(tokenize(F.col("title"))).alias("title"), cuttable(indexed_text(corpus)).alias("text"))
+    texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "candidate-texts")
+    cut = unnest(counted_terms(texts, "row"), F.col("terms"), "term", "row").join(idf, "term").groupBy("row").agg(
+        F.collect_list(F.struct("term", "idf")).alias("t"))
+    docs = stored(texts.join(cut, "row", "left").select(
+        "doc_id", "given", "title", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")), "candidate-terms")
+    lots = max(1, -(-pairs.count() // LOT_PAIRS))
+    lot = F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int").alias("lot")
+    held = pairs.select(lot, "doc_id").distinct().join(docs, "doc_id")
+    asked = pairs.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", "rank")).alias("candidates")).join(
+        counted, "query_id").join(regs, "query_id").join(totals, "query_id", "left").select(
+        lot, "query_id", "names", "candidates", "wanted", F.size("names").alias("size"), F.coalesce("total", F.lit(0.0)).alias("total"))
+    schema = T.StructType([
+        asked.schema["query_id"], T.StructField("size", T.IntegerType()), T.StructField("total", T.DoubleType()),
+        T.StructField("wanted", T.StringType()), docs.schema["doc_id"], T.StructField("given", T.StringType()),
+        T.StructField("rank", T.IntegerType()), T.StructField("covered", T.DoubleType()), T.StructField("shared", T.IntegerType())])
+    rows = asked.groupBy("lot").cogroup(held.groupBy("lot")).applyInArrow(_covered, schema)
+    title = F.col("shared") / F.greatest(F.col("size"), F.lit(1))
+    same = F.when(F.col("given") == F.col("wanted"), policy.RERANK_REGULATION).otherwise(0.0)
     circular = F.when(
-        F.coalesce(F.col("_wanted") != "", F.lit(False)) & (F.col("_given") == "CIRCULAR"),
+        F.coalesce(F.col("wanted") != "", F.lit(False)) & (F.col("given") == "CIRCULAR"),
         policy.RERANK_CIRCULAR).otherwise(0.0)
     score = (
         policy.RERANK_POSITION / F.col("rank")
-        + policy.RERANK_COVERED * (covered / F.when(F.col("_total") == 0, 1.0).otherwise(F.col("_total")))
+        + policy.RERANK_COVERED * (F.col("covered") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total")))
         + policy.RERANK_TITLE * title + same + circular)
     return ranked(rows.select("query_id", "doc_id", score.alias("score")), k)
 
@@ -121,7 +158,8 @@ def search_all(
         corpus, None if large == "queries" else query_terms(queries))
     projection = projection or fit_projection(corpus)
     lexical = bm25(corpus, queries, candidates, large=large, index=index)
-    dense = dense_topk(projection.vectors, embed_queries(queries, projection), candidates)
+    embed = embed_many if large == "queries" else embed_queries
+    dense = dense_topk(projection.vectors, embed(queries, projection), candidates)
     fused = rrf([lexical, dense], limit=candidates)
     reranked = rerank(fused, corpus, queries, inverse_frequency(index), k)
     return {"lexical": lexical, "dense": dense, "fused": fused, "reranked": reranked}

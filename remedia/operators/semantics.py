@@ -31,12 +31,14 @@ from pyspark.sql import types as T
 
 from remedia import policy
 from remedia.functions.text import tokenize
-from remedia.operators.terms import counted_terms, document_texts
+from remedia.operators.terms import counted_terms, document_texts, query_counts
 from remedia.session import scratch_path, stored, unnest
 
 POWER_STEPS = 2
 OVERSAMPLING = 10        # columns of the block beyond those asked for
 CHUNK_BYTES = 8 << 20    # text in a task's hands, about
+LOT_TERMS = 1 << 20      # terms of queries in a task's hands, about, where there are many queries
+PART_TERMS = 1 << 16     # rows of factors beside them, about
 RANK = 1e-14             # directions with less than this share of the largest are none
 SHARED, PRODUCTS, GRAM = 1, 2, 3  # kinds of rows of a block: of a term of several chunks; of a chunk's documents; of its own terms
 
@@ -320,3 +322,49 @@ def embed_queries(queries: DataFrame, projection: Projection) -> DataFrame:
         Summarizer.metrics("sum").summary(F.col("factor"), F.col("w")).alias("s"))
     found = total.select("query_id", unit(vector_to_array("s.sum")).alias("vector"))
     return queries.select("query_id").join(found, "query_id", "left")
+
+
+def _sums_of_part(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """For each query of a lot the weighted sum of the factors of a part; NULL where it has none of them."""
+    terms, factors = held.column("term").combine_chunks(), held.column("factor").combine_chunks()
+    factors = factors.flatten().to_numpy().reshape(len(terms), -1) * held.column("idf").to_numpy()[:, None]
+    lists, counts = asked.column("terms").combine_chunks(), asked.column("counts").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[at >= 0]
+    weight, at = 1.0 + np.log(counts.flatten().to_numpy()[at >= 0]), at[at >= 0]
+    sums = np.zeros((len(sizes), factors.shape[1]))
+    for begin in range(0, len(at), 1 << 16):
+        some = slice(begin, begin + (1 << 16))
+        starts = np.flatnonzero(np.r_[True, owner[some][1:] != owner[some][:-1]])
+        sums[owner[some][starts]] += np.add.reduceat(weight[some, None] * factors[at[some]], starts)
+    none = np.bincount(owner, minlength=len(sizes)) == 0
+    v = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()),
+                                 mask=pa.array(none))
+    return pa.table([asked.column("query_id"), v], names=["query_id", "v"])
+
+
+def embed_many(queries: DataFrame, projection: Projection) -> DataFrame:
+    """``embed_queries`` for very many queries: lots of them against parts of the factors, no row for a term."""
+    asked = stored(query_counts(queries).select("query_id", "terms", "counts"), "counted-queries")
+    factors = projection.factors.select("term", "idf", vector_to_array("factor").alias("factor"))
+    n, dim = factors.agg(F.count(F.lit(1)), F.max(F.size("factor"))).first()
+    if not n:
+        return asked.select("query_id", F.lit(None).cast("array<double>").alias("vector"))
+    lots = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // LOT_TERMS))
+    parts = -(-n // PART_TERMS)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    dealt = asked.withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int")).withColumn("part", every(parts))
+    placed = factors.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).withColumn("lot", every(lots))
+    schema = T.StructType([asked.schema["query_id"], T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def work(some: pa.Table, held: pa.Table) -> pa.Table:
+        if held.num_rows and some.num_rows:
+            return _sums_of_part(some, held)
+        return pa.table([some.column("query_id"), pa.nulls(some.num_rows, pa.list_(pa.float64()))], names=["query_id", "v"])
+
+    sums = dealt.groupBy("part", "lot").cogroup(placed.groupBy("part", "lot")).applyInArrow(work, schema)
+    if parts > 1:
+        added = sums.groupBy("query_id").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(dim)])
+        sums = added.select("query_id", F.when(F.col("v0").isNotNull(), F.array(*[f"v{i}" for i in range(dim)])).alias("v"))
+    return sums.select("query_id", unit(F.col("v")).alias("vector"))

@@ -13,7 +13,7 @@ from remedia.operators import retrieval, skew
 from remedia.operators.deadlines import compute_deadlines, regulation_for_issue
 from remedia.operators.letters import SECTION, draft_and_verify
 from remedia.operators.validation import map_reason_code, validate_fields
-from remedia.session import once
+from remedia.session import once, stored
 
 STEPS = ["intake", "classify", "validate", "compute_deadlines", "assess_risk",
          "retrieve_regulation"]
@@ -67,11 +67,11 @@ def retrieve(
     text = F.concat_ws(" ", F.nullif(F.col("issue"), F.lit("")), F.nullif(head, F.lit("")))
     asked = df.withColumn("_text", text).withColumn(
         "_request", F.md5(F.concat_ws("\u0001", "regulation", "_text")))
-    distinct = asked.groupBy("_request").agg(
+    distinct = stored(asked.groupBy("_request").agg(
         F.count(F.lit(1)).alias("_n"), F.any_value("_text").alias("query"),
-        F.any_value("regulation").alias("regulation"))
+        F.any_value("regulation").alias("regulation")), "requests")
     queries = distinct.select(F.col("_request").alias("query_id"), "query", "regulation")
-    top = retrieval.hybrid_search(corpus, queries, projection, large="queries")
+    top = stored(retrieval.hybrid_search(corpus, queries, projection, large="queries"), "sections")
     texts = corpus.select(F.col("id").alias("doc_id"), "regulation", "title", "text")
     found = top.join(texts, "doc_id").groupBy(F.col("query_id").alias("_request")).agg(
         F.array_sort(F.collect_list(F.struct(
