@@ -49,6 +49,14 @@ def test_projection_matches_full_decomposition(spark, monkeypatch, size):
     assert np.abs(mine @ mine.T - want @ want.T).max() < 0.05  # likeness of any two documents
 
 
+def test_shared_terms_travel_in_pieces_not_rows(spark, monkeypatch):
+    monkeypatch.setattr(semantics, "CHUNK_BYTES", 20_000)
+    matrix = semantics.term_matrix(spark.createDataFrame(topics(240), CORPUS))
+    block = semantics._returned(matrix, None, None, 8)
+    assert matrix.chunks > 2 and block.count() <= matrix.chunks * (matrix.chunks + 3)
+    assert block.where(F.col("kind") == semantics.SHARED).agg(F.sum(F.length("v"))).first()[0] > 8 * 4 * 1000
+
+
 def test_projection_of_little(spark):
     empty = semantics.fit_projection(spark.createDataFrame([], CORPUS))
     assert empty.factors.count() == 0 and empty.vectors.count() == 0
