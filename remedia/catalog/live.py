@@ -203,25 +203,25 @@ def risk_rows(spark, sf_dir):
 
 
 def fraud_model_metrics(spark, sf_dir):
-    rows = risk_rows(spark, sf_dir)
+    rows = stored(risk_rows(spark, sf_dir), "risk-rows")
     model = models.fit_risk(rows.where("split <> 'test'"), RISK_FEATURES, "label")
     return models.risk_report(model, rows.where("split = 'test'"), "label", "event_id")
 
 
 def fraud_coefficients(spark, sf_dir):
-    model = models.fit_risk(
-        risk_rows(spark, sf_dir).where("split <> 'test'"), RISK_FEATURES, "label")
+    rows = stored(risk_rows(spark, sf_dir).where("split <> 'test'"), "risk-rows")
+    model = models.fit_risk(rows, RISK_FEATURES, "label")
     return models.coefficients(model, RISK_FEATURES, spark)
 
 
 def fraud_search(spark, sf_dir):
-    """Seeded search scored on the validation fold."""
-    rows = risk_rows(spark, sf_dir)
+    """Seeded search scored on the validation fold. The rows are derived once for all trials."""
+    rows = stored(risk_rows(spark, sf_dir).where("split <> 'test'"), "risk-rows")
     train, held = rows.where("split = 'train'"), rows.where("split = 'validation'")
 
     def objective(p):
         model = models.fit_risk(train, RISK_FEATURES, "label", p["C"], bool(p["balanced"]), 20)
-        return models.risk_report(model, held, "label", "event_id").first()["recall"]
+        return models.risk_recall(model, held, "label", "event_id")
 
     _, trials = models.random_search(objective, models.FRAUD_SPACE, 3, 17, spark)
     return trials.select("trial", "score", "improved")

@@ -20,7 +20,7 @@ from remedia import policy
 from remedia.functions.text import model_text
 from remedia.operators import metrics
 from remedia.operators.retrieval import unit
-from remedia.session import scratch_path, unnest
+from remedia.session import scratch_path, stored, unnest
 
 # search space of the text models: name, low, high, kind
 TEXT_SPACE = [
@@ -138,8 +138,8 @@ def text_features(df: DataFrame, text: str, terms: DataFrame, size: int, ngram_h
     path = scratch_path(spark, "features")
     # the key is made once and stored, so that both uses below agree on it
     df.withColumn("_row", F.expr("uuid()")).write.parquet(f"{path}/rows")
-    stored = spark.read.parquet(f"{path}/rows")
-    tf = unnest(with_terms(stored, text, ngram_high), F.col("terms"), "term", "_row").groupBy(
+    kept = spark.read.parquet(f"{path}/rows")
+    tf = unnest(with_terms(kept, text, ngram_high), F.col("terms"), "term", "_row").groupBy(
         "_row", "term").agg(
         (1.0 + F.ln(F.count(F.lit(1)))).alias("tf"))
     cells = tf.join(F.broadcast(terms), "term").groupBy("_row").agg(F.array_sort(
@@ -149,7 +149,7 @@ def text_features(df: DataFrame, text: str, terms: DataFrame, size: int, ngram_h
         unit(F.transform("c", lambda x: x["w"])), F.array().cast("array<double>"))
     vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),
                       at.alias("indices"), values.alias("values"))
-    stored.join(cells, "_row", "left").select(
+    kept.join(cells, "_row", "left").select(
         *df.columns, vector.alias("features")).write.parquet(f"{path}/vectors")
     schema = T.StructType([*df.schema.fields, T.StructField("features", VectorUDT())])
     return spark.read.schema(schema).parquet(f"{path}/vectors")
@@ -192,9 +192,18 @@ def score_text(model: TextModel, df: DataFrame, text: str) -> DataFrame:
 
 def fit_risk(train: DataFrame, features: list[str], label: str, C: float = 1.0,
              balanced: bool = False, max_iter: int = 100) -> PipelineModel:
-    """Standardised features and a binary logistic regression."""
-    rows = class_weights(train, label, balanced)
-    n = rows.count()
+    """Standardised features and a binary logistic regression.
+
+    ``train`` is read for the class sizes, for the scales and for the fit, which keeps it:
+    store it first where its columns are costly or it serves several fits.
+    """
+    sizes = train.groupBy(label).count().collect()  # a row a class
+    known = {r[label]: r["count"] for r in sizes if r[label] is not None}
+    rows, n = train.withColumn("_weight", F.lit(1.0)), sum(r["count"] for r in sizes)
+    if balanced:
+        n = sum(known.values())
+        weight = F.create_map(*[F.lit(x) for k, size in known.items() for x in (k, n / len(known) / size)]) if n else None
+        rows = train.where(F.col(label).isNotNull()).withColumn("_weight", weight[F.col(label)] if n else F.lit(1.0))
     return Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
@@ -258,12 +267,21 @@ def random_split(df: DataFrame, id_column: str, share: float = 0.84, seed: int =
     return df.withColumn("split", F.when(draw < int(share * 10_000), "train").otherwise("test"))
 
 
+def stored_scores(model: PipelineModel, test: DataFrame, label: str, tie: str) -> DataFrame:
+    return stored(score_risk(model, test).select(tie, label, "score"), "risk-scores")
+
+
+def risk_recall(model: PipelineModel, test: DataFrame, label: str, tie: str,
+                budget: float = policy.ALERT_BUDGET) -> float | None:
+    """Recall at the alert budget alone, as ``risk_report`` gives it; what a search asks of a trial."""
+    return metrics.recall_at_budget(
+        stored_scores(model, test, label, tie), label, "score", tie, budget).select("recall").first()[0]
+
+
 def risk_report(model: PipelineModel, test: DataFrame, label: str, tie: str,
                 budget: float = policy.ALERT_BUDGET) -> DataFrame:
     """Recall and precision at the alert budget, lift and AUC of a scored fold."""
-    path = scratch_path(test.sparkSession, "risk-scores")
-    score_risk(model, test).select(tie, label, "score").write.parquet(path)
-    scored = test.sparkSession.read.parquet(path)
+    scored = stored_scores(model, test, label, tie)
     auc = metrics.roc_auc(scored, label, "score").select("roc_auc").scalar()
     return metrics.recall_at_budget(scored, label, "score", tie, budget).withColumn(
         "roc_auc", auc)
