@@ -49,34 +49,43 @@ class ClaimedIds:
 
 
 def firsts_of(parsed: DataFrame, ordinal: list[str], valid: Column, ids: ClaimedIds, extract: int) -> DataFrame:
-    """``_key, _n, _first, _claimed``: one row an id of the extract, combined in the tasks.
+    """``_key, _n, _ok, _first, _claimed``: one row an id of the extract, combined in the tasks.
 
-    These rows are dealt into the table's number of buckets, whatever the session's number of
+    ``_ok`` says whether a valid row has the id; ``_first``, the place of the first one, is kept
+    where the id repeats, as nothing else asks for it. These rows are dealt into the table's number of buckets, whatever the session's number of
     shuffle partitions: otherwise the optimiser may deal both sides anew.
     """
     claimed = ids.before(extract)
     found = parsed.where(F.col("_key").isNotNull()).withColumn("_valid", valid).groupBy("_key").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("_valid"), F.struct(*ordinal))).alias("_first"))
+    found = found.select("_key", "_n", F.col("_first").isNotNull().alias("_ok"), F.when(F.col("_n") > 1, F.col("_first")).alias("_first"))
     if claimed is None:
         return found.withColumn("_claimed", F.lit(False))
     return found.repartition(ids.buckets, "_key").join(claimed.hint("merge"), "_key", "left").withColumn(
         "_claimed", F.coalesce("_claimed", F.lit(False)))
 
 
-def load_extract(parsed: DataFrame, ids: ClaimedIds, extract: int, ordinal: list[str],
-                 duplicate_reason: str, raw_columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(clean typed rows, quarantined raw rows) of a parsed extract (``_key, _typed, _error``).
+def judge_extract(parsed: DataFrame, ids: ClaimedIds, extract: int, ordinal: list[str],
+                  duplicate_reason: str) -> DataFrame:
+    """The rows of a parsed extract (``_key, _typed, _error``) with a reason, NULL where they are kept.
 
-    Claims the extract's new ids. Both results are stored before, so they don't change with it.
+    Claims the extract's new ids. What decides is stored, so the reasons don't change with it; the
+    rows are not: only columns that are asked for are moved to find them.
     """
     # the few columns that decide are small beside the rows; they are read once for both uses
     facts = stored(firsts_of(parsed, ordinal, F.col("_error").isNull(), ids, extract), "firsts")
     total = facts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    marked = join_unique(parsed, facts.where("_n > 1 OR _claimed"), "_key", "_n", total, ordinal)
+    lookup = facts.where("_n > 1 OR _claimed").select("_key", "_n", "_first", "_claimed")
+    marked = join_unique(parsed, lookup, "_key", "_n", total, ordinal)
     repeat = F.coalesce(F.col("_claimed") | F.coalesce(F.struct(*ordinal) > F.col("_first"), F.lit(False)), F.lit(False))
-    judged = stored(marked.select(
-        *raw_columns, "_typed", F.when(repeat, F.lit(duplicate_reason)).otherwise(F.col("_error")).alias(REASON)),
-        "extract")
-    ids.add(facts.where("NOT _claimed AND _first IS NOT NULL"), extract)
+    ids.add(facts.where("NOT _claimed AND _ok"), extract)
+    return marked.withColumn(REASON, F.when(repeat, F.lit(duplicate_reason)).otherwise(F.col("_error")))
+
+
+def load_extract(parsed: DataFrame, ids: ClaimedIds, extract: int, ordinal: list[str],
+                 duplicate_reason: str, raw_columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(clean typed rows, quarantined raw rows) of ``judge_extract``, stored once for both."""
+    judged = stored(judge_extract(parsed, ids, extract, ordinal, duplicate_reason).select(
+        *raw_columns, "_typed", REASON), "extract")
     return (judged.where(F.col(REASON).isNull()).select("_typed.*"),
             judged.where(F.col(REASON).isNotNull()).select(*raw_columns, REASON))

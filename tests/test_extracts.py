@@ -61,3 +61,15 @@ def test_the_stored_side_is_not_shuffled(spark):
             below += 1
             assert not any("Exchange" in t for _, t in depth), plan
     assert below and "Exchange" in plan
+
+
+def test_judging_moves_and_stores_only_what_is_asked_for(spark):
+    rows = [(0, i, f"k{i % 90}", i % 7 != 0, "x" * 50) for i in range(100)]
+    ids = extracts.ClaimedIds(spark, buckets=4)
+    judged = extracts.judge_extract(parsed(spark, rows), ids, 0, ["place"], "again")
+    asked = judged.select("place", layers.REASON)
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "extra" not in plan.split("LogicalRDD")[0] and "_typed" not in plan
+    kept, held = expected(rows)
+    got = {(r.place, r[layers.REASON]) for r in asked.collect()}
+    assert got == {(p, None) for p in kept} | held
