@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remedia import policy
 from remedia.functions.dates import iso, parse_day
 from remedia.functions.text import money, parse_money, strip
+from remedia.session import once
 
 ISSUE = "struct<field:string,severity:string,message:string>"
 ISSUES = f"array<{ISSUE}>"
@@ -128,36 +131,62 @@ def reconcile_transactions(
         .otherwise((gap <= policy.AMOUNT_TOLERANCE) & (F.col("unparseable") == 0)))
 
 
-def date_issues(raw: dict[str, Column], parsed: dict[str, Column], as_of: Column) -> Column:
-    """Missing, malformed, future, old and wrongly ordered dates, in that order."""
+def _date_findings(raw: dict[str, Column], parsed: dict[str, Column], as_of: Column,
+                   ) -> list[tuple[Column, str, str, Column]]:
+    """``(condition, field, severity, message)`` of all that may be wrong with the dates, in order."""
     found = []
     for name in DATE_FIELDS:
         text = raw[name].cast("string")
         blank = text.isNull() | (text == "")
-        found.append(
-            F.when(blank, issue(name, "error", "date is missing"))
-            .when(parsed[name].isNull(), issue(name, "error", F.concat(
-                F.lit("'"), text, F.lit("' is not an ISO date")))))
+        found.append((parsed[name].isNull(), name, "error", F.when(blank, F.lit("date is missing")).otherwise(
+            F.concat(F.lit("'"), text, F.lit("' is not an ISO date")))))
     for name in DATE_FIELDS:
         day = parsed[name]
-        found.append(F.when(day > as_of, issue(
-            name, "error", F.concat(iso(day), F.lit(" is in the future")))))
-        found.append(F.when(F.year(day) < 2000, issue(
-            name, "warning", F.concat(iso(day), F.lit(" is implausibly old")))))
+        found.append((day > as_of, name, "error", F.concat(iso(day), F.lit(" is in the future"))))
+        found.append((F.year(day) < 2000, name, "warning", F.concat(iso(day), F.lit(" is implausibly old"))))
     txn, stmt, notice = (parsed[n] for n in DATE_FIELDS)
-    found += [
-        F.when(txn > stmt, issue("statement_date", "error", F.concat(
+    return [
+        *found,
+        (txn > stmt, "statement_date", "error", F.concat(
             F.lit("the statement was transmitted on "), iso(stmt),
             F.lit(", before the transaction on "), iso(txn),
-            F.lit("; the 60-day clock cannot start before the transaction it reflects")))),
-        F.when(notice < stmt, issue("notice_date", "error", F.concat(
-            F.lit("notice on "), iso(notice), F.lit(" precedes the statement on "), iso(stmt)))),
-        F.when(F.datediff(notice, txn) > 540, issue("notice_date", "warning", F.concat(
+            F.lit("; the 60-day clock cannot start before the transaction it reflects"))),
+        (notice < stmt, "notice_date", "error", F.concat(
+            F.lit("notice on "), iso(notice), F.lit(" precedes the statement on "), iso(stmt))),
+        (F.datediff(notice, txn) > 540, "notice_date", "warning", F.concat(
             F.datediff(notice, txn).cast("string"),
             F.lit(" days elapsed between the transaction and the notice, which is outside every "
-                  "network chargeback window even where the regulatory claim survives")))),
+                  "network chargeback window even where the regulatory claim survives"))),
     ]
-    return _kept(*found)
+
+
+def date_issues(raw: dict[str, Column], parsed: dict[str, Column], as_of: Column) -> Column:
+    """Missing, malformed, future, old and wrongly ordered dates, in that order."""
+    return _kept(*[F.when(wrong, issue(name, severity, message))
+                   for wrong, name, severity, message in _date_findings(raw, parsed, as_of)])
+
+
+def _date_columns(df: DataFrame) -> tuple[dict[str, Column], dict[str, Column]]:
+    types = dict(df.dtypes)
+    raw = {n: (F.col(n) if n in types else F.lit(None).cast("string")) for n in DATE_FIELDS}
+    return raw, {n: (raw[n] if types.get(n) == "date" else parse_day(raw[n])) for n in DATE_FIELDS}
+
+
+def count_date_issues(df: DataFrame, as_of: Column, errors: str = "errors", warnings: str = "warnings") -> DataFrame:
+    """Add how many errors and warnings ``validate_dates`` finds; their messages are not made.
+
+    The days are parsed once, however many findings read them.
+    """
+    raw, parsed = _date_columns(df)
+    days = {n: f"_day_{n}" for n in DATE_FIELDS}
+    held = once(df.withColumns({days[n]: parsed[n] for n in DATE_FIELDS}), *days.values())
+    found = _date_findings(raw, {n: F.col(days[n]) for n in DATE_FIELDS}, as_of)
+
+    def count(kind: str) -> Column:
+        return reduce(lambda a, b: a + b, [
+            F.when(wrong, 1).otherwise(0) for wrong, _, severity, _ in found if severity == kind])
+
+    return held.withColumns({errors: count("error"), warnings: count("warning")}).drop(*days.values())
 
 
 def validate_dates(df: DataFrame, as_of: Column, out: str = "date_check") -> DataFrame:
@@ -165,9 +194,7 @@ def validate_dates(df: DataFrame, as_of: Column, out: str = "date_check") -> Dat
 
     ``as_of`` is the day the check is made for; the clock is never read.
     """
-    types = dict(df.dtypes)
-    raw = {n: (F.col(n) if n in types else F.lit(None).cast("string")) for n in DATE_FIELDS}
-    parsed = {n: (raw[n] if types.get(n) == "date" else parse_day(raw[n])) for n in DATE_FIELDS}
+    raw, parsed = _date_columns(df)
     return df.withColumn(out, F.struct(
         date_issues(raw, parsed, as_of).alias("issues"),
         *[parsed[n].alias(n) for n in DATE_FIELDS]))
