@@ -14,6 +14,7 @@ from remedia.functions.text import strip, to_float, to_int, word_count
 from remedia.operators import contracts as c
 from remedia.operators.deadlines import regulation_for_issue
 from remedia.operators.skew import join_unique
+from remedia.session import stored
 
 REASON = "_quarantine_reason"
 TEXT_FIELDS = ("product", "issue", "company", "company_size", "state", "submitted_via",
@@ -33,15 +34,14 @@ def mark_repeats(
     """Flag rows that come after the first *valid* row of their key.
 
     A row that is itself not valid does not claim its key. The first valid
-    ordinal is a map-side combined aggregate; only keys that occur more than once
-    are joined back, hot ones spread over many tasks.
+    ordinal is a map-side combined aggregate, stored for the keys that occur more than
+    once; only these are joined back, hot ones spread over many tasks.
     """
     order = F.struct(*ordinal)
-    firsts = df.withColumn("_valid", valid).groupBy(key).agg(
+    firsts = stored(df.withColumn("_valid", valid).groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min(F.when(F.col("_valid"), order)).alias("_first"))
-    total = firsts.agg(F.sum("_n")).scalar()
-    joined = join_unique(df, firsts.where("_n > 1"), key, "_n", total, ordinal)
+        F.min(F.when(F.col("_valid"), order)).alias("_first")).where("_n > 1"), "firsts")
+    joined = join_unique(df, firsts, key, "_n", df.agg(F.count(F.lit(1))).scalar(), ordinal)
     return joined.withColumn(
         out, F.coalesce(order > F.col("_first"), F.lit(False))).drop("_first")
 
