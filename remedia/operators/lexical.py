@@ -198,7 +198,7 @@ def _best_of_part(k: int):
             n = long[x:y]
             entry = np.repeat(starts[at[x:y]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             cell = np.repeat(owner[x:y] - begin, n) * len(rank) + doc[entry]
-            score = np.bincount(cell, weight[entry], (end - begin) * len(rank)).reshape(-1, len(rank))
+            score = np.bincount(cell, weight[entry], (end - begin) * len(rank)).reshape(-1, len(rank)).astype(float)  # whole numbers where no term is known
             place = np.unique(np.rint(score * 1e9), return_inverse=True)[1].reshape(score.shape)
             key = np.where(score > 0, -(place * len(rank) + len(rank) - 1 - rank), 1)
             top = np.argpartition(key, min(k, len(rank)) - 1, 1)[:, :k]
@@ -211,13 +211,18 @@ def _best_of_part(k: int):
     return work
 
 
-def search_many(index: Index, queries: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+def search_many(
+    index: Index, queries: DataFrame, k: int, k1: float, b: float, counted: DataFrame | None = None,
+) -> DataFrame:
     """Scores that hold the exact best ``k`` of each of very many queries.
 
     Queries are dealt into lots and the documents' weights into parts; a task scores a lot
     against a part, so no row is made for a term that a query and a document share.
+    ``counted`` are the ``query_counts`` of the queries where these are stored.
     """
-    asked = stored(query_counts(queries).select("query_id", "terms"), "asked")
+    if counted is None:
+        counted = stored(query_counts(queries).select("query_id", "terms"), "asked")
+    asked = counted.select("query_id", "terms")
     rows = index.postings.join(inverse_frequency(index), "term").withColumn("_avg", index.stats.select("avg_length").scalar())
     held = stored(rows.select("term", "doc_id", _weight(k1, b)), "weights")
     lots = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // LOT_TERMS))
@@ -233,12 +238,12 @@ def search_many(index: Index, queries: DataFrame, k: int, k1: float, b: float) -
 def bm25(
     corpus: DataFrame, queries: DataFrame, k: int = policy.CANDIDATE_K,
     k1: float = policy.BM25_K1, b: float = policy.BM25_B, large: str = "corpus",
-    index: Index | None = None,
+    index: Index | None = None, counted: DataFrame | None = None,
 ) -> DataFrame:
     """Ranking by BM25; without an index one is built, limited to the terms asked for unless
-    there are many queries (``large="queries"``)."""
+    there are many queries (``large="queries"``), whose stored ``query_counts`` may be given."""
     if index is None:
         index = build_index(corpus, None if large == "queries" else query_terms(queries))
     if large == "queries":
-        return ranked(search_many(index, queries, k, k1, b), k)
+        return ranked(search_many(index, queries, k, k1, b, counted), k)
     return ranked(search(index, queries, k, k1, b).scores, k)

@@ -15,7 +15,9 @@ The lexical part is in ``lexical``, the projection in ``semantics``, the dense s
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,7 @@ from remedia.operators.semantics import (  # noqa: F401
     embed_many,
     embed_queries,
     fit_projection,
+    sums_over_terms,
     unit,
 )
 from remedia.operators.terms import counted_terms, cuttable, indexed_text, query_counts, query_terms
@@ -68,42 +71,90 @@ def rrf(rankings: list[DataFrame], k: int = policy.RRF_K, limit: int | None = No
     return ranked(fused, limit if limit is not None else 2**31 - 1)
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of lists one after another, and where each list begins and the last ends."""
+    lists = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+
+
+def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places from each start to its end, one after another."""
+    sizes = ends - starts
+    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+
+
+def _codes(values: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each value among the known ones, -1 where it is none of them."""
+    return pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy(zero_copy_only=False)
+
+
 def _covered(asked: pa.Table, held: pa.Table) -> pa.Table:
     """What the candidates of a lot of queries cover: summed weight of shared terms, shared words of the title."""
-    docs: dict = {}
-    columns = [held.column(c).to_pylist() for c in ("doc_id", "terms", "idfs", "title")]
-    for place, (doc, terms, idfs, title) in enumerate(zip(*columns, strict=True)):
-        docs.setdefault(doc, []).append((place, dict(zip(terms or (), idfs or (), strict=True)), frozenset(title or ())))
-    found = []
-    columns = [asked.column(c).to_pylist() for c in ("names", "candidates")]
-    for query, (names, candidates) in enumerate(zip(*columns, strict=True)):
-        for c in candidates:
-            for place, idf, title in docs.get(c["doc_id"], ()):
-                found.append((query, place, c["rank"], sum([idf[t] for t in names if t in idf]),
-                              sum([t in title for t in names]) if title else 0))
-    query, place, rank, covered, shared = [list(c) for c in zip(*found, strict=True)] if found else [[]] * 5
+    terms, of_terms = _lists(held.column("terms"))
+    title, of_title = _lists(held.column("title"))
+    idf = _lists(held.column("idfs"))[0].to_numpy(zero_copy_only=False)
+    words = pa.chunked_array([terms, title]).unique()
+    term, word = _codes(terms, words), _codes(title, words)
+    names, of_names = _lists(asked.column("names"))
+    name = _codes(names, words)
+    # every candidate with each of the documents of its id
+    ids = held.column("doc_id").unique()
+    at = _codes(held.column("doc_id").combine_chunks(), ids)
+    order = np.argsort(at, kind="stable")
+    begin = np.searchsorted(at[order], np.arange(len(ids) + 1))
+    candidates, of_candidates = _lists(asked.column("candidates"))
+    wanted = _codes(candidates.field("doc_id"), ids)
+    some = np.flatnonzero(wanted >= 0)
+    copies = begin[wanted[some] + 1] - begin[wanted[some]]
+    place = order[_spans(begin[wanted[some]], begin[wanted[some] + 1])]
+    pick = np.repeat(some, copies)
+    query = np.repeat(np.arange(asked.num_rows), np.diff(of_candidates))[pick]
+    bounds = np.searchsorted(query, np.arange(asked.num_rows + 1))
+    covered, shared = np.zeros(len(place)), np.zeros(len(place), np.int32)
+    has = np.zeros(len(words), bool)
+    for q, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        own = name[of_names[q]:of_names[q + 1]]
+        own = own[own >= 0]
+        if a == b or not len(own):
+            continue
+        has[own] = True
+        for out, starts, code, weight in ((covered, of_terms, term, idf), (shared, of_title, word, None)):
+            first, last = starts[place[a:b]], starts[place[a:b] + 1]
+            entry = _spans(first, last)
+            hit = has[code[entry]]
+            pair = np.repeat(np.arange(b - a), last - first)[hit]
+            out[a:b] = np.bincount(pair, None if weight is None else weight[entry[hit]], b - a)
+        has[own] = False
     query, place = pa.array(query, pa.int64()), pa.array(place, pa.int64())
     return pa.table([
         *[asked.column(c).take(query) for c in ("query_id", "size", "total", "wanted")],
-        *[held.column(c).take(place) for c in ("doc_id", "given")], pa.array(rank, pa.int32()),
-        pa.array(covered, pa.float64()), pa.array(shared, pa.int32())],
+        *[held.column(c).take(place) for c in ("doc_id", "given")], candidates.field("rank").take(pa.array(pick)).cast(pa.int32()),
+        pa.array(covered), pa.array(shared)],
         names=["query_id", "size", "total", "wanted", "doc_id", "given", "rank", "covered", "shared"])
 
 
 def rerank(
     candidates: DataFrame, corpus: DataFrame, queries: DataFrame, idf: DataFrame,
-    k: int = policy.TOP_K,
+    k: int = policy.TOP_K, counted: DataFrame | None = None,
 ) -> DataFrame:
     """Reorder candidates by position, covered term weight, title and regulation.
 
     Works on the candidates alone, which are computed once: their texts are fetched by id and
-    cut once, and lots of queries meet the documents that they have as candidates.
+    cut once, and lots of queries meet the documents that they have as candidates. ``counted``
+    are the ``query_counts`` of very many queries where these are stored.
     """
     has_regulation = "regulation" in queries.columns
     pairs = stored(candidates.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank")), "candidates")
-    counted = stored(query_counts(queries).select("query_id", F.col("terms").alias("names")), "asked")
-    totals = counted.select("query_id", F.explode("names").alias("term")).join(idf, "term").groupBy("query_id").agg(
-        F.sum("idf").alias("total"))
+    if counted is None:
+        counted = stored(query_counts(queries).select("query_id", F.col("terms").alias("names")), "asked")
+        totals = counted.select("query_id", F.explode("names").alias("term")).join(idf, "term").groupBy("query_id").agg(
+            F.sum("idf").alias("total"))
+    else:
+        once_each = counted.select("query_id", "terms", F.array_repeat(F.lit(1), F.size("terms")).alias("counts"))
+        totals = sums_over_terms(once_each, idf.select("term", "idf", F.array(F.lit(1.0)).alias("factor"))).select(
+            "query_id", F.get("v", F.lit(0)).alias("total")).groupBy("query_id").agg(F.sum("total").alias("total"))
+        counted = counted.select("query_id", F.col("terms").alias("names"))
     regs = queries.select("query_id", (
         F.col("regulation") if has_regulation else F.lit(None).cast("string")).alias("wanted"))
     asked_for = pairs.select(F.col("doc_id").alias("id")).distinct()
@@ -157,11 +208,14 @@ def search_all(
     index = index or build_index(
         corpus, None if large == "queries" else query_terms(queries))
     projection = projection or fit_projection(corpus)
-    lexical = bm25(corpus, queries, candidates, large=large, index=index)
-    embed = embed_many if large == "queries" else embed_queries
-    dense = dense_topk(projection.vectors, embed(queries, projection), candidates)
+    # the terms of very many queries are counted once for all that reads them
+    counted = stored(query_counts(queries).select(
+        "query_id", "terms", "counts"), "counted-queries") if large == "queries" else None
+    lexical = bm25(corpus, queries, candidates, large=large, index=index, counted=counted)
+    vectors = embed_queries(queries, projection) if counted is None else embed_many(queries, projection, counted)
+    dense = dense_topk(projection.vectors, vectors, candidates)
     fused = rrf([lexical, dense], limit=candidates)
-    reranked = rerank(fused, corpus, queries, inverse_frequency(index), k)
+    reranked = rerank(fused, corpus, queries, inverse_frequency(index), k, counted)
     return {"lexical": lexical, "dense": dense, "fused": fused, "reranked": reranked}
 
 

@@ -63,8 +63,10 @@ class TermMatrix(NamedTuple):
 
 
 def unit(vector: Column) -> Column:
+    """At length 1. The length is the one element of an array, so that it is worked out once, not for every number."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(vector, lambda x: F.when(norm == 0, x).otherwise(x / norm))
+    return F.get(F.transform(F.array(norm), lambda n: F.transform(
+        vector, lambda x: F.when(n == 0, x).otherwise(x / n))), F.lit(0))
 
 
 def _pack(docs: pa.Table) -> pa.Table:
@@ -393,17 +395,20 @@ def _sums_of_part(asked: pa.Table, held: pa.Table) -> pa.Table:
     return pa.table([asked.column("query_id"), v], names=["query_id", "v"])
 
 
-def embed_many(queries: DataFrame, projection: Projection) -> DataFrame:
-    """``embed_queries`` for very many queries: lots of them against parts of the factors, no row for a term."""
-    asked = stored(query_counts(queries).select("query_id", "terms", "counts"), "counted-queries")
-    factors = projection.factors.select("term", "idf", vector_to_array("factor").alias("factor"))
+def sums_over_terms(asked: DataFrame, factors: DataFrame) -> DataFrame:
+    """``query_id, v``: for very many queries (``query_id, terms, counts``) the sums of ``(1 + ln count) * idf * factor``
+    over the terms of each in ``factors`` (``term, idf, factor``); NULL where there are none.
+
+    Lots of queries meet parts of the factors, no row is made for a term.
+    """
     n, dim = factors.agg(F.count(F.lit(1)), F.max(F.size("factor"))).first()
     if not n:
-        return asked.select("query_id", F.lit(None).cast("array<double>").alias("vector"))
+        return asked.select("query_id", F.lit(None).cast("array<double>").alias("v"))
     lots = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // LOT_TERMS))
     parts = -(-n // PART_TERMS)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    dealt = asked.withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int")).withColumn("part", every(parts))
+    dealt = asked.select("query_id", "terms", "counts").withColumn(
+        "lot", F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int")).withColumn("part", every(parts))
     placed = factors.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).withColumn("lot", every(lots))
     schema = T.StructType([asked.schema["query_id"], T.StructField("v", T.ArrayType(T.DoubleType()))])
 
@@ -416,4 +421,12 @@ def embed_many(queries: DataFrame, projection: Projection) -> DataFrame:
     if parts > 1:
         added = sums.groupBy("query_id").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(dim)])
         sums = added.select("query_id", F.when(F.col("v0").isNotNull(), F.array(*[f"v{i}" for i in range(dim)])).alias("v"))
-    return sums.select("query_id", unit(F.col("v")).alias("vector"))
+    return sums
+
+
+def embed_many(queries: DataFrame, projection: Projection, counted: DataFrame | None = None) -> DataFrame:
+    """``embed_queries`` for very many queries; ``counted`` are their ``query_counts`` where these are stored."""
+    if counted is None:
+        counted = stored(query_counts(queries).select("query_id", "terms", "counts"), "counted-queries")
+    factors = projection.factors.select("term", "idf", vector_to_array("factor").alias("factor"))
+    return sums_over_terms(counted, factors).select("query_id", unit(F.col("v")).alias("vector"))

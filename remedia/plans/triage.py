@@ -51,11 +51,12 @@ def assess_risk(df: DataFrame) -> DataFrame:
 
 def retrieve(
     df: DataFrame, corpus: DataFrame, projection: retrieval.Projection | None = None,
-    narrative_chars: int | None = None,
+    narrative_chars: int | None = None, told: DataFrame | None = None,
 ) -> DataFrame:
     """Add the top sections of each case, for its issue and its narrative.
 
-    ``narrative_chars`` limits the search to the head of the narrative.
+    ``narrative_chars`` limits the search to the head of the narrative. ``told`` are the same
+    cases before the steps that the search does not need: requests are gathered from them.
 
     Cases that ask the same thing are searched once: the request text is reduced
     to its distinct values first, however many copies one of them has, and the
@@ -65,9 +66,13 @@ def retrieve(
     if narrative_chars is not None:
         head = F.left(head, F.lit(narrative_chars))
     text = F.concat_ws(" ", F.nullif(F.col("issue"), F.lit("")), F.nullif(head, F.lit("")))
-    asked = df.withColumn("_text", text).withColumn(
-        "_request", F.md5(F.concat_ws("\u0001", "regulation", "_text")))
-    distinct = stored(asked.groupBy("_request").agg(
+
+    def requests(cases: DataFrame) -> DataFrame:
+        return cases.withColumn("_text", text).withColumn(
+            "_request", F.md5(F.concat_ws("\u0001", "regulation", "_text")))
+
+    asked = requests(df)
+    distinct = stored(requests(df if told is None else told).groupBy("_request").agg(
         F.count(F.lit(1)).alias("_n"), F.any_value("_text").alias("query"),
         F.any_value("regulation").alias("regulation")), "requests")
     queries = distinct.select(F.col("_request").alias("query_id"), "query", "regulation")
@@ -126,15 +131,16 @@ def triage(
         if corpus is None:
             raise ValueError("give a section corpus or the valid section ids")
         valid_sections = corpus.agg(F.array_sort(F.collect_set("id"))).scalar()
+    classified = disputes.transform(classify)
     cases = (
-        disputes.transform(classify).transform(lambda d: validate(d, as_of))
+        classified.transform(lambda d: validate(d, as_of))
         .transform(lambda d: once(d, "validation", "reason_code"))
         .transform(compute_deadlines).transform(lambda d: once(d, "deadlines", "liability"))
         .transform(assess_risk))
     if corpus is None:
         cases = without_sections(cases)
     else:
-        cases = retrieve(cases, corpus, projection, narrative_chars)
+        cases = retrieve(cases, corpus, projection, narrative_chars, classified)
     return cases.transform(lambda d: draft_and_verify(d, valid_sections)).transform(route)
 
 
