@@ -14,6 +14,7 @@ from remedia.operators import drift, shadow
 from remedia.session import stored
 
 ATTEMPTS = 3  # fixed: a case is tried three times
+LOTS = 1 << 14  # lots that cases are dealt into; part of the state's layout
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -220,6 +221,59 @@ class Attempts(StatefulProcessor):
         pass
 
 
+class _Held:
+    """The state of one case within that of its lot: attempts made, negative once it has ended."""
+
+    def __init__(self, lot: dict[str, int], key: str):
+        self.lot, self.key, self.changed = lot, key, False
+
+    def get(self) -> tuple[int, bool] | None:
+        made = self.lot.get(self.key)
+        return None if made is None else (abs(made), made < 0)
+
+    def update(self, value: tuple[int, bool]) -> None:
+        made, ended = value
+        self.lot[self.key], self.changed = -made if ended else made, True
+
+    def clear(self) -> None:
+        self.changed |= self.lot.pop(self.key, None) is not None
+
+
+class AttemptsOfLot(StatefulProcessor):
+    """``Attempts`` for a lot of cases, whose state is one value.
+
+    An exchange with the state store costs a hundred times what a case does, so it is made once
+    a lot and batch. A case has at most ``attempts`` rows to go through in a batch; more are not held.
+    """
+
+    def __init__(self, work: Callable[[dict, int], None], attempts: int, remember: bool = True):
+        self.cases = Attempts(work, attempts, remember)
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("lot", "held string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        arrived: dict[str, list] = {}
+        for row in rows:
+            own = arrived.setdefault(row.key, [])
+            if len(own) < self.cases.attempts:
+                own.append(row)
+        before = self.state.get()
+        lot = json.loads(before[0]) if before else {}
+        changed = False
+        for case, own in arrived.items():
+            self.cases.state = held = _Held(lot, case)
+            yield from self.cases.handleInputRows((case,), iter(own), timerValues)
+            changed |= held.changed
+        if changed and lot:
+            self.state.update((json.dumps(lot),))
+        elif changed:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def start_attempts(
     feed: DataFrame, work: Callable[[dict, int], None], plan: Callable[[DataFrame], DataFrame],
     key: str, path: str, checkpoint: str, attempts: int = ATTEMPTS, remember: bool = True,
@@ -228,8 +282,8 @@ def start_attempts(
 
     A case that fails does not hold up the others of its micro-batch: those that succeeded
     go through ``plan`` into ``cases``, the failed one into ``requeue``, a folder that the
-    stream reads as a second source. State survives restarts with the checkpoint. The
-    session's state store must be ``ROCKSDB``.
+    stream reads as a second source. State is kept by lots of cases (``LOTS``) and survives
+    restarts with the checkpoint. The session's state store must be ``ROCKSDB``.
     """
     spark = feed.sparkSession
     requeue = f"{path}/requeue"
@@ -238,8 +292,9 @@ def start_attempts(
     fresh = feed.where(F.col(key).isNotNull()).select(
         F.col(key).cast("string").alias("key"), F.to_json(F.struct(*feed.columns)).alias("payload"))
     again = spark.readStream.schema(waiting).option("recursiveFileLookup", "true").parquet(requeue)
-    tried = fresh.unionByName(again).groupBy("key").transformWithState(
-        Attempts(work, attempts, remember), "key string, payload string, attempts int, state string, error string",
+    lot = F.pmod(F.xxhash64("key"), F.lit(LOTS)).cast("int")
+    tried = fresh.unionByName(again).withColumn("lot", lot).groupBy("lot").transformWithState(
+        AttemptsOfLot(work, attempts, remember), "key string, payload string, attempts int, state string, error string",
         "Append", "None")
     schema = feed.schema
 
