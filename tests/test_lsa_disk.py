@@ -38,7 +38,7 @@ def test_read_blocks_and_chunks_are_removed(spark, monkeypatch):
     assert p.vectors.count() == 160 and p.factors.count() >= 211
 
 
-@pytest.mark.parametrize("size, chunks", [(1, 1), (31, 31), (32, 32), (100, 32), (256, 32), (800, 100)])
+@pytest.mark.parametrize("size, chunks", [(1, 1), (31, 31), (32, 32), (100, 32), (192, 32), (600, 100)])
 def test_chunks_grow_where_there_are_many(spark, monkeypatch, size, chunks):
     monkeypatch.setattr(semantics, "CHUNK_BYTES", 100)
     assert semantics.chunk_count(size * 100) == chunks
